@@ -3,14 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
-from .common import read
+from . import chat, mixing, simhash
+from .common import cut, read
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash}
-ORACLES: dict[str, str] = {}
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.createDataFrame([(-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)], "conv_id long, turn long, role string, text string")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.read_back(chat.format_chats(chat.as_events(turns)))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cut(mixing.sized(read(spark, sf_dir, "documents")))
+    return mixing.mix(rows).select("doc_id", "size", F.col("pattern_size").alias("source_size"), F.col("quota").alias("target"), "taken")
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op8_chat": op8_chat, "op9_mixing": op9_mixing}
+ORACLES: dict[str, str] = {"op8_chat": chat.ORACLE, "op9_mixing": mixing.ORACLE}
