@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, simhash
+from . import chat, langid, mixing, simhash
 from .common import cut, read
 
 
@@ -24,5 +24,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(rows).select("doc_id", "size", F.col("pattern_size").alias("source_size"), F.col("quota").alias("target"), "taken")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op8_chat": op8_chat, "op9_mixing": op9_mixing}
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs.select("doc_id", "text"), langid.fitted(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_rejected")
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op6_langid": op6_langid, "op8_chat": op8_chat, "op9_mixing": op9_mixing}
 ORACLES: dict[str, str] = {"op8_chat": chat.ORACLE, "op9_mixing": mixing.ORACLE}
