@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, simhash
+from . import chat, decontam, langid, mixing, simhash
 from .common import cut, read
 
 
@@ -30,5 +30,10 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_rejected")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op6_langid": op6_langid, "op8_chat": op8_chat, "op9_mixing": op9_mixing}
-ORACLES: dict[str, str] = {"op8_chat": chat.ORACLE, "op9_mixing": mixing.ORACLE}
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op6_langid": op6_langid, "op7_decontamination": op7_decontamination, "op8_chat": op8_chat, "op9_mixing": op9_mixing}
+ORACLES: dict[str, str] = {"op7_decontamination": decontam.ORACLE, "op8_chat": chat.ORACLE, "op9_mixing": mixing.ORACLE}
