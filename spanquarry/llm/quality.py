@@ -17,7 +17,9 @@ without any reference all documents that pass the base rules are kept.
 from __future__ import annotations
 
 import functools
+import json
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,11 @@ COMMON = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus".split(),
     "fr": "de la le et les des en un du une que est pour qui dans par sur pas au plus ne se ce il sont avec".split(),
 }
-#: Character classes, as Java patterns; the rest of a text is its last class.
-CLASSES = {"lower": r"[\p{Ll}\p{Lo}]", "upper": r"[\p{Lu}\p{Lt}]", "digit": r"\p{Nd}", "blank": r"\s", "stop": r"[.,;:!?'\"()-]"}
+#: Character classes, as Java patterns; lower-case letters and blanks are taken out first, the rest is the last class.
+LOWER, BLANK = r"[\p{Ll}\p{Lo}]+", BLANKS
+CLASSES = {"upper": r"[\p{Lu}\p{Lt}]", "digit": r"\p{Nd}", "stop": r"[.,;:!?'\"()-]"}
+#: Common words count as they stand, capitalised, or before one of these; size of the table of their hashes.
+ENDINGS, BINS = ("", ".", ","), 4096
 MIN_CHARS, MIN_WORDS = 200, 50
 #: Largest divergence from the closest reference that a kept document may have.
 MOST_CHARS, MOST_WORDS = 0.10, 0.13
@@ -43,6 +48,15 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, BLANKS), lambda w: w != "")
 
 
+def _joined(hashes: Column, size: int, window: int, body) -> Column:
+    """body(hashes of all windows), from those of windows of a size by doubling; window is a power of two."""
+    if size == window:
+        return body(hashes)
+    first = F.slice(hashes, F.lit(1), F.size(hashes) - size)
+    pairs = F.zip_with(first, F.slice(hashes, F.lit(size + 1), F.size(hashes)), lambda a, b: F.xxhash64(a, b))
+    return let(pairs, lambda h: _joined(h, 2 * size, window, body))
+
+
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """How many words lie in a window of so many words that the text has at least twice."""
 
@@ -60,8 +74,7 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(let(placed, covered))
 
     def hashed(codes: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(1), F.size(codes) - window + 1), lambda i: F.xxhash64(F.slice(codes, i, window)))
-        return let(windows, spread)
+        return _joined(codes, 1, window, spread)
 
     return F.when(F.size(words) < window, 0).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), hashed))
 
@@ -77,51 +90,62 @@ def _runs(codes: Column) -> Column:
 
 
 @functools.cache
-def _lists() -> tuple[list[str], str]:
-    """All common words in order, and the string in which a word's place is its code."""
-    words = sorted({w for x in COMMON.values() for w in x})
-    return words, " " + " ".join(words) + " "
+def _places() -> dict[str, int]:
+    """Number of each common word."""
+    return {w: i for i, w in enumerate(sorted({w for x in COMMON.values() for w in x}))}
+
+
+@functools.cache
+def _forms() -> dict[str, int]:
+    """The forms in which common words count, with the words' numbers."""
+    return {form + end: i for w, i in _places().items() for form in (w, w.capitalize()) for end in ENDINGS}
 
 
-def _code(word: str) -> int:
-    return _lists()[1].index(f" {word} ") + 1
+def _number(form: Column) -> Column:
+    """The number of a common word's form, looked up by hash (two forms of one bin would count as one word)."""
+    table = [-1] * BINS
+    for text, i in _forms().items():
+        table[xxhash.xxh64_intdigest(text.encode(), 42) % BINS] = i
+    return F.get(_literal(table, "array<int>"), F.pmod(F.xxhash64(form), F.lit(BINS)).cast("int"))
 
 
-def _votes(codes: list[int]) -> Column:
-    return F.aggregate(F.filter("common", lambda c: c["code"].isin(codes)), F.lit(0).cast("long"), lambda acc, c: acc + c["n"])
+def _literal(values: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def _votes(language: str) -> Column:
+    """How many of the words are common in a language."""
+    mine = [_places()[w] for w in COMMON[language]]
+    return F.aggregate(F.filter("common", lambda c: c["code"].isin(mine)), F.lit(0).cast("long"), lambda acc, c: acc + c["n"])
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, n_chars, classes (counts by class, rest last), common (array of code, n), language.
+    """doc_id, the base counts, n_chars, classes (counts: lower, blank, CLASSES, rest), common (array of code, n), language.
 
     language: number of the language (by name) whose common words the text has most of, null without any.
     """
-    names, listed = _lists()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD))
 
-    def codes(w: Column) -> Column:
-        plain = F.filter(F.transform(w, lambda x: F.lower(F.rtrim(x, F.lit(".,;:")))), lambda x: x.isin(names))
-        return F.transform(plain, lambda x: F.call_function("locate", F.concat(F.lit(" "), x, F.lit(" ")), F.lit(listed)))
-
     def per_words(w: Column) -> Column:
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
-            F.aggregate(w, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x)).alias("word_chars"),
             repeated_words(w).cast("long").alias("n_repeat_words"),
-            let(codes(w), _runs).alias("common"),
+            let(F.transform(F.filter(w, lambda x: x.isin(list(_forms()))), _number), _runs).alias("common"),
         )
 
-    known = F.array(*[F.regexp_count("text", F.lit(p)).cast("long") for p in CLASSES.values()])
+    def per_chars(t: Column) -> Column:  # without lower-case letters
+        return let(F.regexp_replace(t, BLANK, ""), lambda u: F.struct(F.length(t).alias("t"), F.length(u).alias("u"), F.regexp_count(u, F.lit(SYMBOLS)).cast("long").alias("n_symbols"), F.array(*[F.regexp_count(u, F.lit(p)).cast("long") for p in CLASSES.values()]).alias("few")))
+
     rows = rows.select(
-        "doc_id", let(_words(F.col("text")), per_words).alias("f"), F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), F.length("text").cast("long").alias("n_chars"), known.alias("known"),
-    ).select("doc_id", "f.*", "n_symbols", "n_dup_lines", "n_chars", "known")
-    rest = F.col("n_chars") - F.aggregate("known", F.lit(0).cast("long"), lambda acc, n: acc + n)
-    rows = rows.withColumn("classes", F.concat("known", F.array(rest))).drop("known")
-    votes = F.array(*[_votes([_code(w) for w in COMMON[x]]) for x in sorted(COMMON)])
-    rows = rows.withColumn("votes", votes)
+        "doc_id", let(_words(F.col("text")), per_words).alias("f"), let(F.regexp_replace("text", LOWER, ""), per_chars).alias("c"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), F.length("text").cast("long").alias("n_chars"),
+    )
+    lower, blank = F.col("n_chars") - F.col("c.t"), (F.col("c.t") - F.col("c.u")).cast("long")
+    rest = F.col("c.u") - F.aggregate("c.few", F.lit(0).cast("long"), lambda acc, n: acc + n)
+    rows = rows.select("doc_id", "f.*", (F.col("n_chars") - blank).alias("word_chars"), "c.n_symbols", "n_dup_lines", "n_chars", F.concat(F.array(lower, blank), "c.few", F.array(rest)).alias("classes"))
+    rows = rows.withColumn("votes", F.array(*[_votes(x) for x in sorted(COMMON)]))
     return rows.withColumn("language", F.when(F.array_max("votes") > 0, F.array_position("votes", F.array_max("votes")).cast("int") - 1)).drop("votes")
 
 
@@ -132,10 +156,9 @@ def base_failed() -> Column:
 def references(rows: DataFrame) -> tuple[list[list[float]], list[list[float]]]:
     """For each language the shares of the character classes, and of the common words by code; empty without documents."""
     good = rows.where(~base_failed() & F.col("language").isNotNull())
-    sums = good.groupBy("language").agg(*[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)]).collect()
+    sums = good.groupBy("language").agg(*[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 3)]).collect()
     said = {r.language: r.n for r in good.groupBy("language").agg(F.sum("n_words").alias("n")).collect()}
     words = good.select("language", F.explode("common").alias("c")).groupBy("language", "c.code").agg(F.sum("c.n").alias("n")).collect()
-    width = len(_lists()[1]) + 1
     chars, common = [[] for _ in COMMON], [[] for _ in COMMON]
     for r in sums:
         total = sum(r[1:])
@@ -143,7 +166,7 @@ def references(rows: DataFrame) -> tuple[list[list[float]], list[list[float]]]:
     for k in range(len(COMMON)):
         mine = {r.code: r.n for r in words if r.language == k}
         total = said.get(k, 0)
-        common[k] = [1 - sum(mine.values()) / total, *(mine.get(i, 0) / total for i in range(1, width))] if total else []
+        common[k] = [*(mine.get(i, 0) / total for i in range(len(_places()))), 1 - sum(mine.values()) / total] if total else []
     return chars, common
 
 
@@ -152,7 +175,7 @@ def _term(x: Column, other: Column) -> Column:
 
 
 def _matrix(rows: list[list[float]]) -> Column:
-    return F.lit([r or [0.0] for r in rows])
+    return _literal([r or [0.0] for r in rows], "array<array<double>>")
 
 
 def divergences(rows: DataFrame, chars: list[list[float]], common: list[list[float]]) -> DataFrame:
@@ -171,7 +194,7 @@ def divergences(rows: DataFrame, chars: list[list[float]], common: list[list[flo
             p, q = c["n"] / F.col("n_words"), F.get(x, c["code"])
             return F.struct((acc["js"] + _term(p, q) + _term(q, p)).alias("js"), (acc["seen"] + q).alias("seen"))
 
-        other = F.struct(F.lit(0).alias("code"), (F.col("n_words") - n_common).alias("n"))
+        other = F.struct(F.lit(len(_places())).alias("code"), (F.col("n_words") - n_common).alias("n"))
         return F.aggregate(F.concat(F.array(other), "common"), zero, add, lambda acc: acc["js"] + 0.5 * (1 - acc["seen"]))
 
     js_chars = F.when(has & (F.col("n_chars") >= MIN_CHARS), let(F.get(_matrix(chars), "language"), by_class))
