@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, mixing, quality, simhash
+from . import chat, decontam, langid, mixing, quality, simhash, tokens
 from .common import cut, read
 
 
@@ -39,5 +39,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op5_quality": op5_quality, "op6_langid": op6_langid, "op7_decontamination": op7_decontamination, "op8_chat": op8_chat, "op9_mixing": op9_mixing}
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.training_order(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op5_quality": op5_quality, "op6_langid": op6_langid, "op7_decontamination": op7_decontamination, "op8_chat": op8_chat, "op9_mixing": op9_mixing, "op10_tokens": op10_tokens}
 ORACLES: dict[str, str] = {"op7_decontamination": decontam.ORACLE, "op8_chat": chat.ORACLE, "op9_mixing": mixing.ORACLE}
