@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, mixing, quality, simhash, tokens
+from . import chat, decontam, langid, mixing, quality, simhash, tokens, toxicity
 from .common import cut, read
 
 
@@ -43,5 +43,12 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.training_order(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op5_quality": op5_quality, "op6_langid": op6_langid, "op7_decontamination": op7_decontamination, "op8_chat": op8_chat, "op9_mixing": op9_mixing, "op10_tokens": op10_tokens}
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.fit(toxicity.training_rows(docs, read(spark, sf_dir, "labels")))
+    found = toxicity.score(docs, machine)
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op3_toxicity": op3_toxicity, "op5_quality": op5_quality, "op6_langid": op6_langid, "op7_decontamination": op7_decontamination, "op8_chat": op8_chat, "op9_mixing": op9_mixing, "op10_tokens": op10_tokens}
 ORACLES: dict[str, str] = {"op7_decontamination": decontam.ORACLE, "op8_chat": chat.ORACLE, "op9_mixing": mixing.ORACLE}
