@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from . import trace_queries  # noqa: F401
+from .base import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "trace_points"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
