@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import sliced
+
 SAMPLE, ROUNDS, DEPTH, RATE, BINS, SEED = 240, 40, 3, 0.3, 32, 5
 #: What HTML says of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -374,10 +376,8 @@ def main_text(pages: DataFrame, forest: Forest | None) -> DataFrame:
     place = names.index("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                texts = extract_all(part.column(place).to_pylist(), forest)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, "main_text"])
+        for part in sliced(batches):
+            texts = extract_all(part.column(place).to_pylist(), forest)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, "main_text"])
 
     return pages.mapInArrow(run, StructType(list(pages.schema.fields)).add("main_text", "string"))

@@ -27,7 +27,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sliced, stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pattern that byte-level BPE of this family splits texts by.
@@ -43,7 +43,7 @@ class Encoder(dict):
     The pattern never joins what stands on both sides of a single blank, so words can be encoded one by one.
     """
 
-    def __init__(self, vocabulary: bytes, most: int = 250_000):
+    def __init__(self, vocabulary: bytes, most: int = 150_000):
         super().__init__()
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.bpe, self.most = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), most
@@ -82,7 +82,7 @@ def sequences(docs: DataFrame, vocabulary_path: str = VOCABULARY, seq: int = SEQ
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
-        for batch in batches:
+        for batch in sliced(batches, 2000):
             ids, numbers, parts, size = [], [], [], 0
 
             def sent(ids=ids, numbers=numbers, parts=parts):
