@@ -33,6 +33,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pattern that byte-level BPE of this family splits texts by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END_ID, SEQ, SLOTS_PER_SHARD, KEY, ROUNDS = 50256, 512, 32768, 20240607, 6
+#: The files' first places are broadcast up to so many files (of some 100 bytes each).
+BROADCAST_FILES = 50_000
 HEADER = np.dtype([("doc_id", ">i8"), ("seq_no", ">i4"), ("n_tokens", ">i4")])
 NO_ID = -(2**63)
 
@@ -139,7 +141,8 @@ def slots(table: DataFrame, key: int = KEY) -> DataFrame:
     def slot(index: pd.Series) -> pd.Series:
         return pd.Series(permuted(index.to_numpy(), n, key))
 
-    rows = table.join(first, "_file")
+    files = counts.count()
+    rows = table.join(F.broadcast(first) if files <= BROADCAST_FILES else first, "_file")
     return rows.withColumn("slot", slot(F.col("_first") + F.col("_row"))).drop("_file", "_row", "_first")
 
 
