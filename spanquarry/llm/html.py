@@ -322,7 +322,10 @@ def _labelled(page: str) -> tuple[list[list[float]], list[int]]:
 def train(pages: DataFrame, sample: int = SAMPLE) -> Forest | None:
     """Trees from a bounded, hash-chosen sample of pages that mark their article; None if there are none."""
     usable = pages.select(F.col("html").cast("string").alias("html")).where(F.col("html").contains("<article>") & F.col("html").contains("</article>"))
-    chosen = usable.select(F.xxhash64("html").alias("h"), "html").where(F.length("html") < 100_000).orderBy("h").limit(sample).collect()
+    usable = usable.where(F.length("html") < 100_000).select(F.xxhash64("html").alias("h"), "html")
+    share = min(1.0, sample / max(usable.count(), 1))
+    chosen = usable.where(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * share)).dropDuplicates(["h"]).limit(2 * sample).collect()
+    chosen = sorted(chosen, key=lambda r: r.h)[:sample]
     rnd, x, y = random.Random(SEED), [], []
     for r in chosen:
         for variant in _variants(r.html, rnd):
