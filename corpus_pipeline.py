@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spanquarry.llm import decontam, langid, mixing, simhash, tokens
 from spanquarry.llm.common import read, stored
@@ -10,8 +11,8 @@ from spanquarry.llm.common import read, stored
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; what the models reject goes."""
-    found = langid.identify(docs, langid.fitted(docs))
-    return found.where("not lang_rejected").select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    return langid.identify(rows, langid.fitted(docs)).where("not lang_rejected").select("doc.*")
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

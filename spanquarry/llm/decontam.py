@@ -131,7 +131,8 @@ def occurrences(docs: DataFrame, items: DataFrame, span: int = SPAN, rarest: int
             spots = F.sequence(F.greatest(-c["start"], F.lit(0)), F.size(c["hashes"]) - 1)
             same = lambda s: F.xxhash64(F.slice(w, c["start"] + s + 1, c["size"])) == F.get(c["hashes"], s)
             fit = F.filter(F.when(-c["start"] < F.size(c["hashes"]), spots), same)
-            return F.transform(fit, lambda s: F.struct((c["start"] + s).alias("start"), c["size"].alias("size"), c["item"].alias("item"), c["ids"].alias("ids")))
+            hit = lambda s: F.struct((c["start"] + s).alias("start"), c["size"].alias("size"), c["item"].alias("item"), c["ids"].alias("ids"))
+            return F.coalesce(F.transform(fit, hit).cast(HITS), F.array().cast(HITS))  # none if the text starts behind the item's last window
 
         return F.flatten(F.transform("met", at))
 
@@ -165,9 +166,10 @@ def contaminated(docs: DataFrame, items: DataFrame, span: int = SPAN, share: int
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents' rows that are not contaminated."""
-    gone = contaminated(docs, items).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    gone = contaminated(docs, items).where("contaminated").select("doc_id", "text_hash").distinct()
     text = F.col("text").cast("string")
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text, F.length(text)) == F.col("_hash")), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text, F.length(text)).alias("hash"))
+    return rows.join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left_anti").select("doc.*")
 
 
 ORACLE = r"""

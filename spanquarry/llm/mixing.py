@@ -166,10 +166,10 @@ def sized(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The documents' rows as often as the mix takes them."""
-    columns = docs.columns
-    rows = mix(docs.withColumn("size", words(F.col("text"))).withColumn("sources", F.array("source")), seed=seed)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", F.array("source").alias("sources"), words(F.col("text")).alias("size"))
+    rows = mix(rows, seed=seed)
     times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    return rows.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*columns)
+    return rows.where(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select("doc.*")
 
 
 ORACLE = """
