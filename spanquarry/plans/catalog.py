@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import rca_queries, source_queries, trace_queries, window_queries  # noqa: F401
+from . import metric_queries, rca_queries, source_queries, trace_queries, window_queries  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "trace_points"
