@@ -54,6 +54,19 @@ def crc32_mod(col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: Rows in an Arrow batch of texts, which are some kilobytes each and now and then far longer.
+BATCH_ROWS = 1000
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches small enough for texts: the session's limit of rows is lowered to
+    BATCH_ROWS, as Arrow's buffers are outside the executor's heap and beside its Python workers."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df.mapInArrow(run, schema)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in slices, so that few texts are Python objects at once. At the end the worker, which lives on
     beside its executor's JVM, hands free memory back."""

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import sliced
+from .common import mapped, sliced
 
 SAMPLE, ROUNDS, DEPTH, RATE, BINS, SEED = 240, 40, 3, 0.3, 32, 5
 #: What HTML says of elements.
@@ -383,4 +383,4 @@ def main_text(pages: DataFrame, forest: Forest | None) -> DataFrame:
             texts = extract_all(part.column(place).to_pylist(), forest)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, "main_text"])
 
-    return pages.mapInArrow(run, StructType(list(pages.schema.fields)).add("main_text", "string"))
+    return mapped(pages, run, StructType(list(pages.schema.fields)).add("main_text", "string"))

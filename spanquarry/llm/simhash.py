@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sliced
+from .common import cut, mapped, sliced
 
 #: Blocks and matching blocks: radius + m blocks of which m must agree. Finer plans have longer keys and more tables.
 MATCHING = (1, 2, 3, 4)
@@ -32,6 +32,8 @@ MATCHING = (1, 2, 3, 4)
 BUCKET, CHUNK = 256, 2048
 #: Groups of up to this size are compared by shifting the planes, larger ones query by query.
 SMALL = 128
+#: Rows whose groups are compared together.
+TOGETHER = 16_384
 #: Similar groups: words per shingle, similarity, words of the long fingerprint, key tables and bits of a key. At the
 #: similarity itself a pair meets in some table with a probability of 1 - (1 - 0.849 ** 14) ** 24 = 0.92; at 0.9 of 0.997.
 SHINGLE, SIMILARITY, LONG_WORDS, TABLES, KEY_BITS = 5, 0.8, 4, 24, 14
@@ -78,7 +80,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, words: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, k].copy()) for k in range(words))], ["doc_id", *names])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return mapped(rows, run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 # ---- candidate buckets ----
@@ -286,7 +288,7 @@ def _edges(bucket: np.ndarray, ids: np.ndarray, fps: np.ndarray, radius: int) ->
 def _compared(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """bucket, i, j, id, fingerprint words (none: the id is the fingerprint), sorted by the first three; a group that a
     batch's end may have cut waits for the next batch."""
-    held, seen, last = None, 0, None
+    held, seen, last = [], 0, None
 
     def edges(number: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids = rows[:, 0].copy()
@@ -300,14 +302,16 @@ def _compared(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Rec
         change[0] = last is None or last != (raw[0][0], raw[1][0], raw[2][0])
         number, rows = seen + np.cumsum(change), np.stack(raw[3:], axis=1)
         seen, last = int(number[-1]), (raw[0][-1], raw[1][-1], raw[2][-1])
-        if held is not None:
-            number, rows = np.concatenate([held[0], number]), np.concatenate([held[1], rows])
-        whole = number != seen
-        if whole.any():
-            yield from edges(number[whole], rows[whole])
-        held = number[~whole], rows[~whole]
-    if held is not None and len(held[0]):
-        yield from edges(*held)
+        held.append((number, rows))
+        if sum(len(n) for n, _ in held) >= TOGETHER:
+            number, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+            whole = number != seen
+            if whole.any():
+                yield from edges(number[whole], rows[whole])
+            held = [(number[~whole], rows[~whole])]
+    if held:
+        number, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+        yield from edges(number, rows)
 
 
 # ---- components ----

@@ -27,7 +27,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import sliced, stored
+from .common import mapped, sliced, stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pattern that byte-level BPE of this family splits texts by.
@@ -45,7 +45,7 @@ class Encoder(dict):
     The pattern never joins what stands on both sides of a single blank, so words can be encoded one by one.
     """
 
-    def __init__(self, vocabulary: bytes, most: int = 150_000):
+    def __init__(self, vocabulary: bytes, most: int = 100_000):
         super().__init__()
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.bpe, self.most = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), most
@@ -84,7 +84,7 @@ def sequences(docs: DataFrame, vocabulary_path: str = VOCABULARY, seq: int = SEQ
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
-        for batch in sliced(batches, 2000):
+        for batch in sliced(batches):
             ids, numbers, parts, size = [], [], [], 0
 
             def sent(ids=ids, numbers=numbers, parts=parts):
@@ -98,7 +98,7 @@ def sequences(docs: DataFrame, vocabulary_path: str = VOCABULARY, seq: int = SEQ
                     numbers.append(k)
                     parts.append(whole[a : a + 2 * seq])
                 size += len(whole)
-                if size > 8_000_000:
+                if size > 4_000_000:
                     yield sent()
                     for x in (ids, numbers, parts):
                         x.clear()
@@ -107,7 +107,7 @@ def sequences(docs: DataFrame, vocabulary_path: str = VOCABULARY, seq: int = SEQ
                 yield sent()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, seq_no int, n_tokens int, tokens binary")
+    return mapped(rows, run, "doc_id long, seq_no int, n_tokens int, tokens binary")
 
 
 def permuted(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.ndarray:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import crc32_mod, sliced
+from .common import crc32_mod, mapped, sliced
 
 HELD_OUT = (5, 0)
 #: Most labelled rows to train on, hashed features, and terms that are kept.
@@ -75,7 +75,7 @@ def _featured(rows: DataFrame) -> DataFrame:
             lists = [terms(t).astype(np.int32) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "toxic", "terms"])
 
-    return rows.mapInArrow(run, "doc_id long, toxic int, terms array<int>")
+    return mapped(rows, run, "doc_id long, toxic int, terms array<int>")
 
 
 def _screened(lists: list[np.ndarray], y: np.ndarray, kept: int) -> np.ndarray:
@@ -139,7 +139,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
             scores = [machine.score(machine.known(t)) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*names, "toxicity"])
 
-    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("toxicity", "double"))
+    return mapped(docs, run, StructType(list(docs.schema.fields)).add("toxicity", "double"))
 
 
 def held_out(doc_id: Column) -> Column:
