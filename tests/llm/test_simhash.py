@@ -72,3 +72,34 @@ def test_keep_one_and_empty(spark):
     assert len(ids) == len(set(ids)) and 4 in ids and 5 not in ids and kept.where("doc_id is null").count() == 2
     assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.keep_one(empty(spark)).count() == 0
     assert simhash.near_duplicates(rows(spark, ["one"])).first().component_id == 0
+
+
+def test_similar_groups_join_edits_and_leave_others(spark):
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    texts, want = [], []
+    for g in range(30):
+        base = [vocabulary[k] for k in rng.integers(0, 4000, 300)]
+        for k in range(4):
+            words = list(base)
+            for at in rng.integers(0, 300, k + 1):  # two documents differ in up to seven words: at least 0.79
+                words[at] = "edit"
+            texts.append(" ".join(words))
+            want.append(4 * g)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(rows(spark, texts)).collect()}
+    together = sum(got[i] == got[w] for i, w in enumerate(want)) / len(want)
+    assert together > 0.95 and all(want[i] == want[c] for i, c in got.items())
+
+
+def test_wide_links_in_hot_buckets(spark):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, (3, 4), dtype=np.uint64)
+    fps = np.repeat(base, 120, axis=0)
+    for i in range(len(fps)):  # a few bits each: one group per base
+        for _ in range(3):
+            fps[i, rng.integers(4)] ^= np.uint64(1) << np.uint64(rng.integers(64))
+    data = [(i, *map(int, row.view(np.int64))) for i, row in enumerate(fps)]
+    nodes = spark.createDataFrame(data, "id long, fp long, fp1 long, fp2 long, fp3 long")
+    for chunk in (16, 2048):
+        roots = {r.node: r.root for r in simhash.components(simhash.wide_links(nodes, 39, chunk)).collect()}
+        assert [roots[i] for i in range(360)] == [120 * (i // 120) for i in range(360)]
