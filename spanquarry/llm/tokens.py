@@ -18,6 +18,8 @@ sequences; a null doc_id is written as -2**63; the order depends on the key and
 from __future__ import annotations
 
 import base64
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +47,7 @@ class Encoder(dict):
     The pattern never joins what stands on both sides of a single blank, so words can be encoded one by one.
     """
 
-    def __init__(self, vocabulary: bytes, most: int = 100_000):
+    def __init__(self, vocabulary: bytes, most: int = 200_000):
         super().__init__()
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.bpe, self.most = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), most
@@ -55,7 +57,10 @@ class Encoder(dict):
         return found
 
     def encoded(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), "<u2").tobytes()
+        ids = array("H", self.bpe.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def __call__(self, text: str) -> bytes:
         words = text.split(" ")
