@@ -11,8 +11,8 @@ from spanquarry.llm.common import read, stored
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; what the models reject goes."""
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")
-    return langid.identify(rows, langid.fitted(docs)).where("not lang_rejected").select("doc.*")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text", "lang")
+    return langid.identified(rows).where("not lang_rejected").select("doc.*")
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

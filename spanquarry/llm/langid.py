@@ -1,14 +1,16 @@
 """Language identification with interpolated Kneser-Ney character models, one per language.
 
 ``train`` counts the words of all training rows in Spark (each task counts its own words first), turns them into
-character n-gram counts of a padded word (``^word$``), and finds the Kneser-Ney counts by grouping. The grams of all
-languages lie in one sorted array of 64-bit hashes; beside it lie, for each language, the discounted log probability
-parts. ``identify`` looks words up in it (a cache keeps the words seen), sums the bits of a whole text and takes the
-language with the lowest cross-entropy per character. A text is rejected if its cross-entropy lies beyond what training
-texts of that language show (``reject`` standard deviations over their mean, the spread widening for short texts).
+character n-gram counts of a padded word (``^word$``), and finds the Kneser-Ney counts, shares and interpolated costs of
+all grams there by grouping and equi-joins; no gram is left out, so the model grows with the training rows. The grams of
+all languages lie in one sorted array of 64-bit hashes; beside it lie, for each language, the discounted log probability
+parts. These arrays are files that Spark hands to each executor, whose workers map them into memory together.
+``scored`` looks words up in them (a cache keeps the words seen), sums the bits of a whole text and takes the language
+with the lowest cross-entropy per character. A text is rejected if its cross-entropy lies beyond what training texts of
+that language show (``REJECT`` standard deviations over their mean, the spread widening for short texts); all training
+rows are measured for that.
 
-What reaches the driver is the model alone: at most ``max_grams`` grams of the highest order (the most frequent),
-with those that build on them. Letters only; case is folded.
+The files are written on the driver piece by piece; its memory holds a piece at a time. Letters only; case is folded.
 
 Defined results: a null text or one without letters is ``und`` with score 0 and is rejected; rows with a null language
 teach nothing; ties between languages go to the first by name; without any training rows everything is ``und``.
@@ -17,38 +19,44 @@ teach nothing; ties between languages go to the first by name; without any train
 from __future__ import annotations
 
 import dataclasses
+import functools
 import itertools
+import os
 import re
+import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import crc32_mod, cut, mapped, sliced
+from .common import crc32_mod, cut, mapped, sliced, stored
 
 ORDER = 4
-#: Bound of the model: grams of the highest order over all languages.
-MAX_GRAMS = 400_000
-#: Standard deviations above the training mean at which a text is rejected, and the least spread in bits a character.
+#: Standard deviations above the training mean at which a text is rejected, and the least spread in bits a character: a
+#: model knows its training texts' odd words, so their spread is less than that of other texts.
 REJECT, SPREAD = 6.0, 0.35
 #: A cross-entropy difference of 1/SHARP bits a character doubles the odds in the score.
 SHARP = 8.0
 #: Odd multipliers of the gram hash.
 MIX = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-#: Rows on which the rejection limit is calibrated, at most about so many, chosen by hash.
-CALIBRATION = 20_000
 #: Texts scored at once.
 SLICE = 200
 LETTERS = re.compile(r"[^\W\d_]+")
 HELD_OUT = (4, 2)
 
 
+def _trains(n: int = HELD_OUT[0], held: int = HELD_OUT[1]) -> Column:
+    return F.col("lang").isNotNull() & (crc32_mod(F.col("doc_id"), n) != held)
+
+
 def training_rows(docs: DataFrame, n: int = HELD_OUT[0], held: int = HELD_OUT[1]) -> DataFrame:
-    return docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc32_mod(F.col("doc_id"), n) != held)).select("text", "lang")
+    return docs.where(F.col("text").isNotNull() & _trains(n, held)).select("text", "lang")
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -126,26 +134,36 @@ def _word_counts(batches: Iterator[pa.RecordBatch], most: int = 60_000) -> Itera
     yield from sent()
 
 
+@functools.lru_cache(maxsize=2)
+def _opened(name: str, langs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys, cost, back = (np.asarray(np.memmap(SparkFiles.get(f"{name}.{part}"), kind, "r")) for part, kind in (("keys", np.int64), ("cost", np.float32), ("back", np.float32)))
+    return keys, cost.reshape(-1, langs), back.reshape(-1, langs)
+
+
 @dataclasses.dataclass
 class Model:
-    """Sorted hashes of the grams of all orders; for each and each language ``cost``, the bits of its last character
-    after the others (interpolated down to single characters), and ``back``, the bits that it costs as a context to
-    fall back from it."""
+    """Files of the sorted hashes (as signed numbers) of the grams of all orders; for each and each language ``cost``,
+    the bits of its last character after the others (interpolated down to single characters), and ``back``, the bits
+    that it costs as a context to fall back from it."""
 
     langs: list[str]
-    keys: np.ndarray
-    cost: np.ndarray
-    back: np.ndarray
+    name: str
     floor: float  # bits of a character that no training text has
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
 
+    @property
+    def keys(self) -> np.ndarray:
+        return _opened(self.name, len(self.langs))[0]
+
     def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
-        return at, self.keys[at] == asked
+        keys, asked = self.keys, asked.view(np.int64)
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        return at, keys[at] == asked
 
     def bits(self, words: list[str]) -> np.ndarray:
         """[words, langs]: bits of each padded word, its end included."""
+        _, cost, back = _opened(self.name, len(self.langs))
         codes = _codes(words)
         place, _ = _places(words)
         hashes = np.stack(_rolling(codes))
@@ -154,17 +172,17 @@ class Model:
         k = np.minimum(place[at], ORDER - 1)  # order - 1
         while len(at):
             found, hit = self.find(hashes[k, at])
-            out[at[hit]] += self.cost[found[hit]]
+            out[at[hit]] += cost[found[hit]]
             at, k = at[~hit], k[~hit]
             out[at[k == 0]] += self.floor
             at, k = at[k > 0], k[k > 0]
             left, known = self.find(hashes[k - 1, at - 1])
-            out[at[known]] += self.back[left[known]]
+            out[at[known]] += back[left[known]]
             k = k - 1
         return np.add.reduceat(out, np.flatnonzero(place == 0), axis=0)
 
 
-def train(rows: DataFrame, max_grams: int = MAX_GRAMS, discount: float = 0.75) -> Model | None:
+def train(rows: DataFrame, discount: float = 0.75) -> Model | None:
     """rows: text, lang. The model, or None if there is nothing to learn from.
 
     Grams that start a word count as they are; any other gram lends its tail one continuation for each distinct left
@@ -172,43 +190,69 @@ def train(rows: DataFrame, max_grams: int = MAX_GRAMS, discount: float = 0.75) -
     """
     counted = mapped(rows.select("text", "lang"), _word_counts, "lang string, gram string, n long")
     full = cut(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    top = full.orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toArrow()
-    level = dict(zip(zip(top.column("lang").to_pylist(), top.column("gram").to_pylist(), strict=True), top.column("n").to_pylist(), strict=True))
-    if not level:
+    langs = sorted(r.lang for r in full.select("lang").distinct().collect())
+    if not langs:
         return None
-    langs = sorted({lang for lang, _ in level})
-    column = {x: j for j, x in enumerate(langs)}
-    by_order = {k: {} for k in range(1, ORDER + 1)}
-    for key, n in level.items():
-        by_order[len(key[1])][key] = n
-    shares: dict[str, np.ndarray] = {}  # of a gram in its context, by language
-    backs: dict[str, np.ndarray] = {}  # weight that a context leaves to shorter ones
+
+    def by_language(values: DataFrame, key: str, value: str, missing: float) -> DataFrame:
+        """key, value: an array of the value in each language."""
+        known = values.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("lang", value))).alias("known"))
+        return known.select(key, F.transform(F.array(*map(F.lit, langs)), lambda x: F.coalesce(F.try_element_at("known", x), F.lit(missing))).alias(value))
+
+    level, shares, backs = full.where(F.length("gram") == ORDER), {}, []
     for k in range(ORDER, 0, -1):
-        total, kinds = Counter(), Counter()
-        for (lang, g), n in by_order[k].items():
-            total[lang, g[:-1]] += n
-            kinds[lang, g[:-1]] += 1
-        for (lang, g), n in by_order[k].items():
-            shares.setdefault(g, np.zeros(len(langs)))[column[lang]] = max(n - discount, 0) / total[lang, g[:-1]]
-            if k > 1:
-                by_order[k - 1][lang, g[1:]] = by_order[k - 1].get((lang, g[1:]), 0) + 1
-        for (lang, c), n in total.items():
-            if c:
-                backs.setdefault(c, np.ones(len(langs)))[column[lang]] = discount * kinds[lang, c] / n
-    floor = discount / (20 * max(len(by_order[1]), 1))
-    probability: dict[str, np.ndarray] = {}
-    for g in sorted(shares, key=len):
-        shorter = probability[g[1:]] if len(g) > 1 else floor
-        probability[g] = shares[g] + (backs.get(g[:-1], 1.0) if len(g) > 1 else 1.0) * shorter
-    for c in backs:  # contexts that are no gram themselves, such as a word's start
-        if c not in probability:
-            probability[c] = np.full(len(langs), floor)
-    grams = sorted(probability, key=lambda g: (len(g), g))
-    hashes = np.concatenate([gram_hash([g for g in grams if len(g) == k]) for k in range(1, ORDER + 1)])
-    by, one = np.argsort(hashes), np.ones(len(langs))
-    cost = -np.log2(np.array([probability[g] for g in grams]))[by]
-    back = -np.log2(np.array([backs.get(g, one) for g in grams]))[by]
-    return Model(langs, hashes[by], cost.astype(np.float32), back.astype(np.float32), float(-np.log2(floor)))
+        level = cut(level)
+        found = level.withColumn("context", F.substring("gram", 1, k - 1))
+        sides = found.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        share = F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total")
+        shares[k] = by_language(found.join(sides, ["lang", "context"]).withColumn("share", share), "gram", "share", 0.0)
+        if k > 1:
+            backs.append(by_language(sides.withColumn("back", discount * F.col("kinds") / F.col("total")), "context", "back", 1.0))
+            tails = level.groupBy("lang", F.substring("gram", 2, k - 1).alias("gram")).agg(F.count("*").alias("n"))
+            level = full.where(F.length("gram") == k - 1).unionByName(tails)
+    floor = discount / (20 * max(level.count(), 1))
+    back = cut(functools.reduce(DataFrame.unionByName, backs))
+    parts = [cut(shares[1].select("gram", F.transform("share", lambda x: x + floor).alias("p")))]
+    for k in range(2, ORDER + 1):
+        shorter = parts[-1].select(F.col("gram").alias("tail"), F.col("p").alias("shorter"))
+        held = shares[k].select("*", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("tail")).join(back, "context").join(shorter, "tail")
+        parts.append(cut(held.select("gram", F.transform("share", lambda x, i: x + F.get("back", i) * F.get("shorter", i)).alias("p"))))
+    # contexts that are no gram themselves, such as a word's start, have the floor
+    every = functools.reduce(DataFrame.unionByName, parts).join(back.withColumnRenamed("context", "gram"), "gram", "full")
+    flat = lambda x: F.array_repeat(F.lit(x), len(langs))
+    return _filed(every.select("gram", F.coalesce("p", flat(floor)).alias("p"), F.coalesce("back", flat(1.0)).alias("back")), langs, float(-np.log2(floor)))
+
+
+def _filed(grams: DataFrame, langs: list[str], floor: float) -> Model:
+    """The model of gram, p, back: sorted by hash in Spark, then written to the files piece by piece."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            keys = np.zeros(len(names), np.uint64)
+            for k in range(1, ORDER + 1):
+                at = [i for i, g in enumerate(names) if len(g) == k]
+                keys[at] = gram_hash([names[i] for i in at])
+            rows = [pa.array([x.tobytes() for x in -np.log2(c.flatten().to_numpy().reshape(-1, len(langs))).astype(np.float32)], pa.binary()) for c in batch.columns[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *rows], ["key", "cost", "back"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                blobs = [batch.column(0).to_numpy().tobytes(), *(b"".join(c.to_pylist()) for c in batch.columns[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in blobs], ["keys", "cost", "back"])
+
+    rows = cut(grams.mapInArrow(hashed, "key long, cost binary, back binary").orderBy("key"))
+    name = f"langid-{uuid.uuid4().hex}"
+    base = os.path.join(tempfile.mkdtemp(prefix="spark-langid-"), name)
+    with open(f"{base}.keys", "wb") as keys, open(f"{base}.cost", "wb") as cost, open(f"{base}.back", "wb") as back:
+        for row in rows.mapInArrow(packed, "keys binary, cost binary, back binary").toLocalIterator():
+            keys.write(row["keys"])
+            cost.write(row["cost"])
+            back.write(row["back"])
+    for part in ("keys", "cost", "back"):
+        grams.sparkSession.sparkContext.addFile(f"{base}.{part}")
+    return Model(langs, name, floor)
 
 
 class Scorer:
@@ -245,61 +289,81 @@ class Scorer:
         return bits, chars
 
 
-def calibrate(model: Model, rows: DataFrame) -> Model:
-    """Mean and spread of the cross-entropy of training texts under their own language ."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score, at = Scorer(model), {x: j for j, x in enumerate(model.langs)}
-        sums = np.zeros((len(model.langs), 3))
-        for batch in sliced(batches, SLICE):
-            every, sizes = score(batch.column(0).to_pylist())
-            for bits, n, lang in zip(every, sizes, batch.column(1).to_pylist(), strict=True):
-                if n >= 40 and lang in at:
-                    x = bits[at[lang]] / n
-                    sums[at[lang]] += (1, x, x * x)
-        yield pa.RecordBatch.from_arrays([pa.array(model.langs), *(pa.array(sums[:, i]) for i in range(3))], ["lang", "n", "x", "xx"])
-
-    found = {r.lang: r for r in mapped(rows.select("text", "lang"), run, "lang string, n double, x double, xx double").groupBy("lang").agg(*(F.sum(c).alias(c) for c in ("n", "x", "xx"))).collect()}
-    stats = [(found[x].x / found[x].n, found[x].xx / found[x].n) if x in found and found[x].n else (8.0, 68.0) for x in model.langs]
-    mean = np.array([m for m, _ in stats])
-    return dataclasses.replace(model, mean=mean, spread=np.maximum(np.sqrt(np.maximum(np.array([q for _, q in stats]) - mean**2, 0)), SPREAD))
-
-
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred, lang_score (0 to 1), lang_rejected added; rows keep their order and columns."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_rejected")]
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with lang_pred, lang_score (0 to 1), _rate (bits a character under the language predicted), _own (under the
+    row's own ``lang``, null if the model has none such) and _chars added."""
+    names = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_rejected", "_rate", "_own", "_chars")]
     docs = docs.select(*names)
-    if model is None:
-        return docs.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("lang_score"), F.lit(True).alias("lang_rejected"))
-    text = names.index("text")
+    text, own = names.index("text"), names.index("lang") if "lang" in names else None
+    at = {x: j for j, x in enumerate(model.langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(model)
         for batch in sliced(batches, SLICE):
-            out = []
-            for bits, n in zip(*score(batch.column(text).to_pylist()), strict=True):
+            out, langs = [], batch.column(own).to_pylist() if own is not None else [None] * batch.num_rows
+            for bits, n, lang in zip(*score(batch.column(text).to_pylist()), langs, strict=True):
                 if not n:
-                    out.append(("und", 0.0, True))
+                    out.append(("und", 0.0, None, None, 0))
                     continue
                 rate = bits / n
                 best = int(np.argmin(rate))
                 odds = np.exp2(-SHARP * (rate - rate[best]))
-                limit = model.mean[best] + REJECT * model.spread[best] * (1 + 6 / np.sqrt(n)) if model.mean is not None else np.inf
-                out.append((model.langs[best], float(1 / odds.sum()), bool(rate[best] > limit)))
-            added = [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*names, "lang_pred", "lang_score", "lang_rejected"])
+                out.append((model.langs[best], float(1 / odds.sum()), float(rate[best]), float(rate[at[lang]]) if lang in at else None, int(n)))
+            added = [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*names, *ADDED])
 
-    schema = StructType(list(docs.schema.fields)).add("lang_pred", "string").add("lang_score", "double").add("lang_rejected", "boolean")
+    schema = StructType(list(docs.schema.fields))
+    for name, kind in ADDED.items():
+        schema = schema.add(name, kind)
     return mapped(docs, run, schema)
 
 
+ADDED = {"lang_pred": "string", "lang_score": "double", "_rate": "double", "_own": "double", "_chars": "long"}
+
+
+def calibrate(model: Model, found: DataFrame) -> Model:
+    """Mean and spread of the cross-entropy of all training texts (lang, _own, _chars) under their own language."""
+    seen = found.where("_own is not null and _chars >= 40").groupBy("lang").agg(F.avg("_own").alias("mean"), F.stddev_pop("_own").alias("spread"))
+    stats = {r.lang: (r["mean"], r["spread"]) for r in seen.collect()}
+    of = np.array([stats.get(x, (8.0, 2.0)) for x in model.langs])
+    return dataclasses.replace(model, mean=of[:, 0], spread=np.maximum(of[:, 1], SPREAD))
+
+
+def judged(found: DataFrame, model: Model) -> DataFrame:
+    """Scored rows with lang_rejected instead of the inner columns."""
+    names = [c for c in found.columns if c not in ADDED]
+    limit = F.lit(float("inf"))
+    if model.mean is not None:
+        at = F.array_position(F.array(*map(F.lit, model.langs)), F.col("lang_pred")).cast("int") - 1
+        mean, spread = (F.get(F.array(*[F.lit(float(x)) for x in v]), at) for v in (model.mean, model.spread))
+        limit = mean + REJECT * spread * (1 + 6 / F.sqrt("_chars"))
+    return found.select(*names, "lang_pred", "lang_score", F.coalesce(F.col("_rate") > limit, F.lit(True)).alias("lang_rejected"))
+
+
+def _unknown(docs: DataFrame) -> DataFrame:
+    names = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_rejected")]
+    return docs.select(*names, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("lang_score"), F.lit(True).alias("lang_rejected"))
+
+
+def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+    """docs with lang_pred, lang_score (0 to 1), lang_rejected added; rows keep their order and columns."""
+    return _unknown(docs) if model is None else judged(scored(docs, model), model)
+
+
 def fitted(docs: DataFrame) -> Model | None:
     rows = training_rows(docs)
     model = train(rows)
+    return None if model is None else calibrate(model, scored(rows, model).select("lang", "_own", "_chars"))
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, lang and others) without their text, with lang_pred, lang_score and lang_rejected by models
+    that are fitted on the same table: as ``identify`` with ``fitted``, but texts are scored once for both."""
+    model = train(training_rows(docs))
     if model is None:
-        return None
-    share = min(1.0, CALIBRATION / max(rows.count(), 1))
-    return calibrate(model, rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * share)))
+        return _unknown(docs).drop("text")
+    found = stored(scored(docs, model).drop("text"), "languages")
+    return judged(found, calibrate(model, found.where(_trains())))
 
 
 def held_out(doc_id: Column) -> Column:

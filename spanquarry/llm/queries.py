@@ -25,8 +25,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    found = langid.identify(docs.select("doc_id", "text"), langid.fitted(docs))
+    found = langid.identified(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_rejected")
 
 

@@ -164,6 +164,16 @@ def test_kneser_ney_matches_its_definition(spark):
             assert got[j] == pytest.approx(plain_bits(collections.Counter(t.split()), word, 0.75 / (20 * letters)), rel=1e-3), word
 
 
+def test_a_small_language_keeps_its_grams_beside_a_large_one(spark):
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyz" + "абвгдежзийклмнопрстуфхцчшщ")
+    large = [" ".join("".join(w) for w in rng.choice(letters, (3000, 8))) for _ in range(40)]
+    small = "kolibu rastemi vodaku pelino zumareti kolinda rasteku vodami pelibu zumaku " * 2
+    model = langid.train(rows(spark, large * 2 + [small], ["aa"] * 80 + ["zz"]).select("text", "lang"))
+    assert model.langs == ["aa", "zz"] and len(model.keys) > 600_000
+    assert langid.identify(rows(spark, [small]), model).first().lang_pred == "zz"
+
+
 # ---- toxicity ----
 
 
