@@ -13,12 +13,14 @@
 
 Defined results: a null or empty text is one sequence that holds the end id alone; repeated rows each keep their
 sequences; a null doc_id is written as -2**63; the order depends on the key and the stored table alone.
+``training_order`` writes the shards to the shared folder before it returns the rows.
 """
 
 from __future__ import annotations
 
 import base64
 import sys
+import uuid
 from array import array
 from collections.abc import Iterator
 
@@ -29,7 +31,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, sliced, stored
+from .common import mapped, shared_dir, sliced, stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pattern that byte-level BPE of this family splits texts by.
@@ -151,14 +153,16 @@ def slots(table: DataFrame, key: int = KEY) -> DataFrame:
     return rows.withColumn("slot", slot(F.col("_first") + F.col("_row"))).drop("_file", "_row", "_first")
 
 
-def training_order(docs: DataFrame, vocabulary_path: str = VOCABULARY, seq: int = SEQ, per_shard: int = SLOTS_PER_SHARD, key: int = KEY) -> DataFrame:
-    """slot, shard, offset (of the record in its shard), doc_id, seq_no, n_tokens, tokens, each shard one partition."""
+def training_order(docs: DataFrame, vocabulary_path: str = VOCABULARY, seq: int = SEQ, per_shard: int = SLOTS_PER_SHARD, key: int = KEY, path: str | None = None) -> DataFrame:
+    """slot, shard, offset (of the record in its shard), doc_id, seq_no, n_tokens, tokens, each shard one partition. The
+    shards are written to path, or else to a new folder shards-... in the shared folder."""
     table = stored(sequences(docs, vocabulary_path, seq), "sequences")
     rows = slots(table, key)
     rows = rows.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
     n = max(1, -(-table.count() // per_shard))
     dealt = rows.repartitionById(n, F.col("shard")).sortWithinPartitions("slot")
     offset = (F.col("slot") - F.col("shard").cast("long") * per_shard) * stride(seq)
+    write_shards(rows, path or f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}", seq)
     return dealt.select("slot", "shard", offset.alias("offset"), "doc_id", "seq_no", "n_tokens", "tokens")
 
 

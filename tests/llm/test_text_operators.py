@@ -12,6 +12,7 @@ from helpers import WORD, empty, odd, rows  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from spanquarry.llm import decontam, html, langid, mixing, pii, quality, tokens, toxicity  # noqa: E402
+from spanquarry.llm.common import shared_dir  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -273,3 +274,12 @@ def test_tokens_round_trip_and_shards(spark, tmp_path):
     assert back == [(r.doc_id, r.seq_no, r.tokens) for r in found.sort_values("slot").itertuples()]
     assert [x[:2] for x in ((d, k) for d, k, _ in tokens.read_shard(spark, path, 0, 3, 64))] == [x[:2] for x in back[3:500]]
     assert tokens.training_order(empty(spark)).count() == 0 and tokens.training_order(odd(spark)).where("doc_id is null").count() > 0
+
+
+def test_training_order_writes_its_shards(spark, tmp_path):
+    docs = odd(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
+    before = set(Path(shared_dir(spark).removeprefix("file://")).glob("shards-*"))
+    found = tokens.training_order(docs, seq=64, per_shard=500).toPandas().sort_values("slot")
+    (new,) = set(Path(shared_dir(spark).removeprefix("file://")).glob("shards-*")) - before
+    back = [(d, k, ids.tobytes()) for s in sorted(found["shard"].unique()) for d, k, ids in tokens.read_shard(spark, f"file://{new}", int(s), seq=64)]
+    assert back == [(r.doc_id, r.seq_no, r.tokens) for r in found.itertuples()]
