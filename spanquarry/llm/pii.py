@@ -7,7 +7,8 @@ Bootstrapping. Units are runs of tokens with a digit or an at sign, their outer
 around them. A unit that holds a base span is a seed of its kind; any other that could be an identifier (SHAPE) is an
 unknown instance. Patterns are the contexts: the two words before, the word before with the word after, and the word
 before if it ends in a cue such as a colon. The pattern-instance graph is scored in rounds: a pattern's confidence for
-a kind is the score-weighted share of the distinct instances that it extracts (at least SUPPORT seeds), an instance's
+a kind is the score-weighted share of the distinct instances that it extracts (at least SUPPORT of them seeds or accepted
+in the round before), an instance's
 score is the noisy-or of its confident patterns. Instances of a score of ACCEPT or more are identifiers wherever they
 stand in such a context; they become spans of that kind unless they overlap a base span.
 
@@ -160,13 +161,13 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, co
     """instance, kind, pattern of accepted unknown instances in confident patterns, by rounds over the graph's edges."""
     edges = found.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.min("kind").alias("seed"))
     sides = edges.groupBy("pattern").agg(F.count("seed").alias("seeds"), F.count("*").alias("all"))
-    # only a pattern with seeds and with something unknown can find anything
-    live = cut(edges.join(sides.where((F.col("seeds") >= support) & (F.col("seeds") < F.col("all"))).select("pattern"), "pattern"))
+    # only a pattern with enough instances, some of them unknown, can ever find anything
+    live = cut(edges.join(sides.where((F.col("all") >= support) & (F.col("seeds") < F.col("all"))).select("pattern"), "pattern"))
     scores = live.where("seed is not null").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
     totals = live.groupBy("pattern").agg(F.count("*").alias("all"))
     chosen = None
     for _ in range(rounds):
-        held = live.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"))
+        held = live.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count_if(F.col("score") >= accept).alias("held")).where(F.col("held") >= support)
         patterns = held.join(totals, "pattern").select("pattern", "kind", (F.col("sum") / (F.col("all") + 1)).alias("confidence")).where(F.col("confidence") >= confident)
         patterns = cut(patterns)
         new = live.where("seed is null").join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("score"))

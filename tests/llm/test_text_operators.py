@@ -60,6 +60,15 @@ def test_contexts_find_unseen_identifiers_and_keep_base_spans(spark):
     assert seeds[0][found[0].base[0].start : found[0].base[0].end] == "+1 (988) 555-1000" and unseen[0][found[20].spans[0].start : found[20].spans[0].end] == "0400000000"
 
 
+def test_accepted_identifiers_support_further_contexts(spark):
+    seeds = [f"Hello. My phone number: +1 (988) 555-{1000 + i} is here." for i in range(30)]
+    both = [f"Hi there. my phone number: 0{400000000 + 37 * i} is here. Please dial extension: 0{400000000 + 37 * i} after noon." for i in range(8)]
+    only = "Please dial extension: 0777123456 after noon."
+    found = {r.doc_id: r for r in pii.find(rows(spark, [*seeds, *both, only])).collect()}
+    assert found[38].n_added == 1 and only[found[38].spans[0].start : found[38].spans[0].end] == "0777123456"
+    assert all(found[i].n_added == 2 for i in range(30, 38))
+
+
 # ---- quality ----
 
 
