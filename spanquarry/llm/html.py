@@ -10,7 +10,7 @@ The trees are trained on at most SAMPLE pages of the corpus, chosen by hash (the
 Labels come from pages that mark their article; variants of the same pages with the marks renamed or removed, and with
 comments, forms, notices and sidebars put in, teach the other features to do without the marks.
 
-Defined results: null or empty html gives the empty text; text in a tag that never ends is markup; without any page
+Defined results: null or empty html gives the empty text; a script, style, textarea or title that never ends is markup; without any page
 that marks an article, the elements' own meaning decides (a fixed rule); repeated rows are treated alike.
 """
 
@@ -33,7 +33,9 @@ from .common import mapped, sliced
 SAMPLE, ROUNDS, DEPTH, RATE, BINS, SEED = 240, 40, 3, 0.3, 32, 5
 #: What HTML says of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title object svg math select".split())
+RAW = frozenset("script style textarea title".split())
+#: Left out up to their end tag; without one, or closed by a slash, the tag alone.
+INERT = frozenset("noscript template iframe svg select".split())
 BLOCK = frozenset("html body address article aside blockquote button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul head".split())
 ENDS_P = BLOCK - {"html", "body", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "legend", "button", "figcaption"}
 SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "p": {"p"}}
@@ -61,6 +63,7 @@ def parse(page: str) -> Node:
     root = now = Node("#root", (), None)
     parts: list[str] = []
     linked, anchors, at, low = 0, 0, 0, None
+    endless: set[str] = set()
 
     def close_run() -> None:
         nonlocal parts, linked
@@ -111,6 +114,15 @@ def parse(page: str) -> Node:
                 if up.parent:
                     now = up.parent
             continue
+        if tag in INERT:
+            low = low or page.lower()
+            end = -1 if inside.endswith("/") or tag in endless else low.find("</" + tag, at)
+            if end >= 0:
+                gt = page.find(">", end)
+                at = gt + 1 if gt >= 0 else len(page)
+            elif not inside.endswith("/"):
+                endless.add(tag)
+            continue
         if tag in RAW:
             low = low or page.lower()
             end = low.find("</" + tag, at)

@@ -233,6 +233,12 @@ def test_empty_pages(spark):
     assert html.train(none) is None and html.main_text(none, None).count() == 0
 
 
+def test_icons_and_foreign_content_do_not_cut_the_text():
+    page = '<article><p>One <svg class="i"/> two <math><mi>x</mi></math> three <object><b>four</b></object></p><p>Five <svg><title>no</title></svg> six <select> seven</p><p>Eight</p></article>'
+    assert html.extract(page, None) == "One two x three four\nFive six seven\nEight"
+    assert html.extract("<article><p>a</p><script>b</article>", None) == "a"
+
+
 # ---- mixing ----
 
 
