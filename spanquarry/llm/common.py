@@ -23,9 +23,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir if set, else (tests, one machine) a new one."""
+    """The folder that all executors share: spark.checkpoint.dir if set, else the context's checkpoint folder. On a single
+    machine (tests) a new local one serves; on a cluster that would not be shared, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir=os.environ.get("TMPDIR", "/tmp"))
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -45,6 +48,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes up to which a table is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def bounded(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, to be broadcast if its rows of so many bytes are few enough; else left to a shuffled join."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row."""
     return F.transform(F.array(value), body)[0]
