@@ -6,12 +6,15 @@ ancestors are). Boosted trees give each node the odds of belonging to the articl
 node that is dropped drops all below it, and the choice is the one of largest summed log-odds under that rule, so no
 run is kept inside a dropped element.
 
-The trees are trained on at most SAMPLE pages of the corpus, chosen by hash (the bound of what reaches the driver).
-Labels come from pages that mark their article; variants of the same pages with the marks renamed or removed, and with
-comments, forms, notices and sidebars put in, teach the other features to do without the marks.
-
-Defined results: null or empty html gives the empty text; a script, style, textarea or title that never ends is markup; without any page
-that marks an article, the elements' own meaning decides (a fixed rule); repeated rows are treated alike.
+The trees are trained on at most SAMPLE pages of the corpus, chosen by hash, of at most LONGEST characters each (both
+bound what reaches the driver; every page is extracted whatever its length). Labels come from pages that mark their
+article: with an ``article`` or ``main`` element, with attributes or without, or by ``itemprop=articleBody``. Variants of
+the same pages with the marks renamed or removed, and with comments, forms, notices and sidebars put in, teach the other
+features to do without the marks.
+
+Defined results: null or empty html gives the empty text; a script, style, textarea or title that never ends is markup;
+without any page that marks an article, the elements' own meaning decides (a fixed rule); repeated rows are treated
+alike; further columns stay, but for one named main_text, which is replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql.types import StructType
 
 from .common import mapped, sliced
 
-SAMPLE, ROUNDS, DEPTH, RATE, BINS, SEED = 240, 40, 3, 0.3, 32, 5
+SAMPLE, LONGEST, ROUNDS, DEPTH, RATE, BINS, SEED = 240, 100_000, 40, 3, 0.3, 32, 5
 #: What HTML says of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title".split())
@@ -62,7 +65,7 @@ def parse(page: str) -> Node:
     """The page's tree. Kids are elements (block-level) and text runs (tag ``#``); inline markup melts into the runs."""
     root = now = Node("#root", (), None)
     parts: list[str] = []
-    linked, anchors, at, low = 0, 0, 0, None
+    linked, anchors, at = 0, 0, 0
     endless: set[str] = set()
 
     def close_run() -> None:
@@ -115,8 +118,7 @@ def parse(page: str) -> Node:
                     now = up.parent
             continue
         if tag in INERT:
-            low = low or page.lower()
-            end = -1 if inside.endswith("/") or tag in endless else low.find("</" + tag, at)
+            end = -1 if inside.endswith("/") or tag in endless else _end_tag(page, tag, at)
             if end >= 0:
                 gt = page.find(">", end)
                 at = gt + 1 if gt >= 0 else len(page)
@@ -124,8 +126,7 @@ def parse(page: str) -> Node:
                 endless.add(tag)
             continue
         if tag in RAW:
-            low = low or page.lower()
-            end = low.find("</" + tag, at)
+            end = _end_tag(page, tag, at)
             gt = page.find(">", end) if end >= 0 else -1
             at = gt + 1 if gt >= 0 else len(page)
             continue
@@ -152,6 +153,15 @@ def parse(page: str) -> Node:
     return root
 
 
+_END_TAGS = {tag: re.compile(f"</{tag}(?![a-z0-9-])", re.IGNORECASE | re.ASCII) for tag in RAW | INERT}
+
+
+def _end_tag(page: str, tag: str, at: int) -> int:
+    """Where the tag's end tag begins, in either case of letters (in the page itself: a lower-cased copy may be longer); -1 without one."""
+    found = _END_TAGS[tag].search(page, at)
+    return found.start() if found else -1
+
+
 def _tag_end(page: str, lt: int) -> int:
     """The > that ends the tag; a > inside a quoted attribute does not."""
     gt = page.find(">", lt)
@@ -284,6 +294,12 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> Forest:
 
 # ---- training pages ----
 
+_START_MARK = re.compile(r"<(?:article|main)(?:\s[^>]*)?>", re.IGNORECASE)
+_ITEMPROP = re.compile(r"""itemprop\s*=\s*["']?articlebody["']?""", re.IGNORECASE)
+#: The same for Spark: pages that mark their article.
+MARKED = r"""(?is)<(article|main)(\s[^>]*)?>.*</\1\s*>|itemprop\s*=\s*["']?articlebody"""
+#: Words of an element's attributes that make it no part of the article even inside its mark.
+NEVER = frozenset("ad ads advert advertisement comment comments cookie cookies disqus newsletter promo related sidebar sponsored subscribe".split())
 
 def _variants(page: str, rnd: random.Random) -> list[str]:
     """The page, and forms of it whose labels stay known: marks renamed to plain elements, boilerplate put in."""
@@ -303,10 +319,11 @@ def _variants(page: str, rnd: random.Random) -> list[str]:
     def filled(text: str) -> str:
         before, after = (b() for b in rnd.sample(boiler, 2))
         inner = rnd.choice(boiler)() if rnd.random() < 0.5 else ""
-        text = re.sub(r"(<(?:article|div data-a)[^>]*>)", before.replace("\\", "") + r"\1", text, count=1)
-        return re.sub(r"(</article>|<!--end-a-->)", inner + r"\1" + after, text, count=1)
+        text = re.sub(r"(<(?:article|main|div data-a)(?:\s[^>]*)?>)", before.replace("\\", "") + r"\1", text, count=1, flags=re.IGNORECASE)
+        return re.sub(r"(</(?:article|main)\s*>|<!--end-a-->)", inner + r"\1" + after, text, count=1, flags=re.IGNORECASE)
 
-    plain = page.replace("<article>", "<div data-a>").replace("</article>", "<!--end-a--></div>")
+    plain = _START_MARK.sub("<div data-a>", page).replace("<!--end-a-->", "")
+    plain = _ITEMPROP.sub("data-a", re.sub(r"</(?:article|main)\s*>", "<!--end-a--></div>", plain, flags=re.IGNORECASE))
     listed = re.sub(r"<nav>", '<div class="menu" data-b>', plain).replace("</nav>", "</div>").replace("<footer>", '<div class="footer" data-b>').replace("</footer>", "</div>")
     classed = plain.replace("<div data-a>", f'<div class="{rnd.choice(["post-content", "entry", "story-body", "c1"])}" data-a>')
     return [page, filled(page), filled(plain), filled(listed), filled(classed)]
@@ -314,7 +331,7 @@ def _variants(page: str, rnd: random.Random) -> list[str]:
 
 def _labelled(page: str) -> tuple[list[list[float]], list[int]]:
     """Features and labels of a page that marks its article (by the element, or by data-a and data-b of a variant)."""
-    marked = page.replace(" data-a", ' class="zzarticle"').replace(" data-b", ' id="zzboiler"')
+    marked = _ITEMPROP.sub('class="zzarticle"', page).replace(" data-a", ' class="zzarticle"').replace(" data-b", ' id="zzboiler"')
     marked = re.sub(r'class="([^"]*)" class="zzarticle"', r'class="\1 zzarticle"', marked)
     root = parse(marked)
     nodes, rows = features(root)
@@ -322,7 +339,7 @@ def _labelled(page: str) -> tuple[list[list[float]], list[int]]:
     labels = []
     for n in nodes:
         up = inside[n.parent] if n.parent else 0
-        bad = "zzboiler" in n.words or n.tag in BOILER_TAGS
+        bad = "zzboiler" in n.words or n.tag in BOILER_TAGS or not NEVER.isdisjoint(n.words)
         inside[n] = -1 if bad or up < 0 else 1 if up or n.tag in ARTICLE_TAGS or "zzarticle" in n.words else 0
         labels.append(int(inside[n] > 0 or any(k in ("zzarticle",) for k in n.words)))
     for n in reversed(nodes):  # what holds the article is kept with it
@@ -331,10 +348,10 @@ def _labelled(page: str) -> tuple[list[list[float]], list[int]]:
     return rows, labels
 
 
-def train(pages: DataFrame, sample: int = SAMPLE) -> Forest | None:
+def train(pages: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Forest | None:
     """Trees from a bounded, hash-chosen sample of pages that mark their article; None if there are none."""
-    usable = pages.select(F.col("html").cast("string").alias("html")).where(F.col("html").contains("<article>") & F.col("html").contains("</article>"))
-    usable = usable.where(F.length("html") < 100_000).select(F.xxhash64("html").alias("h"), "html")
+    usable = pages.select(F.col("html").cast("string").alias("html")).where((F.length("html") <= longest) & F.col("html").rlike(MARKED))
+    usable = usable.select(F.xxhash64("html").alias("h"), "html")
     share = min(1.0, sample / max(usable.count(), 1))
     chosen = usable.where(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * share)).dropDuplicates(["h"]).limit(2 * sample).collect()
     chosen = sorted(chosen, key=lambda r: r.h)[:sample]
