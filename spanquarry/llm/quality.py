@@ -1,17 +1,22 @@
 """Quality rules by distribution divergence, in DataFrame operations throughout.
 
 A document's histogram of character classes and its histogram of common words are compared with those of reference
-languages by the Jensen-Shannon divergence (base 2, so 0 to 1); the closest language counts. The references are sums
-over all documents of the corpus that pass the base rules; which language a document lends its sums to is the language
-whose common words it uses most, so no label is read. Short documents are not judged by a histogram that they are too
-short for: below MIN_CHARS no character verdict, below MIN_WORDS no word verdict. All other words are one bin of the word
-histogram, so a text without common words is far from every language.
+languages by the Jensen-Shannon distance (the square root of the divergence to base 2, so 0 to 1). The references are
+sums over all documents of the corpus that pass the base rules; which language a document lends its sums to, and is
+compared with, is the language whose common words it uses most, so no label is read. All other words are one bin of the
+word histogram, so a text without common words is far from every language.
+
+Guards: below MIN_CHARS there is no character verdict, below MIN_WORDS no word verdict. A text of which the language's
+common words are a share between HINT and DECIDED is prose of no reference language (a related one, say) and gets no
+word verdict; below HINT it is no prose of any. A text of which most letters are of another script than the references'
+gets no verdict but that of the base rules.
 
 The base counts (word characters, symbols, repeated lines, words in repeated windows) come from arrays in the row; no
 word leaves its row.
 
 Defined results: a null text has no words and fails the base rules; a language no document lends to is no reference;
-without any reference all documents that pass the base rules are kept.
+without any reference all documents that pass the base rules are kept; ties between languages go to the first by name;
+texts are taken whole whatever their length; each row, repeated or not, has its own result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,11 +40,15 @@ COMMON = {
 #: Character classes, as Java patterns; lower-case letters and blanks are taken out first, the rest is the last class.
 LOWER, BLANK = r"[\p{Ll}\p{Lo}]+", BLANKS
 CLASSES = {"upper": r"[\p{Lu}\p{Lt}]", "digit": r"\p{Nd}", "stop": r"[.,;:!?'\"()-]"}
-#: Common words count as they stand, capitalised, or before one of these; size of the table of their hashes.
-ENDINGS, BINS = ("", ".", ","), 4096
+#: Common words count as they stand, capitalised, or before one of these; least size of the table of their hashes.
+ENDINGS, BINS = ("", ".", ","), 20_000
 MIN_CHARS, MIN_WORDS = 200, 50
-#: Largest divergence from the closest reference that a kept document may have.
-MOST_CHARS, MOST_WORDS = 0.10, 0.13
+#: Largest distance from the language's reference that a kept document may have.
+MOST_CHARS, MOST_WORDS = 0.32, 0.36
+#: Shares of a language's common words from which a text is taken for its prose, and for prose at all.
+DECIDED, HINT = 0.20, 0.08
+#: Letters of other scripts than that of the references.
+FOREIGN = r"[\p{L}&&[^\p{IsLatin}]]"
 SYMBOLS = "[#*$%&|<>]"
 MIN_KEPT_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 
@@ -101,12 +110,25 @@ def _forms() -> dict[str, int]:
     return {form + end: i for w, i in _places().items() for form in (w, w.capitalize()) for end in ENDINGS}
 
 
+@functools.cache
+def _table() -> list[int]:
+    """The forms' numbers by hash, in a table of such a size that no two forms share a place (-1: no form's place)."""
+    hashes = {xxhash.xxh64_intdigest(form.encode(), 42): i for form, i in _forms().items()}
+    size = BINS
+    while len({h % size for h in hashes}) < len(hashes):
+        size += 1
+    out = [-1] * size
+    for h, i in hashes.items():
+        out[h % size] = i
+    return out
+
+
 def _number(form: Column) -> Column:
-    """The number of a common word's form, looked up by hash (two forms of one bin would count as one word)."""
-    table = [-1] * BINS
-    for text, i in _forms().items():
-        table[xxhash.xxh64_intdigest(text.encode(), 42) % BINS] = i
-    return F.get(_literal(table, "array<int>"), F.pmod(F.xxhash64(form), F.lit(BINS)).cast("int"))
+    """The number of a common word's form; only for words that are one of the forms."""
+    table = _table()
+    h = F.xxhash64(form)  # signed: as unsigned, modulo the size
+    place = F.pmod(F.pmod(h, F.lit(len(table))) + F.when(h < 0, 2**64 % len(table)).otherwise(0), F.lit(len(table)))
+    return F.get(_literal(table, "array<int>"), place.cast("int"))
 
 
 def _literal(values: list, kind: str) -> Column:
@@ -120,9 +142,11 @@ def _votes(language: str) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, n_chars, classes (counts: lower, blank, CLASSES, rest), common (array of code, n), language.
+    """doc_id, the base counts, n_chars, classes (counts: lower, blank, CLASSES, rest), common (array of code, n),
+    language, votes, foreign.
 
-    language: number of the language (by name) whose common words the text has most of, null without any.
+    language: number of the language (by name) whose common words the text has most of, null without any; votes: how many
+    words that are; foreign: whether most of the text's letters are of another script.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
@@ -141,12 +165,14 @@ def features(docs: DataFrame) -> DataFrame:
     rows = rows.select(
         "doc_id", let(_words(F.col("text")), per_words).alias("f"), let(F.regexp_replace("text", LOWER, ""), per_chars).alias("c"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), F.length("text").cast("long").alias("n_chars"),
+        F.when(10 * F.octet_length("text") > 13 * F.length("text"), F.regexp_count("text", F.lit(FOREIGN))).otherwise(0).cast("long").alias("foreign"),
     )
     lower, blank = F.col("n_chars") - F.col("c.t"), (F.col("c.t") - F.col("c.u")).cast("long")
     rest = F.col("c.u") - F.aggregate("c.few", F.lit(0).cast("long"), lambda acc, n: acc + n)
-    rows = rows.select("doc_id", "f.*", (F.col("n_chars") - blank).alias("word_chars"), "c.n_symbols", "n_dup_lines", "n_chars", F.concat(F.array(lower, blank), "c.few", F.array(rest)).alias("classes"))
+    rows = rows.select("doc_id", "f.*", (F.col("n_chars") - blank).alias("word_chars"), "c.n_symbols", "n_dup_lines", "n_chars", F.concat(F.array(lower, blank), "c.few", F.array(rest)).alias("classes"), (2 * F.col("foreign") > F.col("n_chars") - blank).alias("foreign"))
     rows = rows.withColumn("votes", F.array(*[_votes(x) for x in sorted(COMMON)]))
-    return rows.withColumn("language", F.when(F.array_max("votes") > 0, F.array_position("votes", F.array_max("votes")).cast("int") - 1)).drop("votes")
+    language = F.when(F.array_max("votes") > 0, F.array_position("votes", F.array_max("votes")).cast("int") - 1)
+    return rows.withColumn("language", language).withColumn("votes", F.array_max("votes"))
 
 
 def base_failed() -> Column:
@@ -155,7 +181,7 @@ def base_failed() -> Column:
 
 def references(rows: DataFrame) -> tuple[list[list[float]], list[list[float]]]:
     """For each language the shares of the character classes, and of the common words by code; empty without documents."""
-    good = rows.where(~base_failed() & F.col("language").isNotNull())
+    good = rows.where(~base_failed() & ~F.col("foreign") & F.col("language").isNotNull())
     sums = good.groupBy("language").agg(*[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 3)]).collect()
     said = {r.language: r.n for r in good.groupBy("language").agg(F.sum("n_words").alias("n")).collect()}
     words = good.select("language", F.explode("common").alias("c")).groupBy("language", "c.code").agg(F.sum("c.n").alias("n")).collect()
@@ -179,8 +205,9 @@ def _matrix(rows: list[list[float]]) -> Column:
 
 
 def divergences(rows: DataFrame, chars: list[list[float]], common: list[list[float]]) -> DataFrame:
-    """rows with js_chars and js_words, null where the text is too short for the histogram or has no reference."""
-    has = F.get(F.lit([bool(c) for c in common]), "language")
+    """rows with js_chars and js_words (distances), null where a guard applies or there is no reference."""
+    has = F.get(F.lit([bool(c) for c in common]), "language") & ~F.col("foreign")
+    named = ~F.col("votes").between(HINT * F.col("n_words"), DECIDED * F.col("n_words"))
     n_common = F.aggregate("common", F.lit(0).cast("long"), lambda acc, c: acc + c["n"])
 
     def by_class(q: Column) -> Column:
@@ -197,8 +224,9 @@ def divergences(rows: DataFrame, chars: list[list[float]], common: list[list[flo
         other = F.struct(F.lit(len(_places())).alias("code"), (F.col("n_words") - n_common).alias("n"))
         return F.aggregate(F.concat(F.array(other), "common"), zero, add, lambda acc: acc["js"] + 0.5 * (1 - acc["seen"]))
 
-    js_chars = F.when(has & (F.col("n_chars") >= MIN_CHARS), let(F.get(_matrix(chars), "language"), by_class))
-    js_words = F.when(has & (F.col("n_words") >= MIN_WORDS), let(F.get(_matrix(common), "language"), by_word))
+    distance = lambda js: F.sqrt(F.greatest(js, F.lit(0.0)))
+    js_chars = F.when(has & (F.col("n_chars") >= MIN_CHARS), distance(let(F.get(_matrix(chars), "language"), by_class)))
+    js_words = F.when(has & named & (F.col("n_words") >= MIN_WORDS), distance(let(F.get(_matrix(common), "language"), by_word)))
     return rows.withColumn("js_chars", js_chars).withColumn("js_words", js_words)
 
 
