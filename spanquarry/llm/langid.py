@@ -10,7 +10,8 @@ with the lowest cross-entropy per character. A text is rejected if its cross-ent
 that language show (``REJECT`` standard deviations over their mean, the spread widening for short texts); all training
 rows are measured for that.
 
-The files are written on the driver piece by piece; its memory holds a piece at a time. Letters only; case is folded.
+The files are written on the driver piece by piece; its memory holds a piece at a time. Words are letters (Unicode
+category L) and the marks that follow them; digits and numeric signs such as halves are none; case is folded.
 
 Defined results: a null text or one without letters is ``und`` with score 0 and is rejected; rows with a null language
 teach nothing; ties between languages go to the first by name; without any training rows everything is ``und``.
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,10 +49,16 @@ SHARP = 8.0
 MIX = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 #: Texts scored at once.
 SLICE = 200
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Words: letters, and the marks that follow them; of ASCII texts the plain form is faster.
+ASCII_WORDS, WORDS = re.compile(r"[A-Za-z]+"), regex.compile(r"\p{L}[\p{L}\p{M}]*")
 HELD_OUT = (4, 2)
 
 
+def letter_words(text: str) -> list[str]:
+    """The lower-case words of a text."""
+    return ASCII_WORDS.findall(text.lower()) if text.isascii() else WORDS.findall(text.lower())
+
+
 def _trains(n: int = HELD_OUT[0], held: int = HELD_OUT[1]) -> Column:
     return F.col("lang").isNotNull() & (crc32_mod(F.col("doc_id"), n) != held)
 
@@ -125,7 +133,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch], most: int = 60_000) -> Itera
 
     for batch in sliced(batches):
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+            words.setdefault(lang, Counter()).update(letter_words(text))
         if sum(map(len, words.values())) > most:
             folded()
         if sum(map(len, grams.values())) > 4 * most:
@@ -264,7 +272,7 @@ class Scorer:
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """[texts, langs]: bits by language; and the characters scored (word ends included)."""
-        counts = [Counter(LETTERS.findall(t.lower())) if t else Counter() for t in texts]
+        counts = [Counter(letter_words(t)) if t else Counter() for t in texts]
         names = list(itertools.chain.from_iterable(counts))
         new = list(set(names) - self.seen.keys())
         if len(self.seen) + len(new) > self.most:
