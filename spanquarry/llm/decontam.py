@@ -7,13 +7,16 @@ r"""Benchmark decontamination with a distributed positional inverted index, in D
 4. ``candidates``: posting lists moved back by the term's place in the item are intersected: where the lists of two
    terms (of one, if a window has but one) share an alignment, the item may occur. ``proximity`` asks only that terms
    stand within a distance of a shared alignment.
-5. ``occurrences``: exact phrases; the document's words at a candidate's alignment are compared window by window.
+5. ``occurrences``: exact phrases; the document's words at a candidate's alignment are compared window by window. Only
+   documents with candidates are looked at again, and an item's alignments are dealt by STRETCH words of the document, so
+   no row holds more than one item's windows and so many alignments.
 
 Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of the ASCII-lower-cased text. A document is known by doc_id and a hash
 of its text, so repeated rows and null ids are safe: equal rows have equal results, and each row gets its own.
 
 Defined results: a null or wordless text has 0 words and no hit; a null or wordless item has no window; repeated items
-count once; an item without an id hits words but is neither counted nor named; empty tables give rows without hits.
+count once; an item without an id hits words but is neither counted nor named; empty tables give rows without hits;
+texts of any length are taken whole; further columns are ignored (``clean_documents`` keeps them) whatever their names.
 """
 
 from __future__ import annotations
@@ -21,13 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, stored
+from .common import BROADCAST_BYTES, bounded, cut, stored
 
 SPAN, RAREST = 13, 2
 RAW_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The benchmark's side of a join is broadcast only up to so many rows (of some 50 bytes).
-BROADCAST_ROWS = 200_000
+#: Bytes of a benchmark's word, or of a posting place, in a table that may be broadcast.
+WORD_BYTES = 50
+#: Words of a document in which alignments of one item are compared together.
+STRETCH = 4096
 HITS = "array<struct<start:int,size:int,item:bigint,ids:array<string>>>"
 
 
@@ -54,8 +59,9 @@ def item_windows(items: DataFrame, span: int = SPAN) -> DataFrame:
     return rows.withColumn("hashes", hashes)
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame, words: int) -> DataFrame:
+    """df, to be broadcast if a benchmark of so many words makes it small enough."""
+    return F.broadcast(df) if words * WORD_BYTES <= BROADCAST_BYTES else df
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -122,24 +128,29 @@ def proximity(docs: DataFrame, items: DataFrame, distance: int = 10, least: int
 def occurrences(docs: DataFrame, items: DataFrame, span: int = SPAN, rarest: int = RAREST) -> DataFrame:
     """For each document doc_id, text_hash, n_words, hits: array of start, size, item, ids, one for each exact phrase."""
     wins = cut(item_windows(items, span))
-    met = candidates(postings(docs, wins, rarest)).join(_small(wins.select("item", "ids", "size", "hashes"), wins.count()), "item")
-    met = met.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "size", "item", "ids", "hashes")).alias("met")).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash")
-    rows = keyed(docs).join(cut(met), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
-
-    def exact(w: Column) -> Column:
-        def at(c: Column) -> Column:
-            spots = F.sequence(F.greatest(-c["start"], F.lit(0)), F.size(c["hashes"]) - 1)
-            same = lambda s: F.xxhash64(F.slice(w, c["start"] + s + 1, c["size"])) == F.get(c["hashes"], s)
-            fit = F.filter(F.when(-c["start"] < F.size(c["hashes"]), spots), same)
-            hit = lambda s: F.struct((c["start"] + s).alias("start"), c["size"].alias("size"), c["item"].alias("item"), c["ids"].alias("ids"))
-            return F.coalesce(F.transform(fit, hit).cast(HITS), F.array().cast(HITS))  # none if the text starts behind the item's last window
-
-        return F.flatten(F.transform("met", at))
-
-    none = F.array().cast(HITS)
-    hits = F.when(F.col("met").isNotNull(), let(terms(F.col("text")), exact))
+    n = wins.agg(F.sum(F.size("w"))).first()[0] or 0
+    met = candidates(postings(docs, wins, rarest)).groupBy("doc_id", "text_hash", "item", F.floor(F.col("start") / STRETCH).alias("stretch")).agg(F.collect_list("start").alias("starts"))
+    met = cut(met.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "item", "starts"))
+    same_text = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    places = met.agg(F.sum(F.size("starts") + 8)).first()[0] or 0
+    few = F.broadcast(met) if 8 * places <= BROADCAST_BYTES else met
+    rows = keyed(docs).join(few, same_text).select("doc_id", "text_hash", "item", "starts", terms(F.col("text")).alias("words"))
+    rows = rows.join(_small(wins.select("item", "ids", "size", "hashes"), n), "item")
+
+    def at(start: Column) -> Column:
+        spots = F.sequence(F.greatest(-start, F.lit(0)), F.size("hashes") - 1)
+        same = lambda s: F.xxhash64(F.slice("words", start + s + 1, F.col("size"))) == F.get("hashes", s)
+        fit = F.filter(F.when(-start < F.size("hashes"), spots), same)
+        return F.coalesce(F.transform(fit, lambda s: (start + s).cast("int")), F.array().cast("array<int>"))  # none if the text starts behind the item's last window
+
+    hits = rows.select("doc_id", "text_hash", "item", "ids", "size", F.explode(F.flatten(F.transform("starts", at))).alias("start")).distinct()
+    found = hits.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "size", "item", "ids")).cast(HITS).alias("hits"))
+    found = cut(found.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash"))
+    held = found.agg(F.sum(1 + F.size("hits"))).first()[0] or 0
     n_words = F.coalesce(F.regexp_count("text", F.lit(RAW_TERM)), F.lit(0)).cast("long")
-    return rows.select("doc_id", "text_hash", n_words.alias("n_words"), F.coalesce(hits.cast(HITS), none).alias("hits"))
+    counted = keyed(docs).select("doc_id", "text_hash", n_words.alias("n_words"))
+    counted = counted.join(F.broadcast(found) if 100 * held <= BROADCAST_BYTES else found, same_text, "left")
+    return counted.select("doc_id", "text_hash", "n_words", F.coalesce("hits", F.array().cast(HITS)).alias("hits"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, span: int = SPAN, share: int = 20) -> DataFrame:
@@ -166,10 +177,10 @@ def contaminated(docs: DataFrame, items: DataFrame, span: int = SPAN, share: int
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents' rows that are not contaminated."""
-    gone = contaminated(docs, items).where("contaminated").select("doc_id", "text_hash").distinct()
+    gone = cut(contaminated(docs, items).where("contaminated").select("doc_id", "text_hash").distinct())
     text = F.col("text").cast("string")
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text, F.length(text)).alias("hash"))
-    return rows.join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left_anti").select("doc.*")
+    return rows.join(bounded(gone, 24), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left_anti").select("doc.*")
 
 
 ORACLE = r"""
