@@ -1,19 +1,22 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are the lower-case words of a text and the words' first four and five letters (insults are inflected and
-compounded). Terms are hashed; the HASHES that tell training rows apart best are kept, and a factorization machine
-learns a weight for each and, by their factors, for each pair of them that meets in a text, so that a pair can mean
-more or less than the sum of its terms. It is trained by mini-batch AdaGrad on at most SAMPLE labelled training rows,
-chosen by hash (the bound of what reaches the driver); every row is scored over its whole text.
+compounded). Terms are hashed; every hash that at least SUPPORT training rows have is kept, whatever it says alone, and
+a factorization machine learns a weight for each and, by their factors, for each pair of them that meets in a text, so
+that a pair can mean more or less than the sum of its terms, also where neither term tells anything alone. It is trained
+by mini-batch AdaGrad on at most SAMPLE labelled training rows, chosen by hash (the bound of what reaches the driver);
+every row is scored over its whole text, many rows at once.
 
 Defined results: a null or empty text has the score of a text without known terms; labels that are null teach nothing,
 of several labels of a document the highest counts; without both classes in training every score is the share of the
-one there is (0 without labels); repeated rows are scored alike.
+one there is (0 without labels); repeated rows are scored alike; further columns stay, but for one named toxicity, which is
+replaced.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,17 +30,42 @@ from pyspark.sql.types import StructType
 from .common import crc32_mod, mapped, sliced
 
 HELD_OUT = (5, 0)
-#: Most labelled rows to train on, hashed features, and terms that are kept.
-SAMPLE, HASHES, KEPT = 12_000, 1 << 20, 2_000
-FACTORS, EPOCHS, BATCH, RATE, DECAY, SEED = 8, 30, 256, 0.1, 1e-4, 11
+#: Most labelled rows to train on, hashed features, and training rows that a kept hash has at least.
+SAMPLE, HASHES, SUPPORT = 12_000, 1 << 20, 3
+FACTORS, EPOCHS, BATCH, RATE, DECAY, SEED = 8, 12, 256, 0.1, 2e-4, 11
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms(text: str | None) -> np.ndarray:
-    """Distinct hashes of a text's terms, sorted."""
-    words = set(WORD.findall(text.lower())) if text else set()
-    names = {"w" + w for w in words} | {"4" + w[:4] for w in words if len(w) > 4} | {"5" + w[:5] for w in words if len(w) > 5}
-    return np.unique(np.fromiter((zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in names), np.int64, len(names)) % HASHES)
+class Terms(dict):
+    """The hashes of a word's terms; words seen lately are kept."""
+
+    def __init__(self, most: int = 200_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        names = ["w" + word, *(f"{k}{word[:k]}" for k in (4, 5) if len(word) > k)]
+        found = self[word] = tuple(zlib.crc32(t.encode("utf-8", "surrogatepass")) % HASHES for t in names)
+        return found
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and hashes: each text's distinct hashes, sorted by row and hash."""
+        if len(self) > self.most:
+            self.clear()
+        lists = [list(itertools.chain.from_iterable(map(self.__getitem__, set(WORD.findall(t.lower()))))) if t else [] for t in texts]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        both = np.repeat(np.arange(len(lists)), sizes) * HASHES + np.fromiter(itertools.chain.from_iterable(lists), np.int64, sizes.sum())
+        both = np.unique(both)
+        return both // HASHES, both % HASHES
+
+
+def _by_row(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the values by row; rows are sorted."""
+    out = np.zeros((n, *values.shape[1:]))
+    if len(row):
+        starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        out[row[starts]] = np.add.reduceat(values, starts, axis=0)
+    return out
 
 
 @dataclasses.dataclass
@@ -49,15 +77,22 @@ class Machine:
     weight: np.ndarray
     factor: np.ndarray
 
-    def known(self, text: str | None) -> np.ndarray:
-        found = self.place[terms(text)]
-        return found[found >= 0]
+    def known(self, row: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = self.place[hashes]
+        return row[found >= 0], found[found >= 0]
 
-    def score(self, found: np.ndarray) -> float:
+    def margins(self, row: np.ndarray, found: np.ndarray, n: int) -> np.ndarray:
+        """bias + sum of weights + sum over pairs of the factors' products, for n rows of kept terms."""
         v = self.factor[found]
-        s = v.sum(axis=0)
-        margin = self.bias + self.weight[found].sum() + 0.5 * float((s * s - (v * v).sum(axis=0)).sum())
-        return float(1 / (1 + np.exp(-np.clip(margin, -40, 40))))
+        s = _by_row(v, row, n)
+        return self.bias + _by_row(self.weight[found], row, n) + 0.5 * ((s * s).sum(axis=1) - _by_row((v * v).sum(axis=1), row, n))
+
+    def scores(self, texts: list[str | None], terms: Terms) -> np.ndarray:
+        return _logistic(self.margins(*self.known(*terms(texts)), len(texts)))
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -71,60 +106,52 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 def _featured(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms()
         for batch in sliced(batches):
-            lists = [terms(t).astype(np.int32) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "toxic", "terms"])
+            row, hashes = terms(batch.column(1).to_pylist())
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), lists], ["doc_id", "toxic", "terms"])
 
     return mapped(rows, run, "doc_id long, toxic int, terms array<int>")
 
 
-def _screened(lists: list[np.ndarray], y: np.ndarray, kept: int) -> np.ndarray:
-    """Numbers of the hashes whose presence tells the classes apart best (chi-square), at least three rows each."""
-    flat, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    n, pos = np.bincount(flat, minlength=HASHES), np.bincount(flat, y[owner], minlength=HASHES)
-    rate = y.mean()
-    chi = np.where(n >= 3, (pos - n * rate) ** 2 / np.maximum(n * rate * (1 - rate) * (1 - n / (len(y) + 1)), 1e-9), 0)
-    best = np.argsort(-chi, kind="stable")[:kept]
-    best = np.sort(best[chi[best] > 10])
-    place = np.full(HASHES, -1, np.int32)
-    place[best] = np.arange(len(best))
-    return place
-
-
-def fit(rows: DataFrame, kept: int = KEPT, sample: int = SAMPLE) -> Machine:
-    """rows: doc_id, text, toxic. Trained on the driver from the bounded sample's term lists."""
-    table = _featured(rows).limit(2 * sample).toArrow()
-    by = np.lexsort((table.column("doc_id").to_numpy(),)) if table.num_rows else np.zeros(0, int)
-    y = (table.column("toxic").to_numpy()[by] > 0).astype(float) if table.num_rows else np.zeros(0)
-    lists = [np.asarray(x.values.to_numpy(), np.int64) for x in (table.column("terms")[int(i)] for i in by)]
+def fit(rows: DataFrame, support: int = SUPPORT, epochs: int = EPOCHS) -> Machine:
+    """rows: doc_id, text, toxic, as training_rows bounds them. Trained on the driver from the rows' term lists; rows
+    with the same id, label and terms are taken once, and all go by id, so that reruns agree."""
+    table = _featured(rows).dropDuplicates().toArrow()
+    lists = [np.asarray(x.values.to_numpy(), np.int64) for x in table.column("terms")] if table.num_rows else []
+    by = sorted(range(len(lists)), key=lambda i: (table.column("doc_id")[i].as_py(), table.column("toxic")[i].as_py(), lists[i].tobytes()))
+    lists = [lists[i] for i in by]
+    y = np.array([table.column("toxic")[i].as_py() > 0 for i in by], float)
     if not len(y) or y.min() == y.max() or not sum(map(len, lists)):
         share = float(np.clip(y.mean() if len(y) else 0, 1e-6, 1 - 1e-6))
         return Machine(np.full(HASHES, -1, np.int32), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
-    place = _screened(lists, y, kept)
+    kept = np.flatnonzero(np.bincount(np.concatenate(lists), minlength=HASHES) >= support)
+    place = np.full(HASHES, -1, np.int32)
+    place[kept] = np.arange(len(kept))
     known = [place[x][place[x] >= 0] for x in lists]
-    size = int(place.max()) + 1
+    return _trained(known, y, place, len(kept), epochs)
+
+
+def _trained(known: list[np.ndarray], y: np.ndarray, place: np.ndarray, size: int, epochs: int) -> Machine:
     random = np.random.default_rng(SEED)
     m = Machine(place, float(np.log(y.mean() / (1 - y.mean()))), np.zeros(size), random.normal(0, 0.01, (size, FACTORS)))
     past_b, past_w, past_v = 1e-6, np.full(size, 1e-6), np.full((size, FACTORS), 1e-6)
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         for part in np.array_split(random.permutation(len(y)), -(-len(y) // BATCH)):
-            counts = np.array([len(known[i]) for i in part])
-            flat, owner = np.concatenate([known[i] for i in part]), np.repeat(np.arange(len(part)), counts)
+            row, flat = np.repeat(np.arange(len(part)), [len(known[i]) for i in part]), np.concatenate([known[i] for i in part])
+            error = (_logistic(m.margins(row, flat, len(part))) - y[part]) / len(part)
+            at, group = np.unique(flat, return_inverse=True)
             v = m.factor[flat]
-            s = np.zeros((len(part), FACTORS))
-            np.add.at(s, owner, v)
-            q, w = np.zeros(len(part)), np.zeros(len(part))
-            np.add.at(q, owner, (v * v).sum(axis=1))
-            np.add.at(w, owner, m.weight[flat])
-            error = 1 / (1 + np.exp(-np.clip(m.bias + w + 0.5 * ((s * s).sum(axis=1) - q), -40, 40))) - y[part]
-            grad_w, grad_v = np.zeros(size), np.zeros((size, FACTORS))
-            np.add.at(grad_w, flat, error[owner] / len(part))
-            np.add.at(grad_v, flat, (error / len(part))[owner, None] * (s[owner] - v))
-            grad_w, grad_v, grad_b = grad_w + DECAY * m.weight, grad_v + DECAY * m.factor, error.mean()
-            past_b, past_w, past_v = past_b + grad_b**2, past_w + grad_w**2, past_v + grad_v**2
-            m.bias -= RATE * grad_b / past_b**0.5
-            m.weight -= RATE * grad_w / np.sqrt(past_w)
-            m.factor -= 0.3 * RATE * grad_v / np.sqrt(past_v)
+            s = _by_row(v, row, len(part))
+            slope = error[row, None] * (s[row] - v)
+            grad_w = np.bincount(group, error[row], len(at)) + DECAY * m.weight[at]
+            grad_v = np.stack([np.bincount(group, slope[:, k], len(at)) for k in range(FACTORS)], axis=1) + DECAY * m.factor[at]
+            past_b, past_w[at], past_v[at] = past_b + error.sum() ** 2, past_w[at] + grad_w**2, past_v[at] + grad_v**2
+            m.bias -= RATE * error.sum() / past_b**0.5
+            m.weight[at] -= RATE * grad_w / np.sqrt(past_w[at])
+            m.factor[at] -= 0.3 * RATE * grad_v / np.sqrt(past_v[at])
     return m
 
 
@@ -135,9 +162,9 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     text = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            scores = [machine.score(machine.known(t)) for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*names, "toxicity"])
+        terms = Terms()
+        for batch in sliced(batches, 200):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(machine.scores(batch.column(text).to_pylist(), terms))], [*names, "toxicity"])
 
     return mapped(docs, run, StructType(list(docs.schema.fields)).add("toxicity", "double"))
 
