@@ -1,25 +1,26 @@
 """Token ids in training order: a keyed permutation gives every sequence a global slot, shards hold the slots in order.
 
-1. ``sequences``: texts become token ids of a public byte-level BPE (two bytes each), closed by the end-of-text id and
-   cut into sequences of SEQ tokens; stored once in the shared folder.
+1. ``sequences``: texts become token ids of a public byte-level BPE (two bytes each), each closed by the end-of-text id.
+   The texts of a partition follow one another and are cut into sequences of SEQ tokens, so only its last one is shorter;
+   they are stored once in the shared folder.
 2. ``slots``: a sequence's place in that stored table (its file's first place plus its row there) is its index; a keyed
    Feistel network over the next power of four, walked along its cycles until it falls below the number of sequences,
    turns the index into its slot. That is a bijection, so no slot is empty or taken twice.
 3. ``training_order``: rows are dealt to range partitions of a fixed number of slots and sorted by slot.
-4. ``write_shards`` writes each range partition as a file of fixed-stride records (16 bytes of header: document, number
-   in the document, tokens, big-endian; then the ids, little-endian, filled up with the end id; then a line end), so
-   slot s of a shard stands at s times the stride. Complete shards are left alone when it runs again. ``read_shard``
-   reads on from any slot.
-
-Defined results: a null or empty text is one sequence that holds the end id alone; repeated rows each keep their
-sequences; a null doc_id is written as -2**63; the order depends on the key and the stored table alone.
+4. ``write_shards`` writes each range partition as a file of fixed-stride records (20 bytes of header: first document,
+   the place of its first token here among its tokens, tokens, big-endian; then the ids, little-endian, filled up with
+   the end id; then a line end), so slot s of a shard stands at s times the stride. Complete shards are left alone when it
+   runs again on the same path. ``read_shard`` seeks to any slot and reads on piece by piece.
+
+Defined results: a null or empty text is the end id alone; repeated rows each keep their tokens; a null doc_id is null in
+the rows and -2**63 in the files; texts of any length are taken whole; further columns are ignored whatever their names.
+The order depends on the key and on the stored table, so on how Spark splits the input, and on nothing else.
 ``training_order`` writes the shards to the shared folder before it returns the rows.
 """
 
 from __future__ import annotations
 
 import base64
-import sys
 import uuid
 from array import array
 from collections.abc import Iterator
@@ -39,82 +40,78 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 END_ID, SEQ, SLOTS_PER_SHARD, KEY, ROUNDS = 50256, 512, 32768, 20240607, 6
 #: The files' first places are broadcast up to so many files (of some 100 bytes each).
 BROADCAST_FILES = 50_000
-HEADER = np.dtype([("doc_id", ">i8"), ("seq_no", ">i4"), ("n_tokens", ">i4")])
+HEADER = np.dtype([("doc_id", ">i8"), ("token_no", ">i8"), ("n_tokens", ">i4")])
 NO_ID = -(2**63)
+#: Sequences that a task gathers before it sends them.
+TOGETHER = 2048
 
 
-class Encoder(dict):
-    """Ids (two bytes each) of a word with the blank before it; words seen lately are kept.
+_encoders: dict[int, tiktoken.Encoding] = {}
 
-    The pattern never joins what stands on both sides of a single blank, so words can be encoded one by one.
-    """
 
-    def __init__(self, vocabulary: bytes, most: int = 200_000):
-        super().__init__()
+def encoder(vocabulary: bytes) -> tiktoken.Encoding:
+    """The vocabulary's BPE, once per worker."""
+    key = hash(vocabulary)
+    if key not in _encoders:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
-        self.bpe, self.most = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), most
+        _encoders[key] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[key]
 
-    def __missing__(self, word: str) -> bytes:
-        found = self[word] = self.encoded(" " + word)
-        return found
 
-    def encoded(self, text: str) -> bytes:
-        ids = array("H", self.bpe.encode_ordinary(text))
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
+class Packer:
+    """Tokens of documents one after the other, cut into sequences."""
 
-    def __call__(self, text: str) -> bytes:
-        words = text.split(" ")
-        if "" in words:
-            return self.encoded(text)
-        if len(self) > self.most:
-            self.clear()
-        return self.encoded(words[0]) + b"".join(map(self.__getitem__, words[1:]))
+    def __init__(self, seq: int):
+        self.seq, self.held, self.docs, self.starts = seq, array("H"), [], []
 
+    def add(self, doc_id: int | None, ids: list[int]) -> None:
+        self.docs.append(doc_id)
+        self.starts.append(len(self.held))
+        self.held.extend(ids)
+        self.held.append(END_ID)
 
-_encoders: dict[int, Encoder] = {}
+    def sequences(self, last: bool = False) -> pa.RecordBatch | None:
+        """The full sequences held, and with ``last`` what is left."""
+        firsts = list(range(0, len(self.held) if last else len(self.held) - self.seq + 1, self.seq))
+        if not firsts:
+            return None
+        starts = np.array(self.starts)
+        ends = [min(a + self.seq, len(self.held)) for a in firsts]
+        low, high = np.searchsorted(starts, firsts, "right") - 1, np.searchsorted(starts, ends, "left")
+        ids = np.frombuffer(self.held, np.uint16).astype("<u2")
+        columns = [
+            pa.array([self.docs[k] for k in low], pa.int64()), pa.array(np.array(firsts) - starts[low]), pa.array(np.subtract(ends, firsts).astype(np.int32)),
+            pa.array([self.docs[i:j] for i, j in zip(low, high, strict=True)], pa.list_(pa.int64())), pa.array([ids[a:b].tobytes() for a, b in zip(firsts, ends, strict=True)], pa.binary()),
+        ]
+        rest = int(np.searchsorted(starts, ends[-1], "right") - 1) if ends[-1] < len(self.held) else len(self.docs)
+        del ids
+        self.docs, self.starts, self.held = self.docs[rest:], (starts[rest:] - ends[-1]).tolist(), self.held[ends[-1] :]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "token_no", "n_tokens", "doc_ids", "tokens"])
 
 
-def encoder(vocabulary: bytes) -> Encoder:
-    key = hash(vocabulary)
-    if key not in _encoders:
-        _encoders[key] = Encoder(vocabulary)
-    return _encoders[key]
+SEQUENCES = "doc_id long, token_no long, n_tokens int, doc_ids array<long>, tokens binary"
 
 
 def sequences(docs: DataFrame, vocabulary_path: str = VOCABULARY, seq: int = SEQ) -> DataFrame:
-    """doc_id, seq_no (from 0), n_tokens, tokens (little-endian pairs of bytes)."""
+    """doc_id (of the first token), token_no (its place in that document), n_tokens, doc_ids (of all tokens, in order),
+    tokens (little-endian pairs of bytes)."""
     with open(vocabulary_path, "rb") as f:
         vocabulary = f.read()
-    end = np.array([END_ID], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode, packer = encoder(vocabulary).encode_ordinary, Packer(seq)
         for batch in sliced(batches):
-            ids, numbers, parts, size = [], [], [], 0
-
-            def sent(ids=ids, numbers=numbers, parts=parts):
-                n = pa.array([len(p) // 2 for p in parts], pa.int32())
-                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), n, pa.array(parts, pa.binary())], ["doc_id", "seq_no", "n_tokens", "tokens"])
-
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                whole = (encode(text) if text else b"") + end
-                for k, a in enumerate(range(0, len(whole), 2 * seq)):
-                    ids.append(doc_id)
-                    numbers.append(k)
-                    parts.append(whole[a : a + 2 * seq])
-                size += len(whole)
-                if size > 4_000_000:
-                    yield sent()
-                    for x in (ids, numbers, parts):
-                        x.clear()
-                    size = 0
-            if parts:
-                yield sent()
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                packer.add(doc_id, encode(text) if text else [])
+                if len(packer.held) > TOGETHER * seq:
+                    yield packer.sequences()
+        rest = packer.sequences(last=True)
+        if rest is not None:
+            yield rest
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return mapped(rows, run, "doc_id long, seq_no int, n_tokens int, tokens binary")
+    return mapped(rows, run, SEQUENCES)
 
 
 def permuted(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.ndarray:
@@ -154,8 +151,9 @@ def slots(table: DataFrame, key: int = KEY) -> DataFrame:
 
 
 def training_order(docs: DataFrame, vocabulary_path: str = VOCABULARY, seq: int = SEQ, per_shard: int = SLOTS_PER_SHARD, key: int = KEY, path: str | None = None) -> DataFrame:
-    """slot, shard, offset (of the record in its shard), doc_id, seq_no, n_tokens, tokens, each shard one partition. The
-    shards are written to path, or else to a new folder shards-... in the shared folder."""
+    """slot, shard, offset (of the record in its shard), and the columns of ``sequences``, each shard one partition. The
+    shards are written to path (where a run that broke off is taken up again), or else to a new folder shards-... in the
+    shared folder."""
     table = stored(sequences(docs, vocabulary_path, seq), "sequences")
     rows = slots(table, key)
     rows = rows.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
@@ -163,7 +161,7 @@ def training_order(docs: DataFrame, vocabulary_path: str = VOCABULARY, seq: int
     dealt = rows.repartitionById(n, F.col("shard")).sortWithinPartitions("slot")
     offset = (F.col("slot") - F.col("shard").cast("long") * per_shard) * stride(seq)
     write_shards(rows, path or f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}", seq)
-    return dealt.select("slot", "shard", offset.alias("offset"), "doc_id", "seq_no", "n_tokens", "tokens")
+    return dealt.select("slot", "shard", offset.alias("offset"), "doc_id", "token_no", "n_tokens", "doc_ids", "tokens")
 
 
 def stride(seq: int = SEQ) -> int:
@@ -180,16 +178,24 @@ def write_shards(rows: DataFrame, path: str, seq: int = SEQ) -> None:
         there = there.groupBy(F.regexp_extract("path", r"shard=(\d+)", 1).cast("int").alias("shard")).agg(F.sum("length").alias("bytes"))
         rows = rows.join(there.join(sizes, ["shard", "bytes"]).select("shard"), "shard", "left_anti")
     big = lambda c, digits: F.unhex(F.lpad(F.hex(c), digits, "0"))
-    head = F.concat(big(F.coalesce("doc_id", F.lit(NO_ID)), 16), big("seq_no", 8), big("n_tokens", 8))
+    head = F.concat(big(F.coalesce("doc_id", F.lit(NO_ID)), 16), big("token_no", 16), big("n_tokens", 8))
     filled = F.concat("tokens", F.unhex(F.repeat(F.lit(np.array([END_ID], "<u2").tobytes().hex()), (seq - F.col("n_tokens")).cast("int"))))
     record = F.concat(head, filled).cast("string")
     out = rows.select("shard", "slot", record.alias("record")).repartition("shard").sortWithinPartitions("shard", "slot").select("shard", "record")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("lineSep", "\n").partitionBy("shard").text(path)
 
 
-def read_shard(spark: SparkSession, path: str, shard: int, first: int = 0, seq: int = SEQ) -> Iterator[tuple[int, int, np.ndarray]]:
-    """doc_id, seq_no, ids of a shard's records from its record ``first`` on."""
-    content = spark.read.format("binaryFile").load(f"{path}/shard={shard}").first().content
-    kind = np.dtype([("head", HEADER), ("ids", "<u2", (seq,)), ("end", "u1")])
-    for r in np.frombuffer(content, kind)[first:]:
-        yield int(r["head"]["doc_id"]), int(r["head"]["seq_no"]), r["ids"][: r["head"]["n_tokens"]]
+def read_shard(spark: SparkSession, path: str, shard: int, first: int = 0, seq: int = SEQ, together: int = 256) -> Iterator[tuple[int, int, np.ndarray]]:
+    """doc_id, token_no, ids of a shard's records from its record ``first`` on: a seek, then some records at a time."""
+    jvm, kind = spark._jvm, np.dtype([("head", HEADER), ("ids", "<u2", (seq,)), ("end", "u1")])
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    (file,) = [f for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
+    stream = fs.open(file.getPath())
+    try:
+        stream.seek(first * kind.itemsize)
+        while content := bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(together * kind.itemsize, file.getLen() - stream.getPos()))):
+            for r in np.frombuffer(content, kind):
+                yield int(r["head"]["doc_id"]), int(r["head"]["token_no"]), r["ids"][: r["head"]["n_tokens"]]
+    finally:
+        stream.close()
