@@ -1,28 +1,27 @@
 """Token ids in training order: a keyed permutation gives every sequence a global slot, shards hold the slots in order.
 
-1. ``sequences``: texts become token ids of a public byte-level BPE (two bytes each), each closed by the end-of-text id.
-   The texts of a partition follow one another and are cut into sequences of SEQ tokens, so only its last one is shorter;
-   they are stored once in the shared folder.
+1. ``sequences``: texts become token ids of a public byte-level BPE (two bytes each), closed by the end-of-text id and
+   cut into sequences of SEQ tokens; stored once in the shared folder.
 2. ``slots``: a sequence's place in that stored table (its file's first place plus its row there) is its index; a keyed
    Feistel network over the next power of four, walked along its cycles until it falls below the number of sequences,
    turns the index into its slot. That is a bijection, so no slot is empty or taken twice.
-3. ``training_order``: rows are dealt to range partitions of a fixed number of slots and sorted by slot.
-4. ``write_shards`` writes each range partition as a file of fixed-stride records (20 bytes of header: first document,
-   the place of its first token here among its tokens, tokens, big-endian; then the ids, little-endian, filled up with
-   the end id; then a line end), so slot s of a shard stands at s times the stride. Complete shards are left alone when it
-   runs again on the same path. ``read_shard`` seeks to any slot and reads on piece by piece.
-
-Defined results: a null or empty text is the end id alone; repeated rows each keep their tokens; a null doc_id is null in
-the rows and -2**63 in the files; texts of any length are taken whole; further columns are ignored whatever their names.
-The order depends on the key and on the stored table, so on how Spark splits the input, and on nothing else.
-``training_order`` writes the shards to the shared folder before it returns the rows.
+3. ``write_shards``: rows are dealt to range partitions of a fixed number of slots, sorted, and each range is written as a
+   file of fixed-stride records (16 bytes of header: document, number in the document, tokens, big-endian; then the ids,
+   little-endian, filled up with the end id; then a line end), so slot s of a shard stands at s times the stride. Shards
+   are written a share at a time, so that shuffle files take the room of a share only. Complete shards are left alone
+   when it runs again on the same path.
+4. ``shard_rows`` reads shards as rows, a task for some of them; ``read_shard`` seeks to any slot and reads on.
+
+Defined results: a null or empty text is one sequence that holds the end id alone; repeated rows each keep their
+sequences; a null doc_id is null in the rows and -2**63 in the files; texts of any length are taken whole; further columns
+are ignored whatever their names; an empty table has no shard and no row. The order depends on the key and on the stored
+table, so on how Spark splits the input, and on nothing else.
 """
 
 from __future__ import annotations
 
 import base64
 import uuid
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,13 +36,13 @@ from .common import mapped, shared_dir, sliced, stored
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pattern that byte-level BPE of this family splits texts by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-END_ID, SEQ, SLOTS_PER_SHARD, KEY, ROUNDS = 50256, 512, 32768, 20240607, 6
+END_ID, SEQ, SLOTS_PER_SHARD, KEY, ROUNDS = 50256, 512, 16384, 20240607, 6
 #: The files' first places are broadcast up to so many files (of some 100 bytes each).
 BROADCAST_FILES = 50_000
-HEADER = np.dtype([("doc_id", ">i8"), ("token_no", ">i8"), ("n_tokens", ">i4")])
+HEADER = np.dtype([("doc_id", ">i8"), ("seq_no", ">i4"), ("n_tokens", ">i4")])
 NO_ID = -(2**63)
-#: Sequences that a task gathers before it sends them.
-TOGETHER = 2048
+#: Sequences that a task gathers before it sends them; shares in which shards are written.
+TOGETHER, SHARES = 2048, 4
 
 
 _encoders: dict[int, tiktoken.Encoding] = {}
@@ -58,60 +57,32 @@ def encoder(vocabulary: bytes) -> tiktoken.Encoding:
     return _encoders[key]
 
 
-class Packer:
-    """Tokens of documents one after the other, cut into sequences."""
-
-    def __init__(self, seq: int):
-        self.seq, self.held, self.docs, self.starts = seq, array("H"), [], []
-
-    def add(self, doc_id: int | None, ids: list[int]) -> None:
-        self.docs.append(doc_id)
-        self.starts.append(len(self.held))
-        self.held.extend(ids)
-        self.held.append(END_ID)
-
-    def sequences(self, last: bool = False) -> pa.RecordBatch | None:
-        """The full sequences held, and with ``last`` what is left."""
-        firsts = list(range(0, len(self.held) if last else len(self.held) - self.seq + 1, self.seq))
-        if not firsts:
-            return None
-        starts = np.array(self.starts)
-        ends = [min(a + self.seq, len(self.held)) for a in firsts]
-        low, high = np.searchsorted(starts, firsts, "right") - 1, np.searchsorted(starts, ends, "left")
-        ids = np.frombuffer(self.held, np.uint16).astype("<u2")
-        columns = [
-            pa.array([self.docs[k] for k in low], pa.int64()), pa.array(np.array(firsts) - starts[low]), pa.array(np.subtract(ends, firsts).astype(np.int32)),
-            pa.array([self.docs[i:j] for i, j in zip(low, high, strict=True)], pa.list_(pa.int64())), pa.array([ids[a:b].tobytes() for a, b in zip(firsts, ends, strict=True)], pa.binary()),
-        ]
-        rest = int(np.searchsorted(starts, ends[-1], "right") - 1) if ends[-1] < len(self.held) else len(self.docs)
-        del ids
-        self.docs, self.starts, self.held = self.docs[rest:], (starts[rest:] - ends[-1]).tolist(), self.held[ends[-1] :]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "token_no", "n_tokens", "doc_ids", "tokens"])
-
-
-SEQUENCES = "doc_id long, token_no long, n_tokens int, doc_ids array<long>, tokens binary"
-
-
 def sequences(docs: DataFrame, vocabulary_path: str = VOCABULARY, seq: int = SEQ) -> DataFrame:
-    """doc_id (of the first token), token_no (its place in that document), n_tokens, doc_ids (of all tokens, in order),
-    tokens (little-endian pairs of bytes)."""
+    """doc_id, seq_no (from 0), n_tokens, tokens (little-endian pairs of bytes)."""
     with open(vocabulary_path, "rb") as f:
         vocabulary = f.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(vocabulary).encode_ordinary, Packer(seq)
+        encode = encoder(vocabulary).encode_ordinary
+        held: list[tuple] = []
         for batch in sliced(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
-                packer.add(doc_id, encode(text) if text else [])
-                if len(packer.held) > TOGETHER * seq:
-                    yield packer.sequences()
-        rest = packer.sequences(last=True)
-        if rest is not None:
-            yield rest
+                ids = np.array([*(encode(text) if text else ()), END_ID], "<u2")
+                held += [(doc_id, k, min(seq, len(ids) - a), ids[a : a + seq].tobytes()) for k, a in enumerate(range(0, len(ids), seq))]
+                if len(held) > TOGETHER:
+                    yield _batch(held)
+                    held = []
+        if held:
+            yield _batch(held)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return mapped(rows, run, SEQUENCES)
+    return mapped(rows, run, "doc_id long, seq_no int, n_tokens int, tokens binary")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "seq_no", "n_tokens", "tokens"])
 
 
 def permuted(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.ndarray:
@@ -151,17 +122,13 @@ def slots(table: DataFrame, key: int = KEY) -> DataFrame:
 
 
 def training_order(docs: DataFrame, vocabulary_path: str = VOCABULARY, seq: int = SEQ, per_shard: int = SLOTS_PER_SHARD, key: int = KEY, path: str | None = None) -> DataFrame:
-    """slot, shard, offset (of the record in its shard), and the columns of ``sequences``, each shard one partition. The
-    shards are written to path (where a run that broke off is taken up again), or else to a new folder shards-... in the
-    shared folder."""
-    table = stored(sequences(docs, vocabulary_path, seq), "sequences")
-    rows = slots(table, key)
-    rows = rows.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
-    n = max(1, -(-table.count() // per_shard))
-    dealt = rows.repartitionById(n, F.col("shard")).sortWithinPartitions("slot")
-    offset = (F.col("slot") - F.col("shard").cast("long") * per_shard) * stride(seq)
-    write_shards(rows, path or f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}", seq)
-    return dealt.select("slot", "shard", offset.alias("offset"), "doc_id", "token_no", "n_tokens", "doc_ids", "tokens")
+    """Writes the shards to path (where a run that broke off is taken up again), or else to a new folder shards-... in the
+    shared folder, and returns their rows: slot, shard, offset (of the record in its shard), doc_id, seq_no, n_tokens,
+    tokens, in order of slots within a shard."""
+    path = path or f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
+    rows = slots(stored(sequences(docs, vocabulary_path, seq), "sequences"), key)
+    write_shards(rows.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int")), path, seq)
+    return shard_rows(docs.sparkSession, path, seq, per_shard)
 
 
 def stride(seq: int = SEQ) -> int:
@@ -172,22 +139,62 @@ def write_shards(rows: DataFrame, path: str, seq: int = SEQ) -> None:
     """Write the shards that are not complete yet, one file each under path/shard=N, through Spark's committer."""
     sizes = rows.groupBy("shard").agg((F.count("*") * stride(seq)).alias("bytes"))
     spark = rows.sparkSession
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
+    if _exists(spark, path):
         there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
         there = there.groupBy(F.regexp_extract("path", r"shard=(\d+)", 1).cast("int").alias("shard")).agg(F.sum("length").alias("bytes"))
         rows = rows.join(there.join(sizes, ["shard", "bytes"]).select("shard"), "shard", "left_anti")
     big = lambda c, digits: F.unhex(F.lpad(F.hex(c), digits, "0"))
-    head = F.concat(big(F.coalesce("doc_id", F.lit(NO_ID)), 16), big("token_no", 16), big("n_tokens", 8))
+    head = F.concat(big(F.coalesce("doc_id", F.lit(NO_ID)), 16), big("seq_no", 8), big("n_tokens", 8))
     filled = F.concat("tokens", F.unhex(F.repeat(F.lit(np.array([END_ID], "<u2").tobytes().hex()), (seq - F.col("n_tokens")).cast("int"))))
-    record = F.concat(head, filled).cast("string")
-    out = rows.select("shard", "slot", record.alias("record")).repartition("shard").sortWithinPartitions("shard", "slot").select("shard", "record")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("lineSep", "\n").partitionBy("shard").text(path)
+    out = rows.select("shard", "slot", F.concat(head, filled).cast("string").alias("record"))
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, None)
+    spark.conf.set(cleanup, "true")  # for these writes: a share's shuffle files go when it is written
+    try:
+        for k in range(SHARES):
+            share = out.where(F.col("shard") % SHARES == k).repartition("shard").sortWithinPartitions("shard", "slot").select("shard", "record")
+            share.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("lineSep", "\n").partitionBy("shard").text(path)
+    finally:
+        spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
+
+
+def _record(seq: int) -> np.dtype:
+    return np.dtype([("head", HEADER), ("ids", "<u2", (seq,)), ("end", "u1")])
+
+
+ROWS = "slot long, shard int, offset long, doc_id long, seq_no int, n_tokens int, tokens binary"
+
+
+def shard_rows(spark: SparkSession, path: str, seq: int = SEQ, per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
+    """The shards' records as rows; a task holds a few whole shards, so their size bounds its memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content, shard in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                records = np.frombuffer(content.as_buffer(), _record(seq))
+                for a in range(0, len(records), TOGETHER):
+                    part = records[a : a + TOGETHER]
+                    places, n = np.arange(a, a + len(part)), part["head"]["n_tokens"].astype(np.int32)
+                    ids = part["head"]["doc_id"].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(places + shard * per_shard), pa.array(np.full(len(part), shard, np.int32)), pa.array(places * stride(seq)), pa.array(ids, mask=ids == NO_ID),
+                        pa.array(part["head"]["seq_no"].astype(np.int32)), pa.array(n), pa.array([x[:k].tobytes() for x, k in zip(part["ids"], n, strict=True)], pa.binary()),
+                    ], ["slot", "shard", "offset", "doc_id", "seq_no", "n_tokens", "tokens"])
+
+    if not _exists(spark, path) or not (files := spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)).take(1):
+        return spark.createDataFrame([], ROWS)
+    shard = F.regexp_extract("path", r"shard=(\d+)", 1).cast("int")
+    return mapped(files.select("content", shard.alias("shard")), run, ROWS)
 
 
 def read_shard(spark: SparkSession, path: str, shard: int, first: int = 0, seq: int = SEQ, together: int = 256) -> Iterator[tuple[int, int, np.ndarray]]:
-    """doc_id, token_no, ids of a shard's records from its record ``first`` on: a seek, then some records at a time."""
-    jvm, kind = spark._jvm, np.dtype([("head", HEADER), ("ids", "<u2", (seq,)), ("end", "u1")])
+    """doc_id, seq_no, ids of a shard's records from its record ``first`` on: a seek, then some records at a time."""
+    jvm, kind = spark._jvm, _record(seq)
     folder = jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     (file,) = [f for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
@@ -196,6 +203,6 @@ def read_shard(spark: SparkSession, path: str, shard: int, first: int = 0, seq:
         stream.seek(first * kind.itemsize)
         while content := bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(together * kind.itemsize, file.getLen() - stream.getPos()))):
             for r in np.frombuffer(content, kind):
-                yield int(r["head"]["doc_id"]), int(r["head"]["token_no"]), r["ids"][: r["head"]["n_tokens"]]
+                yield int(r["head"]["doc_id"]), int(r["head"]["seq_no"]), r["ids"][: r["head"]["n_tokens"]]
     finally:
         stream.close()

@@ -494,35 +494,22 @@ def test_permutation_is_a_bijection():
 def test_tokens_round_trip_and_shards(spark, tmp_path):
     docs = odd(spark).unionByName(rows(spark, ["long text " * 300_000]).withColumn("doc_id", F.lit(99).cast("long"))).cache()
     path = f"file://{tmp_path}/shards"
-    got = tokens.training_order(docs, seq=64, per_shard=500, path=path).cache()
-    found = got.toPandas().sort_values("slot")
-    assert sorted(found.slot) == list(range(len(found)))
+    found = tokens.training_order(docs, seq=64, per_shard=500, path=path).toPandas().sort_values("slot")
+    assert sorted(found.slot) == list(range(len(found))) and (found["shard"] == found.slot // 500).all() and (found.offset == found.slot % 500 * tokens.stride(64)).all()
     bpe = tokens.encoder(Path(tokens.VOCABULARY).read_bytes())
-    want = collections.Counter((r.doc_id, r.text or "") for r in docs.collect())
-    # a document's pieces: its parts of the sequences by their places; only those of one document alone are looked at
-    held = collections.defaultdict(dict)
-    for r in found.itertuples():
-        ids, at = np.frombuffer(r.tokens, "<u2").tolist(), r.token_no
-        assert len(ids) == r.n_tokens <= 64
-        for k, doc in enumerate(r.doc_ids):
-            end = ids.index(tokens.END_ID) + 1 if tokens.END_ID in ids else len(ids)
-            held[None if doc != doc else doc].setdefault(at if k == 0 else 0, []).append(ids[:end])
-            ids, at = ids[end:], 0
-        assert not ids
-    texts = collections.Counter()
-    for (doc, text), n in want.items():
-        ids = [*bpe.encode_ordinary(text), tokens.END_ID]
-        assert bpe.decode(ids[:-1]) == text
-        if doc is not None and sum(m for (d, _), m in want.items() if d == doc) == 1:
-            assert [t for at in sorted(held[doc]) for (t,) in [held[doc][at]] for t in t] == ids
-        texts[doc] += n * len(ids)
-    assert {d: sum(len(t) for x in held[d].values() for t in x) for d in texts} == dict(texts)
+    want = collections.Counter()
+    for r in docs.collect():
+        ids = [*bpe.encode_ordinary(r.text or ""), tokens.END_ID]
+        assert bpe.decode(ids[:-1]) == (r.text or "")
+        want.update((r.doc_id, k, tuple(ids[a : a + 64])) for k, a in enumerate(range(0, len(ids), 64)))
+    got = collections.Counter((None if r.doc_id != r.doc_id else int(r.doc_id), r.seq_no, tuple(np.frombuffer(r.tokens, "<u2").tolist())) for r in found.itertuples())
+    assert got == want and all(len(r.tokens) == 2 * r.n_tokens for r in found.itertuples())
     files = {p: p.stat().st_mtime_ns for p in Path(tmp_path).rglob("part-*")}
     assert len(files) == found["shard"].nunique() and all(p.stat().st_size % tokens.stride(64) == 0 for p in files)
-    tokens.write_shards(got, path, seq=64)  # nothing is left to do
+    tokens.training_order(docs, seq=64, per_shard=500, path=path)  # nothing is left to do
     assert files == {p: p.stat().st_mtime_ns for p in Path(tmp_path).rglob("part-*")}
     back = [(d, k, ids.tobytes()) for s in sorted(found["shard"].unique()) for d, k, ids in tokens.read_shard(spark, path, int(s), seq=64)]
-    assert back == [(tokens.NO_ID if r.doc_id != r.doc_id else int(r.doc_id), r.token_no, r.tokens) for r in found.itertuples()]
+    assert back == [(tokens.NO_ID if r.doc_id != r.doc_id else int(r.doc_id), r.seq_no, r.tokens) for r in found.itertuples()]
     assert [x[:2] for x in tokens.read_shard(spark, path, 0, 300, 64, 7)] == [x[:2] for x in back[300:500]]
     assert tokens.training_order(empty(spark)).count() == 0
 
@@ -543,4 +530,4 @@ def test_training_order_writes_its_shards(spark, tmp_path):
     found = tokens.training_order(docs, seq=64, per_shard=500).toPandas().sort_values("slot")
     (new,) = set(Path(shared_dir(spark).removeprefix("file://")).glob("shards-*")) - before
     back = [(d, k, ids.tobytes()) for s in sorted(found["shard"].unique()) for d, k, ids in tokens.read_shard(spark, f"file://{new}", int(s), seq=64)]
-    assert back == [(r.doc_id, r.token_no, r.tokens) for r in found.itertuples()]
+    assert back == [(r.doc_id, r.seq_no, r.tokens) for r in found.itertuples()]
