@@ -63,6 +63,11 @@ def target_size(n: Column, share: float) -> Column:
     return F.greatest(F.lit(1), F.least(n, F.bround(n * share).cast("long")))
 
 
+def slug(name: Column) -> Column:
+    """A name for files: trimmed, in lower case, percent signs, dots and blanks written out."""
+    return F.translate(F.replace(F.replace(F.lower(F.trim(name)), F.lit("%"), F.lit("pct")), F.lit("."), F.lit("p")), " ", "-")
+
+
 # ---- service names from pod names ----
 
 

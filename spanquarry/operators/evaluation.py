@@ -36,6 +36,37 @@ def bootstrap(rows: DataFrame, value: str, rounds: int = 200, seed: int = 1) ->
 
 
 
+def duplicate_rankings(rankings: DataFrame) -> DataFrame:
+    """sid, status: whether another scenario has the same ranking (sid, candidate, rank), candidate by candidate."""
+    whole = rankings.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("rank", "candidate"))).alias("l")).select("sid", F.sha2(F.to_json("l"), 256).alias("h"))
+    n = whole.groupBy("h").agg(F.count("*").alias("n"))
+    return whole.join(n, "h").select("sid", F.when(F.col("n") > 1, "repeated").otherwise("single").alias("status"))
+
+
+def with_weighted_average(rows: DataFrame, by: str, weight: str, added: list[str], averaged: list[str], name: str = "ALL") -> DataFrame:
+    """rows and one more for all: sums of the weight and the added columns, averages of the others by weight."""
+    mean = [(F.sum(F.col(c) * F.col(weight)) / F.sum(weight)).alias(c) for c in averaged]
+    whole = rows.agg(F.sum(weight).alias(weight), *[F.sum(c).alias(c) for c in added], *mean).withColumn(by, F.lit(name))
+    return rows.select(by, weight, *added, *averaged).unionByName(whole)
+
+
+def against_constants(scores: DataFrame, by: str, value: str, published: dict[str, float]) -> DataFrame:
+    """by, value, published, difference, for the keys that have a constant (a few, as literals)."""
+    table = F.create_map(*[F.lit(x) for pair in published.items() for x in pair])
+    rows = scores.withColumn("published", F.try_element_at(table, F.col(by))).where("published is not null")
+    return rows.select(by, value, "published", (F.col(value) - F.col("published")).alias("difference"))
+
+
+def endpoint_lines(reports: DataFrame, text: str) -> DataFrame:
+    """endpoint, kept, total of lines like ``- name: kept 3 of 7`` in report texts; the first of an endpoint in a text, and
+    of equal endpoints of several texts that of most traces."""
+    line = r"(?m)^- (\S+): kept (\d+) of (\d+)$"
+    found = reports.select(F.posexplode(F.regexp_extract_all(text, F.lit(line), F.lit(0))).alias("i", "line"), F.xxhash64(text).alias("h"))
+    part = lambda k: F.regexp_extract("line", line, k)
+    rows = found.select("h", "i", part(1).alias("endpoint"), part(2).cast("long").alias("kept"), part(3).cast("long").alias("total"))
+    first = rows.groupBy("h", "endpoint").agg(F.min_by(F.struct("total", "kept"), "i").alias("x"))
+    return first.groupBy("endpoint").agg(F.max("x").alias("x")).select("endpoint", "x.kept", "x.total")
+
 
 def macro_average(rows: DataFrame, by: str, value: str) -> DataFrame:
     """by, average over datasets (each counts once), and its difference from the first."""

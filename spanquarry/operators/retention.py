@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import sixth
+from ..functions.storage import bounded
+from .ordering import quantiles
 
 
 def bucket(value: Column, limits: tuple, below: str, above: str) -> Column:
@@ -37,16 +39,40 @@ def summary(points: DataFrame, kept: DataFrame, by: str) -> DataFrame:
     )
 
 
+def medians(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """by, med, mad (the median deviation from it), q1, q3 of a value, by group."""
+    quarters = quantiles(rows, [by], value, {"med": ("linear", 0.5), "q1": ("linear", 0.25), "q3": ("linear", 0.75)})
+    spread = rows.join(bounded(quarters.select(by, "med"), 64), by).select(by, F.abs(F.col(value) - F.col("med")).alias("_off"))
+    return quarters.join(quantiles(spread, [by], "_off", {"mad": ("linear", 0.5)}).select(by, "mad"), by)
+
+
+def upper_scales(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """by, n, med and mad (both the value at n div 2), and sigma: the larger of the sample's standard deviation and the
+    scaled mad, 0 for a single value."""
+    med = quantiles(rows, [by], value, {"med": ("upper", 0.0)})
+    off = rows.join(bounded(med.select(by, "med"), 64), by).select(by, F.abs(F.col(value) - F.col("med")).alias("_off"))
+    out = med.join(quantiles(off, [by], "_off", {"mad": ("upper", 0.0)}).select(by, "mad"), by).join(rows.groupBy(by).agg(F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("_samp")), by)
+    return out.select(by, "n", "med", "mad", F.when(F.col("n") <= 1, 0.0).otherwise(F.greatest("_samp", 1.4826 * F.col("mad"))).alias("sigma"))
+
+
 def robust_scales(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Median, its median deviation, quartile, standard and combined scales of a value, by group."""
     x = F.col(value)
-    stats = rows.groupBy(by).agg(
-        F.median(x).alias("med"), F.stddev_pop(x).alias("pop"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("samp"), (F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25))).alias("iqr"),
-    )
-    spread = rows.join(stats.select(by, "med"), by).groupBy(by).agg(F.median(F.abs(x - F.col("med"))).alias("mad"))
-    out = stats.join(spread, by)
+    stats = rows.groupBy(by).agg(F.stddev_pop(x).alias("pop"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("samp"))
+    out = medians(rows.select(by, value), by, value).join(stats, by)
     robust = F.greatest(F.lit(1e-6), "pop", 1.4826 * F.col("mad"))
-    return out.select(by, sixth(F.col("med")).alias("med"), sixth(F.col("mad")).alias("mad"), sixth(F.col("iqr") / 1.349).alias("iqr_scale"), sixth(F.col("pop")).alias("std_pop"), sixth(F.col("samp")).alias("std_samp"), sixth(robust).alias("robust"))
+    return out.select(by, sixth(F.col("med")).alias("med"), sixth(F.col("mad")).alias("mad"), sixth((F.col("q3") - F.col("q1")) / 1.349).alias("iqr_scale"), sixth(F.col("pop")).alias("std_pop"), sixth(F.col("samp")).alias("std_samp"), sixth(robust).alias("robust"))
+
+
+def service_inputs(rows: DataFrame) -> DataFrame:
+    """service, n, mean, error_rate, burst (95th percentile over the mean), per_hour, level (of the mean among services) of
+    rows service, duration_ms, has_error, sec."""
+    sums = rows.groupBy("service", F.floor(F.col("sec") / 3600).alias("hour")).agg(F.count("*").alias("n"), F.sum("duration_ms").alias("total"), F.count_if("has_error").alias("errors"))
+    sums = sums.groupBy("service").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"), (F.sum("errors") / F.sum("n")).alias("error_rate"), (F.sum("n") / F.count("*")).alias("per_hour"))
+    at = quantiles(rows.select("service", "duration_ms"), ["service"], "duration_ms", {"p95": ("linear", 0.95)}).select("service", "p95")
+    one = sums.agg(F.median("mean").alias("med"), F.greatest(F.lit(1e-6), F.stddev_pop("mean")).alias("scale"))  # over services
+    found = sums.join(at, "service").crossJoin(F.broadcast(one))  # one row
+    return found.select("service", "n", "mean", "error_rate", (F.col("p95") - F.col("mean")).alias("burst"), "per_hour", (1 / (1 + F.exp(-(F.col("mean") - F.col("med")) / F.col("scale")))).alias("level"))
 
 
 def latency(points: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clamp, hash_uniform, logit, sigmoid, target_size
+from ..functions.scalars import clamp, hash_uniform, sigmoid, target_size
+from .ordering import numbered
+from .windows import error_mean, suspicious
 
 #: Weights of the ensemble's four parts by budget in percent (up to 0.1, up to 1, beyond).
 VOTE_WEIGHTS = ((0.1, (0.46, 0.28, 0.18, 0.08)), (1.0, (0.42, 0.28, 0.18, 0.12)), (None, (0.38, 0.26, 0.18, 0.18)))
@@ -29,18 +31,14 @@ def tokens() -> Column:
 
 
 def strict_cap(rows: DataFrame, share: float, by: str = "has_error") -> DataFrame:
-    """rows cut to the budget, classes in their own shares (half to even, the rest to the other class): of each class
-    the longest, then largest traces. The ranks are found per class and slot of the score before they meet."""
+    """trace_id, the class and ``place`` in it of the rows that the budget keeps, classes in their own shares (half to
+    even, the rest to the other class): of each class the longest, then largest traces."""
     n = rows.agg(F.count("*").alias("n"), F.count_if(by).alias("e"))
     n = n.select(target_size(F.col("n"), share).alias("target"), "n", "e")
     n = n.withColumn("quota", F.least(F.col("e"), F.bround(F.col("target") * F.col("e") / F.col("n")).cast("long"))).select("target", "quota")
     kept = F.when(F.col(by), F.col("quota")).otherwise(F.col("target") - F.col("quota"))
-    order = Window.partitionBy(by).orderBy(F.desc("duration_ms"), F.desc("span_count"), F.desc("trace_id"))
-    bound = int(max(1, rows.count() * share) + 1)
-    few = rows.withColumn("_part", F.pmod(F.xxhash64("trace_id"), F.lit(64)))
-    first = Window.partitionBy(by, "_part").orderBy(F.desc("duration_ms"), F.desc("span_count"), F.desc("trace_id"))
-    few = few.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= bound).drop("_r", "_part")
-    return few.crossJoin(F.broadcast(n)).withColumn("place", F.row_number().over(order)).where(F.col("place") <= kept).drop("target", "quota")  # one row
+    placed = numbered(rows.select("trace_id", by, "duration_ms", "span_count"), [by], F.desc("duration_ms"), F.desc("span_count"), F.desc("trace_id"))
+    return placed.crossJoin(F.broadcast(n)).where(F.col("place") <= kept).drop("target", "quota")  # one row
 
 
 def votes(rows: DataFrame, members: tuple[int, ...] = (11, 22, 33)) -> Column:
@@ -55,30 +53,59 @@ def consensus(rows: DataFrame, budget: float, members: int = 3) -> DataFrame:
     return rows.withColumn("consensus", score)
 
 
-def modulated(rows: DataFrame, budget: float, tau: Column, scale: Column, bound: float = 0.75) -> Column:
-    """p shifted on the logit scale by how far the evidence lies from neutral."""
-    signed = 2 * sigmoid((F.col("evidence") - tau) / scale) - 1
-    return sigmoid(logit(F.col("p")) + clamp(by_budget(GAIN, budget) * signed * F.col("coverage"), -bound, bound))
+def shift(evidence: Column, trust: Column, budget: float, tau: Column, scale: Column, bound: float = 0.75) -> Column:
+    """How far evidence shifts a probability on the logit scale: by its signed distance from neutral, as far as it is
+    trusted (coverage times reliability), within a bound."""
+    signed = 2 * sigmoid((evidence - tau) / scale) - 1
+    return clamp(by_budget(GAIN, budget) * signed * trust, -bound, bound)
 
 
-def guarded(rows: DataFrame, target: int, budget: float) -> DataFrame:
-    """``target`` traces by rank, at least a floor of clean and of failed ones first: guaranteed rows, then the best others."""
+def guarded(rows: DataFrame, target: int, budget: float, *order: Column) -> DataFrame:
+    """``target`` rows in an order without ties, at least a floor of clean and of failed ones first: guaranteed rows
+    (``sure``), then the best others."""
     normal, failed = by_budget(GUARD_FLOORS, budget)
-    own = F.row_number().over(Window.partitionBy("has_error").orderBy("place"))
+    placed = numbered(rows, ["has_error"], *order, name="own").where(F.col("own") <= target)  # no class can give more
     floor = F.when(F.col("has_error"), round(target * failed)).otherwise(round(target * normal))
-    # of each class, no more than the target can be kept
-    few = rows.where(F.col("place_in_class") <= target) if "place_in_class" in rows.columns else rows
-    few = few.withColumn("sure", own <= floor)
-    return few.withColumn("kept_place", F.row_number().over(Window.orderBy(F.desc("sure"), "place"))).where(F.col("kept_place") <= target)
+    placed = placed.withColumn("sure", F.col("own") <= floor)
+    return numbered(placed, [], F.desc("sure"), *order, name="kept_place").where(F.col("kept_place") <= target)
 
 
-def top_places(rows: DataFrame, n: int, *order: Column, by: str = "has_error", parts: int = 64) -> DataFrame:
-    """The first n rows of each class with their ``place_in_class``, and their ``place`` among all of them: first the n
-    best of each hash part, so no task sorts a whole class."""
-    part = F.pmod(F.xxhash64("trace_id"), F.lit(parts))
-    few = rows.withColumn("_r", F.row_number().over(Window.partitionBy(by, part).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
-    few = few.withColumn("place_in_class", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("place_in_class") <= n)
-    return few.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+def shock(parts: dict[str, tuple[Column, Column, Column]], weights: dict[str, float]) -> Column:
+    """Weighted distance of values from their means in their sigmas: name -> (value, mean, sigma)."""
+    return sum((weights[k] * F.abs(x - m) / (s + 1e-6) for k, (x, m, s) in parts.items()), F.lit(0.0))
+
+
+def incident_floor(p: Column, incident: Column, error: Column, near: Column, latency: Column) -> Column:
+    """p, at least a floor in incidents: failed traces near the moment, then slow ones ever nearer to it."""
+    floor = F.when(error & (near >= 0.55), 0.62).when((near >= 0.78) & (latency >= 0.58), 0.56).when((near >= 0.88) & (latency >= 0.50), 0.50).otherwise(0.0)
+    return F.when(incident, F.greatest(p, floor)).otherwise(p)
+
+
+def quadrant(error: Column, hit: Column, ratio: Column) -> Column:
+    """Rank value of a trace: failed and touching suspicious services, neither, failed only, touching only."""
+    return F.when(error & hit, 0.80 + 0.10 * ratio).when(~error & ~hit, 0.50).when(error, 0.28).otherwise(0.40)
+
+
+def online_state(points: DataFrame, min_history: int = 8, rate: float = 0.15) -> DataFrame:
+    """trace_id, hit, ratio, rarity, history, contrast, rca: what the traces before it say of a trace. hit and ratio: whether
+    any, and how many, of its services have failed suspiciously often; rarity: mean of 1/sqrt(1 + traces of a service);
+    history: mean of all error flags before."""
+    touched = points.select("trace_id", F.explode("services").alias("service"), "start_ns", "has_error")
+    seen = suspicious(touched, min_history, rate).groupBy("trace_id").agg(F.max("suspicious").alias("hit"), F.avg(F.col("suspicious").cast("int")).alias("ratio"), F.avg(1 / F.sqrt(F.col("prior") + 1)).alias("rarity"))
+    rows = points.select("trace_id", "has_error").join(seen, "trace_id").join(error_mean(points.select("trace_id", "start_ns", "has_error")).withColumnRenamed("error_mean", "history"), "trace_id")
+    contrast = 0.65 * F.col("hit").cast("int") + 0.35 * F.abs(F.col("has_error").cast("int") - F.col("history"))
+    return rows.select("trace_id", "hit", "ratio", "rarity", "history", contrast.alias("contrast"), quadrant(F.col("has_error"), F.col("hit"), F.col("ratio")).alias("rca"))
+
+
+def exact_target(rows: DataFrame, target: int, *order: Column) -> DataFrame:
+    """Exactly ``target`` rows (or all there are) in an order without ties, at least a floor of failed ones among them: their
+    share of all rows times 1.2, within 8 and 40 percent of the target."""
+    n = rows.agg(F.count("*").alias("n"), F.count_if("has_error").alias("e"))
+    share = F.when(F.col("n") > 0, F.col("e") / F.col("n")).otherwise(0.0)
+    need = n.select(F.bround(target * clamp(F.greatest(F.lit(0.08), 1.2 * share), 0.08, 0.40)).cast("long").alias("need"))
+    placed = numbered(rows, ["has_error"], *order, name="own").where(F.col("own") <= target)
+    placed = placed.crossJoin(F.broadcast(need)).withColumn("sure", F.col("has_error") & (F.col("own") <= F.col("need"))).drop("need")  # one row
+    return numbered(placed, [], F.desc("sure"), *order, name="final_place").where(F.col("final_place") <= target)
 
 
 # ---- sequential folds, one group each of a bounded stretch of time ----
@@ -150,7 +177,7 @@ def scenario_floor(kept: DataFrame, members: DataFrame, target: int, floor: int
     own = Window.partitionBy("sid").orderBy("place")
     sure = members.join(kept, "trace_id").withColumn("r", F.row_number().over(own)).where(F.col("r") <= floor).select("trace_id").distinct().withColumn("sure", F.lit(1))
     rows = kept.join(sure, "trace_id", "left").withColumn("sure", F.coalesce("sure", F.lit(0)))
-    return rows.withColumn("final_place", F.row_number().over(Window.orderBy(F.desc("sure"), "place"))).where(F.col("final_place") <= target)
+    return numbered(rows, [], F.desc("sure"), F.col("place"), name="final_place").where(F.col("final_place") <= target)
 
 
 def diversity(mass: Column, similarity: Column, incident: Column, gamma: float = 1.0) -> Column:

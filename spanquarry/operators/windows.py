@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp
+from .ordering import numbered, running_sums, with_last
 
 
 def with_history(rows: DataFrame, sec: str, lookback: int) -> DataFrame:
@@ -37,12 +38,42 @@ def lookback_stats(points: DataFrame, lookback: int, values: dict[str, Column])
     return rows.select(*out)
 
 
+def lookback_sigmas(points: DataFrame, lookback: int, values: dict[str, Column]) -> DataFrame:
+    """For each trace n, and of values over the traces before it (as for ``lookback_stats``) value_mean, value_sigma (the
+    larger of the sample's standard deviation and the scaled upper median deviation, 0 for one value or none) and
+    value_robust (of the population's and the scaled median deviation, at least 1e-6). A frame's values come as an array,
+    so a lookback has to be short enough for that."""
+    rows = with_history(points.select("trace_id", "sec", "start_ns", *[v.cast("double").alias(k) for k, v in values.items()]), "sec", lookback)
+    before = Window.partitionBy("_slot").orderBy("sec").rangeBetween(1 - lookback, 0)
+    rows = rows.withColumn("_h", F.collect_list(F.struct("start_ns", "trace_id", *values)).over(before)).where("own")
+    rows = rows.withColumn("_h", F.filter("_h", lambda x: (x["start_ns"] < F.col("start_ns")) | (x["start_ns"] == F.col("start_ns")) & (x["trace_id"] < F.col("trace_id"))))
+    out = ["trace_id", F.size("_h").cast("long").alias("n")]
+    for k in values:
+        out += [F.struct(*_spread(F.col("_h")[k])).alias(f"_{k}")]
+    return rows.select(*out).select("trace_id", "n", *[F.col(f"_{k}")[x].alias(f"{k}_{x}") for k in values for x in ("mean", "sigma", "robust")])
+
+
+def _spread(v: Column) -> list[Column]:
+    n = F.size(v)
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
+    mean = F.when(n > 0, total(v) / n).otherwise(0.0)
+    squares = F.transform(F.array(mean), lambda m: total(F.transform(v, lambda x: (x - m) * (x - m))))[0]
+    upper = lambda x: F.get(F.sort_array(x), F.floor(F.size(x) / 2).cast("int"))
+    off = lambda middle: F.transform(F.array(middle), lambda m: F.transform(v, lambda x: F.abs(x - m)))[0]
+    sigma = F.when(n <= 1, 0.0).otherwise(F.greatest(F.sqrt(squares / (n - 1)), 1.4826 * upper(off(upper(v)))))
+    robust = F.when(n == 0, 1e-6).otherwise(F.greatest(F.lit(1e-6), F.sqrt(squares / n), 1.4826 * median(off(median(v)))))
+    return [mean.alias("mean"), sigma.alias("sigma"), robust.alias("robust")]
+
+
 def service_history(rows: DataFrame, value: str, last: int = 60) -> DataFrame:
-    """rows (trace_id, service, start_ns, value) with count, median and median deviation of the service's last values."""
-    before = Window.partitionBy("service").orderBy("start_ns", "trace_id").rowsBetween(-last, -1)
-    rows = rows.withColumn("history_count", F.count(value).over(before)).withColumn("history", F.collect_list(value).over(before))
-    rows = rows.withColumn("med", median("history"))
-    return rows.withColumn("mad", median(F.transform("history", lambda v: F.abs(v - F.col("med"))))).drop("history")
+    """rows (trace_id, service, start_ns, value) with count, median and median deviation of the service's last values. A
+    service's rows are dealt out by chunks of their order, each with the last rows of the chunk before."""
+    placed = numbered(rows, ["service"], F.col("start_ns"), F.col("trace_id"))
+    dealt, chunk = with_last(placed, last)
+    before = Window.partitionBy("service", chunk).orderBy("place").rowsBetween(-last, -1)
+    out = dealt.withColumn("history_count", F.count(value).over(before)).withColumn("history", F.collect_list(value).over(before)).where("_own")
+    out = out.withColumn("med", median("history"))
+    return out.withColumn("mad", median(F.transform("history", lambda v: F.abs(v - F.col("med"))))).select(*rows.columns, "history_count", "med", "mad")
 
 
 def median(values: Column | str) -> Column:
@@ -53,7 +84,7 @@ def median(values: Column | str) -> Column:
 
 
 def ema_burst(series: DataFrame, new: float = 0.2, last: int = 60) -> DataFrame:
-    """series (service, bin, n) with thr = ln(1 + n), its moving average over the last values, and their difference.
+    """series (service, bin, n; one row for each bin of time) with thr = ln(1 + n), its moving average over the last values, and their difference.
 
     The weight of a value falls by 1 - new each step, so what lies beyond ``last`` steps is below the sixth decimal.
     """
@@ -65,9 +96,39 @@ def ema_burst(series: DataFrame, new: float = 0.2, last: int = 60) -> DataFrame:
 
 def suspicious(rows: DataFrame, min_history: int = 8, rate: float = 0.15) -> DataFrame:
     """rows (trace_id, service, start_ns, has_error) with the service's prior count, errors, and whether it is suspicious."""
-    before = Window.partitionBy("service").orderBy("start_ns", "trace_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("prior", F.count("*").over(before)).withColumn("prior_errors", F.coalesce(F.sum(F.col("has_error").cast("long")).over(before), F.lit(0)))
-    return rows.withColumn("suspicious", (F.col("prior") > min_history) & (F.col("prior_errors") > rate * F.col("prior")))
+    rows = rows.withColumn("_e", F.col("has_error").cast("long")).withColumn("_one", F.lit(1).cast("long"))
+    out = running_sums(rows, ["service"], ["_one", "_e"], F.col("start_ns"), F.col("trace_id"))
+    out = out.withColumn("prior", F.col("_one_sum") - 1).withColumn("prior_errors", F.col("_e_sum") - F.col("_e")).drop("_one", "_e", "_one_sum", "_e_sum")
+    return out.withColumn("suspicious", (F.col("prior") > min_history) & (F.col("prior_errors") > rate * F.col("prior")))
+
+
+def error_mean(rows: DataFrame) -> DataFrame:
+    """trace_id, prior, error_mean: how many traces came before (by start, then id), and the mean of their error flags."""
+    flags = rows.select("trace_id", "start_ns", F.col("has_error").cast("long").alias("e"), F.lit(1).cast("long").alias("one"))
+    sums = running_sums(flags, [], ["one", "e"], F.col("start_ns"), F.col("trace_id"))
+    prior = F.col("one_sum") - 1
+    return sums.select("trace_id", prior.alias("prior"), F.when(prior > 0, (F.col("e_sum") - F.col("e")) / prior).otherwise(0.0).alias("error_mean"))
+
+
+def same_moment(rows: DataFrame, width: int = 1) -> DataFrame:
+    """trace_id, same: the place of a trace among those of its service in its stretch of so many seconds."""
+    within = Window.partitionBy("service", F.floor(F.col("sec") / width)).orderBy("start_ns", "trace_id")
+    return rows.select("trace_id", F.row_number().over(within).cast("long").alias("same"))
+
+
+def dual_thresholds(rows: DataFrame, short: int, long: int, q: float, mix: float, initial: float = 5.0) -> DataFrame:
+    """bin, long_n, threshold of every bin from the first to the last: a mix of the score's quantiles over the last short
+    and long stretch of bins; without scores the threshold before goes on. rows: bin, score. Equal scores are counted
+    before they go into their windows; after that there is one row for each bin."""
+    counts = rows.groupBy("bin", "score").agg(F.count("*").alias("c"))
+    spread = counts.withColumn("at", F.explode(F.sequence("bin", F.col("bin") + long - 1)))
+    near = F.when(F.col("bin") > F.col("at") - short, F.col("c"))
+    by_score = spread.groupBy("at", "score").agg(F.coalesce(F.sum(near), F.lit(0)).alias("near"), F.sum("c").alias("c"))
+    found = by_score.groupBy("at").agg(F.sum("c").alias("long_n"), F.percentile(F.when(F.col("near") > 0, F.col("score")), F.lit(q), F.greatest("near", F.lit(1))).alias("s"), F.percentile("score", F.lit(q), F.col("c")).alias("l"))
+    every = rows.agg(F.min("bin").alias("a"), F.max("bin").alias("z")).select(F.explode(F.sequence("a", "z")).alias("at"))
+    every = every.join(found, "at", "left").withColumn("t", mix * F.col("s") + (1 - mix) * F.col("l"))
+    last = F.last("t", ignorenulls=True).over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return every.select(F.col("at").alias("bin"), F.coalesce("long_n", F.lit(0)).alias("long_n"), F.coalesce(last, F.lit(initial)).alias("threshold"))
 
 
 def local_density(points: DataFrame, reach: int) -> DataFrame:

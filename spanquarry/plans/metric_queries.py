@@ -2,27 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import metrics, retention, sampling, traces, windows
+from ..operators import metrics, ordering, retention, traces, windows
 from .base import INCIDENTS, TRACES, points, query, spans, uniform
 from .trace_queries import METRICS, PODS
-from .window_queries import SCORED, STATS, VOTED, ensemble
 
 Z = """ms AS (SELECT service, median(cpu) AS cm, stddev_pop(cpu) AS cs, median(load) AS lm, stddev_pop(load) AS ls FROM mt GROUP BY service),
 md AS (SELECT service, median(abs(cpu - cm)) AS cd, median(abs(load - lm)) AS ld FROM mt JOIN ms USING (service) GROUP BY service),
 mz AS (SELECT service, sec, least(abs(cpu - cm) / greatest(1e-6, cs, 1.4826 * cd), 10) AS cpu_z, least(abs(load - lm) / greatest(1e-6, ls, 1.4826 * ld), 10) AS load_z FROM mt JOIN ms USING (service) JOIN md USING (service))"""
 
 
-def _deviations(s: DataFrame) -> DataFrame:
+def deviations_of(s: DataFrame) -> DataFrame:
     return metrics.deviations(retention.hourly_metrics(s), ["cpu", "load"])
 
 
 @query(f"WITH {TRACES}, {METRICS}, {Z} SELECT service, sec, round(cpu_z, 6) AS cpu_z, round(load_z, 6) AS load_z FROM mz")
 def metric_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _deviations(spans(spark, sf_dir)).select("service", "sec", S.sixth(F.col("cpu_z")).alias("cpu_z"), S.sixth(F.col("load_z")).alias("load_z"))
+    return deviations_of(spans(spark, sf_dir)).select("service", "sec", S.sixth(F.col("cpu_z")).alias("cpu_z"), S.sixth(F.col("load_z")).alias("load_z"))
 
 
 @query(f"""WITH {TRACES}, {METRICS}, w AS (SELECT service, sec, load, list_sort(list(load) OVER (PARTITION BY service ORDER BY sec ROWS BETWEEN 119 PRECEDING AND CURRENT ROW)) AS l FROM mt)
@@ -48,7 +47,7 @@ def service_pod_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT trace_id, round(coalesce(0.5 * v[1] + 0.3 * coalesce(v[2], 0) + 0.2 * coalesce(v[3], 0), 0), 6) AS intensity, round(known / asked, 6) AS coverage, round(reliability, 6) AS reliability FROM l""")
 def metric_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spans(spark, sf_dir)
-    found = metrics.evidence(traces.trace_points(s), _deviations(s).drop("cpu", "load"), 7200)
+    found = metrics.evidence(traces.trace_points(s), deviations_of(s).drop("cpu", "load"), 7200)
     return found.select("trace_id", *[S.sixth(F.col(c)).alias(c) for c in ("intensity", "coverage", "reliability")])
 
 
@@ -68,7 +67,7 @@ bc AS (SELECT *, least(greatest(0.10 + 0.60 * (1 + (cs * ln(cs) + ls * ln(ls)) /
 
 
 def _bias(s: DataFrame) -> tuple[DataFrame, DataFrame]:
-    z = _deviations(s)
+    z = deviations_of(s)
     first = traces.incidents(s).agg(F.min("st").alias("at"))
     return z, metrics.bias(z.crossJoin(F.broadcast(first)), F.col("at"), 5400)  # one row
 
@@ -89,18 +88,6 @@ def bias_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("trace_id", S.sixth(F.col("confidence") * S.cosine(F.array("cpu_z", "load_z"), F.array("cpu_share", "load_share"))).alias("alignment"))
 
 
-@query(f"""WITH {TRACES}, {INCIDENTS}, {STATS}, {SCORED}, {VOTED}, h AS (SELECT trace_id, votes, 0.4 * votes / 3 + 0.3 * rca + 0.3 * evidence / 5 AS head, consensus FROM cons),
-  r AS (SELECT *, row_number() OVER (ORDER BY round(head, 5) DESC, trace_id) AS place FROM h)
-  SELECT trace_id, CASE WHEN place = 1 THEN 'head' WHEN votes >= 2 THEN 'consensus' WHEN votes = 1 THEN 'remainder' ELSE 'outside' END AS pool, place FROM r WHERE place <= 50""")
-def head_tail_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ensemble(spark, sf_dir)
-    head = 0.4 * F.col("votes") / 3 + 0.3 * F.col("rca") + 0.3 * F.col("evidence") / 5
-    rows = rows.select("trace_id", "votes", F.round(head, 5).alias("head"), F.lit(True).alias("all"))
-    placed = sampling.top_places(rows, 50, F.desc("head"), F.col("trace_id"), by="all").where("place <= 50")
-    pool = F.when(F.col("place") == 1, "head").when(F.col("votes") >= 2, "consensus").when(F.col("votes") == 1, "remainder").otherwise("outside")
-    return placed.select("trace_id", pool.alias("pool"), F.col("place").cast("long").alias("place"))
-
-
 @query(f"""WITH {TRACES}, a AS (SELECT trace_id, span_count FROM tp WHERE {uniform("trace_id", "'a'")} < 0.5), b AS (SELECT trace_id, has_error FROM tp WHERE {uniform("trace_id", "'b'")} < 0.5)
   SELECT CASE WHEN a.trace_id IS NULL THEN 'sampled' WHEN b.trace_id IS NULL THEN 'baseline' ELSE 'both' END AS side, count(*) AS n, coalesce(sum(span_count), 0)::BIGINT AS spans, count(*) FILTER (WHERE has_error) AS errors FROM a FULL JOIN b ON a.trace_id = b.trace_id GROUP BY 1""")
 def ab_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,9 +101,10 @@ def ab_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TRACES}, o AS (SELECT trace_id, row_number() OVER (PARTITION BY sec // 86400 ORDER BY start_ns, trace_id) AS r, count(*) OVER (PARTITION BY sec // 86400) AS n FROM tp)
   SELECT CASE WHEN r <= greatest(1, n // 3) THEN 'first' ELSE 'rest' END AS part, count(*) AS n FROM o GROUP BY 1""")
 def first_third_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = Window.partitionBy(F.floor(F.col("sec") / 86400))
-    rows = points(spark, sf_dir).select(F.row_number().over(day.orderBy("start_ns", "trace_id")).alias("r"), F.count("*").over(day).alias("n"))
-    return rows.groupBy(F.when(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") / 3)), "first").otherwise("rest").alias("part")).agg(F.count("*").alias("n"))
+    rows = points(spark, sf_dir).select(F.floor(F.col("sec") / 86400).alias("day"), "start_ns", "trace_id")
+    sizes = rows.groupBy("day").agg(F.count("*").alias("n"))
+    placed = ordering.numbered(rows, ["day"], F.col("start_ns"), F.col("trace_id"), name="r").join(sizes, "day")
+    return placed.groupBy(F.when(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") / 3)), "first").otherwise("rest").alias("part")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {TRACES}, x AS (SELECT trace_id FROM tp WHERE has_error INTERSECT SELECT trace_id FROM tp WHERE span_count > 2), y AS (SELECT trace_id FROM tp WHERE has_error EXCEPT SELECT trace_id FROM tp WHERE span_count > 2)

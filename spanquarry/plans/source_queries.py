@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import storage
 from ..operators import traces
 from ..sources.spans import otlp_rows
 from ..streaming import live
@@ -28,7 +27,7 @@ def otlp_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {TRACES} SELECT sec // 3600 * 3600 AS start, service, count(*) AS n, sum(failed::INT)::BIGINT AS errors FROM sp GROUP BY 1, 2")
 def stream_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bins of the events taken as a stream of files."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+    shared = storage.shared_dir(spark)
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     run = uuid.uuid4().hex

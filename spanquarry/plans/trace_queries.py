@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import retention, traces
+from ..operators import ordering, retention, traces
 from .base import INCIDENTS, TRACES, points, query, spans, uniform
 
 KEPT = f"kept AS (SELECT trace_id FROM tp WHERE {uniform('trace_id', chr(39) + 'keep' + chr(39))} < 0.3)"
@@ -108,8 +108,9 @@ def duration_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT root_service, round(list_aggregate(u, 'quantile_cont', 0.5), 6) AS p50, round(list_aggregate(u, 'quantile_cont', 0.95), 6) AS p95, round(list_aggregate(u, 'quantile_cont', 0.99), 6) AS p99,
   round(d[floor(0.95 * (len(d) - 1))::INT + 1], 6) AS rank95, round(d[len(d) // 2 + 1], 6) AS upper_median FROM l""")
 def quantile_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = points(spark, sf_dir).groupBy("root_service").agg(F.collect_list("duration_ms").alias("d"), *[F.percentile("duration_ms", F.lit(q)).alias(f"p{round(100 * q)}") for q in (0.5, 0.95, 0.99)])
-    return rows.select("root_service", *[S.sixth(F.col(p)).alias(p) for p in ("p50", "p95", "p99")], S.sixth(S.nearest_rank(F.col("d"), 0.95)).alias("rank95"), S.sixth(S.upper_median(F.col("d"))).alias("upper_median"))
+    asked = {"p50": ("linear", 0.5), "p95": ("linear", 0.95), "p99": ("linear", 0.99), "rank95": ("rank", 0.95), "upper_median": ("upper", 0.0)}
+    found = ordering.quantiles(points(spark, sf_dir).select("root_service", "duration_ms"), ["root_service"], "duration_ms", asked)
+    return found.select("root_service", *[S.sixth(F.col(k)).alias(k) for k in asked])
 
 
 @query(f"""WITH {TRACES}, m AS (SELECT root_service, median(duration_ms) AS med, stddev_pop(duration_ms) AS pop, coalesce(stddev_samp(duration_ms), 0) AS samp, quantile_cont(duration_ms, 0.75) - quantile_cont(duration_ms, 0.25) AS iqr FROM tp GROUP BY root_service),

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import retention, sampling, traces, windows
+from ..operators import ordering, retention, sampling, traces, windows
 from .base import INCIDENTS, TRACES, points, query, spans, uniform
 
 LOOKBACK = 3600
@@ -55,7 +55,7 @@ BINS = f"""bins AS (SELECT sec // 3600 AS bin, count(*) AS n, sum(has_error::INT
   quantile_cont(duration_ms, 0.95) AS p95, min(duration_ms) FILTER (WHERE NOT has_error AND {uniform("trace_id", "'keep'")} < 0.3) AS least FROM tp GROUP BY 1)"""
 
 
-def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bins_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     tp = points(spark, sf_dir)
     kept = S.hash_uniform(F.col("trace_id"), "keep") < 0.3
     return tp.groupBy(F.floor(F.col("sec") / 3600).alias("bin")).agg(
@@ -64,24 +64,24 @@ def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {TRACES}, {BINS} SELECT bin, n, errors, sampled, round(p95, 6) AS p95, round(least, 6) AS least FROM bins")
-def ab_per_second_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bins(spark, sf_dir).select("bin", "n", "errors", "sampled", S.sixth(F.col("p95")).alias("p95"), S.sixth(F.col("least")).alias("least"))
+def ab_per_secondbins_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bins_of(spark, sf_dir).select("bin", "n", "errors", "sampled", S.sixth(F.col("p95")).alias("p95"), S.sixth(F.col("least")).alias("least"))
 
 
 @query(f"""WITH {TRACES}, {BINS} SELECT bin, errors > 0.6 * n AS raw, max((errors > 0.6 * n)::INT) OVER (ORDER BY bin RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) = 1 AS "on" FROM bins""")
 def incident_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.hysteresis(_bins(spark, sf_dir), F.col("errors") > 0.6 * F.col("n"), 6).select("bin", "raw", "on")
+    return windows.hysteresis(bins_of(spark, sf_dir), F.col("errors") > 0.6 * F.col("n"), 6).select("bin", "raw", "on")
 
 
 @query(f"""WITH {TRACES}, {BINS}, h AS (SELECT bin, errors > 0.4 * n AS above, lead(errors > 0.4 * n, 1) OVER (ORDER BY bin) AND lead(errors > 0.4 * n, 2) OVER (ORDER BY bin) AS next FROM bins)
   SELECT bin, above, above AND coalesce(next, false) AS detected FROM h""")
 def hold_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.held(_bins(spark, sf_dir), F.col("errors") > 0.4 * F.col("n"), 3).select("bin", "above", "detected")
+    return windows.held(bins_of(spark, sf_dir), F.col("errors") > 0.4 * F.col("n"), 3).select("bin", "above", "detected")
 
 
 @query(f"""WITH {TRACES}, {BINS}, l AS (SELECT bin, n, p95, lag(p95) OVER (ORDER BY bin) AS b FROM bins) SELECT count(*) AS bins, round(stddev_pop(p95) / avg(p95) * 100, 6) AS volatility_pct, round(max(CASE WHEN b > 0 THEN abs(p95 - b) / b END), 6) AS max_step FROM l""")
 def threshold_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = windows.steps(_bins(spark, sf_dir), "p95")
+    rows = windows.steps(bins_of(spark, sf_dir), "p95")
     return rows.agg(F.count("*").alias("bins"), S.sixth(F.stddev_pop("p95") / F.avg("p95") * 100).alias("volatility_pct"), S.sixth(F.max("step")).alias("max_step"))
 
 
@@ -91,10 +91,12 @@ def threshold_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dual_window_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = 0.01 * F.col("duration_ms") / 1000 + 0.5 * F.col("span_count") + 10 * F.col("has_error").cast("int")
     rows = points(spark, sf_dir).select(F.floor(F.col("sec") / 3600).alias("bin"), score.alias("score"))
-    spread = rows.withColumn("at", F.explode(F.sequence("bin", F.col("bin") + 29)))
-    short = F.when(F.col("bin") > F.col("at") - 5, F.col("score"))
-    found = spread.groupBy("at").agg(F.count(short).alias("short_n"), F.count("*").alias("long_n"), F.percentile(short, F.lit(0.7)).alias("s"), F.percentile("score", F.lit(0.7)).alias("l"))
-    present = rows.select(F.col("bin").alias("at")).distinct()
+    counts = rows.groupBy("bin", "score").agg(F.count("*").alias("c"))  # equal scores are counted before they go into 30 windows
+    spread = counts.withColumn("at", F.explode(F.sequence("bin", F.col("bin") + 29)))
+    short = F.when(F.col("bin") > F.col("at") - 5, F.col("c"))
+    by_score = spread.groupBy("at", "score").agg(F.coalesce(F.sum(short), F.lit(0)).alias("short_c"), F.sum("c").alias("c"))
+    found = by_score.groupBy("at").agg(F.sum("short_c").alias("short_n"), F.sum("c").alias("long_n"), F.percentile(F.when(F.col("short_c") > 0, F.col("score")), F.lit(0.7), F.greatest("short_c", F.lit(1))).alias("s"), F.percentile("score", F.lit(0.7), F.col("c")).alias("l"))
+    present = counts.select(F.col("bin").alias("at")).distinct()
     return found.join(present, "at", "left_semi").select(F.col("at").alias("bin"), "short_n", "long_n", S.sixth(0.3 * F.col("s") + 0.7 * F.col("l")).alias("threshold"))
 
 
@@ -123,46 +125,6 @@ def sampling_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probabilities(spark, sf_dir).select("trace_id", "incident", *[F.round(c, 5).alias(c) for c in ("latency", "near", "p")])
 
 
-VOTED = f"""ev AS (SELECT *, span_count / 5.0 AS evidence, len(services) / 5.0 AS coverage, 1 / sqrt(len(services)) AS rarity, (0.65 * incident::INT + 0.35 * abs(has_error::INT - 0.4)) AS contrast,
-  CASE WHEN has_error AND incident THEN 0.9 WHEN NOT has_error AND NOT incident THEN 0.5 WHEN has_error THEN 0.28 ELSE 0.4 END AS rca FROM prob),
-  vt AS (SELECT *, ({uniform("trace_id", "'11'", "'0'")} < p)::INT + ({uniform("trace_id", "'22'", "'0'")} < p)::INT + ({uniform("trace_id", "'33'", "'0'")} < p)::INT AS votes FROM ev),
-  cons AS (SELECT *, 0.42 * votes / 3 + 0.28 * (0.65 * rca + 0.35 * p) + 0.18 / (1 + exp(1 - evidence)) + 0.12 * (0.6 * rarity + 0.4 * contrast) AS consensus FROM vt)"""
-BUDGET = 1.0
-
-
-def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = probabilities(spark, sf_dir)
-    rca = F.when(F.col("has_error") & F.col("incident"), 0.9).when(~F.col("has_error") & ~F.col("incident"), 0.5).when(F.col("has_error"), 0.28).otherwise(0.4)
-    rows = rows.withColumn("evidence", F.col("span_count") / 5.0).withColumn("coverage", F.size("services") / 5.0).withColumn("rarity", 1 / F.sqrt(F.size("services")))
-    rows = rows.withColumn("contrast", 0.65 * F.col("incident").cast("int") + 0.35 * F.abs(F.col("has_error").cast("int") - 0.4)).withColumn("rca", rca)
-    return sampling.consensus(rows.withColumn("votes", sampling.votes(rows)), BUDGET)
-
-
-@query(f"WITH {TRACES}, {INCIDENTS}, {STATS}, {SCORED}, {VOTED} SELECT trace_id, votes, round(consensus, 5) AS consensus FROM cons")
-def consensus_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ensemble(spark, sf_dir).select("trace_id", "votes", F.round("consensus", 5).alias("consensus"))
-
-
-@query(f"""WITH {TRACES}, {INCIDENTS}, {STATS}, {SCORED}, {VOTED}, q AS (SELECT quantile_cont(evidence, 0.55) AS tau, greatest(1e-6, stddev_pop(evidence)) AS scale FROM cons)
-  SELECT trace_id, round(1 / (1 + exp(-(ln(p / (1 - p)) + least(greatest(0.6 * (2 / (1 + exp(-(evidence - tau) / scale)) - 1) * coverage, -0.75), 0.75)))), 5) AS p FROM cons, q""")
-def signed_modulation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ensemble(spark, sf_dir)
-    q = rows.agg(F.percentile("evidence", F.lit(0.55)).alias("tau"), F.greatest(F.lit(1e-6), F.stddev_pop("evidence")).alias("scale"))
-    rows = rows.crossJoin(F.broadcast(q))  # one row
-    return rows.select("trace_id", F.round(sampling.modulated(rows, BUDGET, F.col("tau"), F.col("scale")), 5).alias("p"))
-
-
-@query(f"""WITH {TRACES}, {INCIDENTS}, {STATS}, {SCORED}, {VOTED}, t AS (SELECT greatest(1, round_even(count(*) * 0.01, 0))::BIGINT AS target FROM cons),
-  o AS (SELECT *, row_number() OVER (ORDER BY votes DESC, round(consensus, 5) DESC, trace_id) AS place, row_number() OVER (PARTITION BY has_error ORDER BY votes DESC, round(consensus, 5) DESC, trace_id) AS own FROM cons),
-  g AS (SELECT o.*, target, own <= CASE WHEN has_error THEN round_even(target * 0.18, 0) ELSE round_even(target * 0.38, 0) END AS sure FROM o, t),
-  k AS (SELECT *, row_number() OVER (ORDER BY sure DESC, place) AS kept_place FROM g) SELECT trace_id, has_error, sure, votes FROM k WHERE kept_place <= target""")
-def dual_contrast_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ensemble(spark, sf_dir)
-    target = max(1, round(rows.count() * BUDGET / 100))
-    placed = sampling.top_places(rows, target, F.desc("votes"), F.desc(F.round("consensus", 5)), F.col("trace_id"))
-    return sampling.guarded(placed, target, BUDGET).select("trace_id", "has_error", "sure", "votes")
-
-
 @query(f"""WITH {TRACES}, n AS (SELECT greatest(1, least(count(*), round_even(count(*) * 0.025, 0)))::BIGINT AS target, count(*) AS n, sum(has_error::INT) AS e FROM tp), q AS (SELECT target, least(e, round_even(target * e / n, 0)) AS quota FROM n),
   r AS (SELECT trace_id, has_error, row_number() OVER (PARTITION BY has_error ORDER BY duration_ms DESC, span_count DESC, trace_id DESC) AS place FROM tp)
   SELECT trace_id, has_error, place FROM r, q WHERE place <= CASE WHEN has_error THEN quota ELSE target - quota END""")
@@ -194,6 +156,6 @@ def strict_cap_scenario_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spans(spark, sf_dir)
     tp = traces.trace_points(s)
     kept = sampling.strict_cap(tp, 0.025)
-    kept = kept.select("trace_id", F.row_number().over(Window.orderBy(F.desc("has_error"), F.desc("duration_ms"), "trace_id")).alias("place"))
+    kept = ordering.numbered(kept.select("trace_id", "has_error", "duration_ms"), [], F.desc("has_error"), F.desc("duration_ms"), F.col("trace_id"))
     members = traces.membership(tp, traces.incidents(s)).select("trace_id", F.explode("sids").alias("sid"))
     return sampling.scenario_floor(kept, members, max(1, round(tp.count() * 0.01))).select("trace_id", "sure", "final_place")

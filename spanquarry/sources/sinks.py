@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
 def kept_spans(spans: DataFrame, kept: DataFrame, path: str, rank: bool = False) -> tuple[int, int]:
-    """Write the spans of the kept traces as CSV; spans there were and spans kept. With rank, kept has a place."""
-    out = spans.join(kept.select("trace_id", *(["place"] if rank else [])).distinct(), "trace_id", "inner" if rank else "left_semi")
-    (out.repartitionByRange("place").sortWithinPartitions("place", "start_ns") if rank else out).write.mode("overwrite").csv(path, header=True)
-    return spans.count(), spans.sparkSession.read.csv(path, header=True).count()
+    """Write the spans of the kept traces as CSV; spans there were and spans kept, counted as they pass. With rank, kept has
+    a place."""
+    seen, written = Observation("seen"), Observation("written")
+    one = F.count(F.lit(1)).alias("n")
+    out = spans.observe(seen, one).join(kept.select("trace_id", *(["place"] if rank else [])).distinct(), "trace_id", "inner" if rank else "left_semi")
+    if rank:  # the range shuffle samples its input, so the order is made before the rows are counted
+        out = out.repartitionByRange("place").sortWithinPartitions("place", "start_ns")
+    out.observe(written, one).write.mode("overwrite").csv(path, header=True)
+    return (spans.count() if rank else seen.get["n"]), written.get["n"]
+
+
+def trace_csv(spans: DataFrame, path: str) -> None:
+    """Spans as a table of traces: first start, duration, span count, whether any failed, services in order joined by |."""
+    rows = spans.groupBy("trace_id").agg(F.min("start_ns").alias("start_ns"), ((F.max("end_ns") - F.min("start_ns")) / 1e6).alias("duration_ms"), F.count("*").alias("span_count"), F.max(F.col("failed").cast("int")).alias("has_error"), F.array_join(F.array_sort(F.collect_set("service")), "|").alias("services"))
+    rows.write.mode("overwrite").csv(path, header=True)
+
+
+def report(tables: dict[str, DataFrame], path: str, title: str) -> None:
+    """Several small results as one markdown text, written through Spark."""
+    text = f"# {title}\n\n" + "\n".join(markdown(rows, name) for name, rows in tables.items())
+    next(iter(tables.values())).sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def id_list(kept: DataFrame, path: str) -> None:

@@ -35,6 +35,13 @@ def operation(name: Column) -> Column:
     return F.coalesce(F.when(F.trim(name) != "", F.substring_index(F.trim(name), "/", -1)), F.lit("unknown"))
 
 
+def parsed_operation(name: Column) -> Column:
+    """A path stays, of other names the last word if it is a path, else all of it; ``unknown`` if blank."""
+    text = F.trim(name)
+    last = F.regexp_extract(text, r"(\S*)$", 1)
+    return F.when(F.coalesce(text, F.lit("")) == "", "unknown").when(text.startswith("/"), text).when(last.startswith("/"), last).otherwise(text)
+
+
 def labels(spark: SparkSession, path: str) -> DataFrame:
     """ts, pod, kind of a label file: an object of arrays of injections."""
     kinds = "map<string,array<struct<inject_timestamp:string,inject_pod:string,inject_type:string>>>"
@@ -52,15 +59,27 @@ def scenarios_of(found: DataFrame, dataset: str, seconds: int = 900) -> DataFram
     return found.select(sid.alias("scenario_id"), iso(F.col("ts")).alias("incident_start_ts"), iso(F.col("ts") + seconds).alias("incident_end_ts"), F.regexp_replace("pod", "-[^-]*-[^-]*$", "").alias("ground_truth_root_cause"), F.col("kind").alias("inject_type"), F.col("pod").alias("inject_pod"), F.col("ts").cast("string").alias("inject_timestamp"))
 
 
+SCENARIO = "scenario_id string, incident_start_ts string, incident_end_ts string, ground_truth_root_cause string"
+
+
 def scenarios(spark: SparkSession, path: str) -> DataFrame:
-    """sid, st, ed, truth of a scenario file (JSON lines): rows without an id or a start are left out, ends before starts moved up."""
-    rows = spark.read.schema("scenario_id string, incident_start_ts string, incident_end_ts string, ground_truth_root_cause string").json(path)
+    """sid, st, ed, truth of scenario files: JSON lines, a list, an object with a list under ``scenarios``, or one object.
+    Rows without an id or a start are left out, ends before starts moved up."""
+    text = spark.read.text(path, wholetext=True)
+    trimmed = F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))
+    whole_file = F.coalesce(F.from_json(F.get_json_object(trimmed, "$.scenarios"), f"array<struct<{_fields(SCENARIO)}>>"), F.from_json(F.when(trimmed.startswith("["), trimmed), f"array<struct<{_fields(SCENARIO)}>>"))
+    by_line = F.transform(F.filter(F.split(trimmed, r"\n(?=\s*\{)"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, f"struct<{_fields(SCENARIO)}>"))
+    rows = text.select(F.explode(F.coalesce(whole_file, by_line)).alias("x")).select("x.*")
     second = lambda c: F.unix_seconds(F.try_to_timestamp(F.regexp_replace(c, "Z$", "+00:00")))
     st = second(F.col("incident_start_ts"))
     rows = rows.select(F.trim("scenario_id").alias("sid"), st.alias("st"), F.greatest(st, F.coalesce(second(F.col("incident_end_ts")), st)).alias("ed"), F.col("ground_truth_root_cause").alias("truth"))
     return rows.where("sid != '' and st > 0")
 
 
+def _fields(schema: str) -> str:
+    return ",".join(":".join(x.split()) for x in schema.split(","))
+
+
 def metric_csv(spark: SparkSession, path: str) -> DataFrame:
     """sec, pod, cpu, memory, latency, load, success: percentages as shares, blanks as 0, files without pod metrics skipped."""
     names = ["TimeStamp", "PodName", "CpuUsageRate(%)", "MemoryUsageRate(%)", "PodClientLatencyP95(s)", "PodServerLatencyP95(s)", "PodWorkload(Ops)", "PodSuccessRate(%)"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def bins(spans: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -20,11 +21,18 @@ def sessions(spans: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -
     return out.select("trace_id", "start_us", "end_us", "span_count", "has_error")
 
 
-def run_once(out: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Take in what there is, keeping the whole result at path, and read it. A restart goes on from the checkpoint."""
+def run_once(out: DataFrame, path: str, checkpoint: str, mode: str = "update") -> DataFrame:
+    """Take in what there is and read the windows that the watermark has closed, and those still open (with mode
+    ``append``, as sessions need it, the closed ones). Each batch writes what it updated under its number, so a batch that
+    is run again replaces its own rows; a window's rows of later batches hold more, so the last one counts. State ends
+    with the watermark; a restart goes on from the checkpoint."""
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    out.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    return out.sparkSession.read.schema(out.schema).parquet(path)
+    out.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    keys = [c for c in ("start", "service", "trace_id", "start_us") if c in out.columns]
+    rows = out.sparkSession.read.schema(StructType([*out.schema.fields, StructField("batch", LongType())])).parquet(path)
+    others = [c for c in out.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("last"))
+    return last.select(*keys, "last.*").select(*out.columns)

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from spanquarry.functions import scalars as S
-from spanquarry.operators import evaluation, rca, retention, sampling, traces, windows
+from spanquarry.operators import evaluation, ordering, rca, retention, sampling, traces, windows
 
 SPANS = "trace_id string, span_id long, service string, start_us long, sec long, weight double, failed boolean, props string"
 
@@ -107,8 +107,7 @@ def test_strict_cap_keeps_shares_and_order(spark):
 
 
 def test_guard_fills_the_target_and_its_floors(spark):
-    placed = sampling.top_places(points(spark), 20, F.desc("p"), F.col("trace_id"))
-    kept = sampling.guarded(placed, 20, 1.0).collect()
+    kept = sampling.guarded(points(spark).select("trace_id", "has_error", "p"), 20, 1.0, F.desc("p"), F.col("trace_id")).collect()
     assert len(kept) == 20 and sum(r.has_error for r in kept) >= round(20 * 0.18) and sum(not r.has_error for r in kept) >= round(20 * 0.38)
 
 
@@ -156,3 +155,41 @@ def test_evaluation_has_no_fall_back_to_the_truth(spark):
 def test_flat_values_count_as_half(spark):
     rows = points(spark, 3).withColumn("duration_ms", F.lit(1.0)).withColumn("span_count", F.lit(2))
     assert {r.latency for r in retention.latency(rows).collect()} == {0.5}
+
+
+def test_places_quantiles_and_sums_over_partitions(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "CHUNK", 16)
+    rnd = random.Random(8)
+    data = [(rnd.choice(["a", "b", None]), float(rnd.randint(0, 30)), f"t{i:03d}", rnd.randint(0, 1)) for i in range(400)]
+    rows = spark.createDataFrame(data, "g string, v double, id string, e int")
+    placed = {r.id: r.place for r in ordering.numbered(rows, ["g"], F.desc("v"), F.col("id")).collect()}
+    sums = {r.id: r.e_sum for r in ordering.running_sums(rows, ["g"], ["e"], F.desc("v"), F.col("id")).collect()}
+    asked = {"mid": ("linear", 0.5), "top": ("linear", 0.95), "low": ("rank", 0.95), "up": ("upper", 0.0)}
+    found = {r.g: r for r in ordering.quantiles(rows, ["g"], "v", asked).collect()}
+    for g in ("a", "b", None):
+        mine = sorted((x for x in data if x[0] == g), key=lambda x: (-x[1], x[2]))
+        assert [placed[x[2]] for x in mine] == list(range(1, len(mine) + 1))
+        assert [sums[x[2]] for x in mine] == [sum(y[3] for y in mine[: k + 1]) for k in range(len(mine))]
+        v, n = sorted(x[1] for x in mine), len(mine)
+        at = lambda q: v[int(q * (n - 1))] + (v[min(int(q * (n - 1)) + 1, n - 1)] - v[int(q * (n - 1))]) * (q * (n - 1) % 1)
+        r = found[g]
+        assert (r.n, r.mid, r.top, r.low, r.up) == pytest.approx((n, at(0.5), at(0.95), v[int(0.95 * (n - 1))], v[n // 2]))
+    assert ordering.numbered(rows.limit(0), ["g"], F.col("v")).count() == 0
+
+
+def test_history_over_chunk_borders(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "CHUNK", 16)
+    rows = spark.createDataFrame([(f"t{i:03d}", "s", i, float(i * i % 37)) for i in range(100)], "trace_id string, service string, start_ns long, value double")
+    got = {r.trace_id: r for r in windows.service_history(rows, "value", 5).collect()}
+    values_ = [float(i * i % 37) for i in range(100)]
+    for i in range(1, 100):
+        last = sorted(values_[max(0, i - 5) : i])
+        assert got[f"t{i:03d}"].history_count == len(last) and got[f"t{i:03d}"].med == (last[(len(last) - 1) // 2] + last[len(last) // 2]) / 2
+
+
+def test_parsed_operations_and_slugs(spark):
+    rows = spark.createDataFrame([("/a/b",), ("GET /a",), ("a b",), ("  ",), (None,)], "n string")
+    from spanquarry.sources.spans import parsed_operation
+
+    assert [r[0] for r in rows.select(parsed_operation(F.col("n"))).collect()] == ["/a/b", "/a", "a b", "unknown", "unknown"]
+    assert rows.select(S.slug(F.lit(" V3.5 % A"))).first()[0] == "v3p5-pct-a"

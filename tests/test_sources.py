@@ -77,5 +77,27 @@ def test_streams(spark, tmp_path):
     got = live.run_once(live.bins(stream, late="60 days"), f"{tmp_path}/out", f"{tmp_path}/cp")
     want = batch.groupBy((F.floor(F.col("sec") / 3600) * 3600).alias("start"), "service").agg(F.count("*").alias("n"), F.count_if("failed").alias("errors"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    sessions = live.run_once(live.sessions(traces.spans_of_events(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")), late="60 days"), f"{tmp_path}/s", f"{tmp_path}/cs")
+    # a last event far ahead moves the watermark, so the sessions before it end
+    later = events.limit(1).withColumn("ts", F.expr("ts + interval 400 days"))
+    later.write.mode("append").parquet(f"{tmp_path}/in")
+    sessions = live.run_once(live.sessions(traces.spans_of_events(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")), late="60 days"), f"{tmp_path}/s", f"{tmp_path}/cs", mode="append")
     assert sessions.agg({"span_count": "sum"}).first()[0] == 300
+
+
+def test_trace_csv_and_report(spark, tmp_path):
+    s = spark.createDataFrame([("t", 1_000_000, 5_000_000, "b", False), ("t", 2_000_000, 9_000_000, "a", True), ("u", 0, 0, "a", False)], "trace_id string, start_ns long, end_ns long, service string, failed boolean")
+    sinks.trace_csv(s, f"{tmp_path}/c")
+    got = {r.trace_id: (r.duration_ms, r.span_count, r.has_error, r.services) for r in spark.read.csv(f"{tmp_path}/c", header=True).collect()}
+    assert got == {"t": ("8.0", "2", "1", "a|b"), "u": ("0.0", "1", "0", "a")}
+    sinks.report({"One": s.select("trace_id").distinct().orderBy("trace_id"), "Two": s.limit(0)}, f"{tmp_path}/m", "All")
+    text = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/m").collect())
+    assert text.startswith("# All") and "## One" in text and "| t |" in text
+
+
+def test_scenario_files_in_every_form(spark, tmp_path):
+    one = '{"scenario_id": "%s", "incident_start_ts": "2024-01-01T00:00:00Z", "incident_end_ts": "2024-01-01T00:10:00Z", "ground_truth_root_cause": "a"}'
+    forms = {"lines.jsonl": (one % "l1") + "\n" + (one % "l2") + "\n", "list.json": "[" + (one % "m1") + ",\n" + (one % "m2") + "]", "object.json": '{"scenarios": [' + (one % "o1") + "]}", "single.json": one.replace(", ", ",\n  ") % "s1", "bad.json": "{nothing"}
+    for name, text in forms.items():
+        (tmp_path / name).write_text(text)
+    got = sorted((r.sid, r.ed - r.st) for r in R.scenarios(spark, str(tmp_path)).collect())
+    assert got == [(k, 600) for k in ("l1", "l2", "m1", "m2", "o1", "s1")]
