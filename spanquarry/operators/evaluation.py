@@ -21,19 +21,20 @@ def scores(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("scenarios"), F.round(F.avg("a1"), 6).alias("a1"), F.round(F.avg("a3"), 6).alias("a3"), F.round(F.avg("rr"), 6).alias("mrr"))
 
 
-def bootstrap(rows: DataFrame, value: str, rounds: int = 200, seed: int = 1) -> DataFrame:
-    """low, high: the 2.5 and 97.5 percent nearest ranks of the means of resamples drawn with hashes.
+def bootstrap(rows: DataFrame, values: list[str], rounds: int = 2000, seed: int = 1) -> DataFrame:
+    """measure, low, high: for each value the 2.5 and 97.5 percent nearest ranks of the means of resamples drawn with hashes.
 
     Scenarios are few (one row each); draws are a join on the scenario's number, rounds are grouped.
     """
-    numbered = rows.select(F.row_number().over(Window.orderBy("sid")).alias("i"), value)
+    numbered = rows.select(F.row_number().over(Window.orderBy("sid")).alias("i"), *values)
     n = numbered.count()
     spark = rows.sparkSession
     draws = spark.range(rounds * n).select((F.col("id") / n).cast("long").alias("round"), (F.col("id") % n).alias("draw"))
     draws = draws.withColumn("i", (F.floor(hash_uniform(F.lit(str(seed)), F.col("round").cast("string"), F.col("draw").cast("string")) * n) + 1).cast("int"))
-    means = draws.join(numbered, "i").groupBy("round").agg(F.avg(value).alias("m")).agg(F.collect_list("m").alias("m"))
-    return means.select(F.round(nearest_rank(F.col("m"), 0.025), 6).alias("low"), F.round(nearest_rank(F.col("m"), 0.975), 6).alias("high"))
-
+    means = draws.join(numbered, "i").groupBy("round").agg(*[F.avg(v).alias(v) for v in values])
+    lists = means.agg(*[F.collect_list(v).alias(v) for v in values])  # as many as rounds
+    one = lambda v: F.struct(F.lit(v).alias("measure"), F.round(nearest_rank(F.col(v), 0.025), 6).alias("low"), F.round(nearest_rank(F.col(v), 0.975), 6).alias("high"))
+    return lists.select(F.explode(F.array(*map(one, values))).alias("x")).select("x.*")
 
 
 def duplicate_rankings(rankings: DataFrame) -> DataFrame:

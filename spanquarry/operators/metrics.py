@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clamp, jaccard, nearest_rank, sigmoid, top_weighted
+from ..functions.scalars import clamp, drop_two_parts, jaccard, nearest_rank, sigmoid, top_weighted
 from ..functions.storage import bounded
 from .retention import medians
 from .traces import as_of
@@ -50,6 +50,44 @@ def registry(services: DataFrame, pods: DataFrame, best: int = 8) -> DataFrame:
     return pairs.withColumn("match", match).withColumn("place", place.cast("long")).where(F.col("place") <= best).select("service", "pod", "match", "place")
 
 
+def registry_confidence(services: DataFrame, pods: DataFrame, width: int = 3600, best: int = 8) -> DataFrame:
+    """service, pod, name, overlap, coverage, confidence, place: for each service its best pods by likeness of names,
+    shared slots of time (over the fewer of the two), and how much a pod has been seen (over the most seen one).
+
+    services: service, sec; pods: pod, sec. Pairs meet in equi-joins on parts of names and on time slots, so no pair that
+    could count is left out and none is looked at that shares neither; pairs with a name likeness and an overlap of at most
+    0.05 don't count.
+    """
+    parts = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[-_]"), lambda p: p != ""))
+    slots = lambda rows, c: rows.select(c, F.floor(F.col("sec") / width).alias("slot")).groupBy(c, "slot").agg(F.count("*").alias("n"))
+    left, right = slots(services, "service"), slots(pods, "pod")
+    shared = left.select("service", "slot").join(right.select("pod", "slot"), "slot").groupBy("service", "pod").agg(F.count("*").alias("shared"))
+    a, b = left.groupBy("service").agg(F.count("*").alias("a")), right.groupBy("pod").agg(F.count("*").alias("b"), F.sum("n").alias("seen"))
+    most = b.agg(F.max("seen").alias("most"))
+    by_name = a.select("service", F.explode(parts(F.col("service"))).alias("part")).join(b.select("pod", F.explode(parts(F.col("pod"))).alias("part")), "part").select("service", "pod").distinct()
+    pairs = shared.join(by_name.withColumn("named", F.lit(True)), ["service", "pod"], "full").join(a, "service").join(b, "pod").crossJoin(F.broadcast(most))  # one row
+    inside = F.when(F.contains(F.lower("pod"), F.lower("service")) | F.contains(F.lower("service"), F.lower("pod")), 0.75).otherwise(0.0)
+    name = F.when(F.lower("service") == F.lower("pod"), 1.0).otherwise(F.greatest(jaccard(parts(F.col("service")), parts(F.col("pod"))), inside))
+    rows = pairs.withColumn("name", name).withColumn("overlap", F.coalesce("shared", F.lit(0)) / F.least("a", "b")).withColumn("coverage", F.col("seen") / F.col("most"))
+    rows = rows.where((F.col("name") > 0.05) | (F.col("overlap") > 0.05)).withColumn("confidence", 0.45 * F.col("name") + 0.35 * F.col("overlap") + 0.20 * F.col("coverage"))
+    place = F.row_number().over(Window.partitionBy("service").orderBy(F.desc(F.round("confidence", 9)), "pod"))
+    return rows.withColumn("place", place.cast("long")).where(F.col("place") <= best).select("service", "pod", "name", "overlap", "coverage", "confidence", "place")
+
+
+def name_scores(services: DataFrame, pods: DataFrame) -> DataFrame:
+    """service, pod, score: 1 for equal names, 0.85 for a service whose name begins the pod's (up to a dash), 0.65 where the
+    pod's name without its last parts is the service's without a closing -service. Equi-joins on what would be equal."""
+    names, p = services.select("service").distinct(), pods.select("pod").distinct()
+    pieces = F.split("pod", "-")
+    heads = F.transform(F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))), lambda k: F.array_join(F.slice(pieces, F.lit(1), k), "-"))
+    bare = F.regexp_replace("service", "-service$", "")
+    keys = p.select("pod", F.explode(F.concat(F.array(F.struct(F.col("pod").alias("key"), F.lit(1.0).alias("score"))), F.transform(F.filter(heads, lambda h: h != F.col("pod")), lambda h: F.struct(h.alias("key"), F.lit(0.85).alias("score"))))).alias("x")).select("pod", "x.*")
+    exact = names.join(keys, names.service == keys.key).select("service", "pod", "score")
+    stripped = F.regexp_replace(drop_two_parts(F.col("pod")), "-service$", "")
+    loose = names.select("service", bare.alias("key")).join(p.select("pod", stripped.alias("key")), "key").select("service", "pod", F.lit(0.65).alias("score"))
+    return exact.unionByName(loose).groupBy("service", "pod").agg(F.max("score").alias("score"))
+
+
 def evidence(points: DataFrame, metrics: DataFrame, lookback: int) -> DataFrame:
     """trace_id, intensity, coverage, reliability, evidence: for each service of a trace the freshest deviations within
     the lookback, weighed by their age; the three strongest services count, times the share that has metrics at all."""

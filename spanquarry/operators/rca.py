@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
+from .traces import by_slots
+
 
 def slo(spans: DataFrame) -> DataFrame:
     """op, mean, std of the durations, four decimals."""
@@ -50,6 +53,68 @@ def pagerank(edges: DataFrame, pref: DataFrame, iterations: int = 3, damping: fl
     return score
 
 
+#: Walks over traces and operations: share that goes on, weight of calls beside traces, and steps.
+DAMPING, CALLS, STEPS = 0.85, 0.01, 20
+
+
+def trace_walk(spans: DataFrame, traces: DataFrame, damping: float = DAMPING, calls: float = CALLS, steps: int = STEPS) -> DataFrame:
+    """op, score: a walk over the given traces and their operations, restarting at traces, those with few operations more
+    often. Traces pass their weight on to their operations in equal shares, operations theirs to their traces and, by
+    ``calls``, to the operations they call. Scores add up to 1.
+
+    Two steps lead from operations over traces to operations, so the traces are folded into weights between operations
+    once (partial sums before the shuffle); the steps then go over operations only and are stored every few.
+    """
+    seen = spans.join(traces.select("trace_id"), "trace_id", "left_semi")
+    pairs = stored(seen.select("trace_id", "op").distinct(), "walk")
+    per_trace = pairs.groupBy("trace_id").agg(F.count("*").alias("k"))
+    per_op = pairs.groupBy("op").agg(F.count("*").alias("m"))
+    total = per_trace.agg(F.sum(1 / F.col("k")).alias("all"))
+    held = pairs.join(per_trace, "trace_id")
+    to = held.join(per_op.withColumnRenamed("op", "from"), held.op == F.col("from")).select("trace_id", "from", "m")
+    weights = held.join(to, "trace_id").groupBy("from", "op").agg(F.sum(damping * damping / (F.col("k") * F.col("m"))).alias("w"))
+    edges = call_edges(seen)
+    out = edges.groupBy("parent").agg(F.sum("n").alias("out"))
+    direct = edges.join(out, "parent").select(F.col("parent").alias("from"), F.col("child").alias("op"), (damping * calls * F.col("n") / F.col("out")).alias("w"))
+    restart = held.crossJoin(F.broadcast(total)).groupBy("op").agg(F.sum(damping * (1 - damping) / (F.col("k") * F.col("k") * F.col("all"))).alias("r"))  # one row
+    weights, direct, restart = stored(weights, "walk"), stored(direct, "walk"), stored(restart, "walk")
+    ops = restart.select("op")
+    before, now = ops.withColumn("s", F.lit(0.0)), restart.select("op", F.col("r").alias("s"))
+    came = lambda w, s: w.join(s.withColumnRenamed("op", "from"), "from").select("op", (F.col("w") * F.col("s")).alias("s"))
+    for step in range(steps):
+        parts = came(weights, before).unionByName(came(direct, now)).unionByName(restart.select("op", F.col("r").alias("s")))
+        before, now = now, parts.groupBy("op").agg(F.sum("s").alias("s"))
+        if step % 4 == 3:
+            before, now = stored(before, "walk"), stored(now, "walk")
+    whole = now.agg(F.sum("s").alias("all"))
+    return now.crossJoin(F.broadcast(whole)).select("op", (F.col("s") / F.col("all")).alias("score"))  # one row
+
+
+def two_sided_spectrum(spans: DataFrame, traces: DataFrame, bad_score: DataFrame, good_score: DataFrame) -> DataFrame:
+    """op, suspicion: as ``spectrum``, anomalous and normal traces weighed by the walk over their own side. An operation of
+    normal traces alone has its count raised by its score instead, and nothing against it but that."""
+    seen = spans.select("trace_id", "op").distinct().join(traces.select("trace_id", "anomalous"), "trace_id")
+    counts = seen.groupBy("op").agg(F.count_if("anomalous").alias("bad"), F.count_if(~F.col("anomalous")).alias("good"))
+    total = traces.agg(F.count_if("anomalous").alias("all_bad"))
+    rows = counts.join(bad_score.withColumnRenamed("score", "a"), "op", "left").join(good_score.withColumnRenamed("score", "g"), "op", "left").crossJoin(F.broadcast(total))  # one row
+    a, g = F.coalesce("a", F.lit(0.0)), F.coalesce("g", F.lit(0.0))
+    only = F.col("bad") == 0
+    ef = F.when(only, 0.0).otherwise(F.col("bad") * a)
+    nf = F.when(only, F.col("all_bad").cast("double")).otherwise((F.col("all_bad") - F.col("bad")) * a)
+    ep = F.when(only, (1 + g) * F.col("good")).otherwise(F.col("good") * g)
+    low = F.lit(1e-7)
+    ef, ep, nf = (F.when(x == 0, low).otherwise(x) for x in (ef, ep, nf))
+    return rows.select("op", F.when(ep + nf > 0, ef * ef / (ep + nf)).otherwise(0.0).alias("suspicion"))
+
+
+def scenario_sides(points: DataFrame, windows: DataFrame, before: int = 1800, width: int = 3600) -> DataFrame:
+    """sid, trace_id, side: traces that start in a scenario's window, and the normal ones of the stretch before it."""
+    sides = F.array(F.struct(F.lit("incident").alias("side"), F.col("st").alias("a"), F.col("ed").alias("z")), F.struct(F.lit("normal").alias("side"), (F.col("st") - before).alias("a"), (F.col("st") - 1).alias("z")))
+    right = windows.select("sid", F.explode(sides).alias("w")).select("sid", "w.*").withColumn("slot", F.explode(by_slots(F.col("a"), F.col("z"), width)))
+    left = points.select("trace_id", "sec", F.floor(F.col("sec") / width).alias("slot"))
+    return left.join(right, "slot").where("sec between a and z").select("sid", "trace_id", "side")
+
+
 def spectrum(spans: DataFrame, traces: DataFrame, score: DataFrame) -> DataFrame:
     """op, suspicion ef^2 / (ep + nf): ef and ep weigh the anomalous and normal traces that have the operation by its
     score, nf counts the anomalous ones that lack it."""

@@ -41,6 +41,37 @@ def service_pod_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.registry(e.select(F.col("event_type").alias("service")), e.select(pod.alias("pod"))).withColumn("match", S.sixth(F.col("match")))
 
 
+PODS_AT = """pd AS (SELECT CASE user_id % 3 WHEN 0 THEN event_type || '-' || substr(md5(user_id::VARCHAR), 1, 9) || '-' || substr(md5(user_id::VARCHAR), 10, 5) WHEN 1 THEN event_type || '_Svc-' || substr(md5(user_id::VARCHAR), 1, 5) ELSE 'ts-' || event_type || '-service' END AS pod,
+  event_type AS service, epoch_us(ts) // 1000000 AS sec FROM events)"""
+
+
+def _pods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    code = F.md5(F.col("user_id").cast("string").cast("binary"))
+    pod = F.when(F.col("user_id") % 3 == 0, F.concat("event_type", F.lit("-"), F.substring(code, 1, 9), F.lit("-"), F.substring(code, 10, 5))).when(F.col("user_id") % 3 == 1, F.concat("event_type", F.lit("_Svc-"), F.substring(code, 1, 5))).otherwise(F.concat(F.lit("ts-"), "event_type", F.lit("-service")))
+    return e.select(pod.alias("pod"), F.col("event_type").alias("service"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long").alias("sec"))
+
+
+@query(f"""WITH {PODS_AT}, ls AS (SELECT DISTINCT service, sec // 3600 AS slot FROM pd), lp AS (SELECT pod, sec // 3600 AS slot, count(*) AS n FROM pd GROUP BY 1, 2), a AS (SELECT service, count(*) AS a, list_distinct(list_filter(string_split_regex(lower(service), '[-_]'), lambda x: x <> '')) AS pa FROM ls GROUP BY service),
+  b AS (SELECT pod, count(*) AS b, sum(n) AS seen, list_distinct(list_filter(string_split_regex(lower(pod), '[-_]'), lambda x: x <> '')) AS pb FROM lp GROUP BY pod), sh AS (SELECT service, pod, count(*) AS shared FROM ls JOIN lp USING (slot) GROUP BY 1, 2),
+  m AS (SELECT service, pod, CASE WHEN lower(service) = lower(pod) THEN 1 ELSE greatest(len(list_intersect(pa, pb)) / len(list_distinct(list_concat(pa, pb)))::DOUBLE, CASE WHEN contains(lower(pod), lower(service)) OR contains(lower(service), lower(pod)) THEN 0.75 ELSE 0 END) END AS name,
+    coalesce(shared, 0) / least(a, b) AS overlap, seen / (SELECT max(seen) FROM b) AS coverage FROM (SELECT * FROM a, b) LEFT JOIN sh USING (service, pod)),
+  k AS (SELECT *, 0.45 * name + 0.35 * overlap + 0.20 * coverage AS confidence FROM m WHERE name > 0.05 OR overlap > 0.05), r AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY round(confidence, 9) DESC, pod) AS place FROM k)
+  SELECT service, pod, round(name, 6) AS name, round(overlap, 6) AS overlap, round(coverage, 6) AS coverage, round(confidence, 6) AS confidence, place FROM r WHERE place <= 8""")
+def registry_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pods(spark, sf_dir)
+    found = metrics.registry_confidence(rows.select("service", "sec"), rows.select("pod", "sec"))
+    return found.select("service", "pod", *[S.sixth(F.col(c)).alias(c) for c in ("name", "overlap", "coverage", "confidence")], "place")
+
+
+@query(f"""WITH {PODS_AT}, s AS (SELECT DISTINCT service FROM pd UNION SELECT DISTINCT 'ts-' || service FROM pd), p AS (SELECT DISTINCT pod FROM pd),
+  c AS (SELECT service, pod, CASE WHEN service = pod THEN 1.0 WHEN starts_with(pod, service || '-') THEN 0.85 WHEN regexp_replace(service, '-service$', '') = regexp_replace(regexp_replace(pod, '-[^-]*-[^-]*$', ''), '-service$', '') THEN 0.65 END AS score FROM s, p) SELECT service, pod, score::DOUBLE AS score FROM c WHERE score IS NOT NULL""")
+def name_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pods(spark, sf_dir)
+    services = rows.select("service").distinct()
+    return metrics.name_scores(services.unionByName(services.select(F.concat(F.lit("ts-"), "service").alias("service"))), rows)
+
+
 @query(f"""WITH {TRACES}, {METRICS}, {Z}, q AS (SELECT trace_id, sec, unnest(services) AS service FROM tp), j AS (SELECT q.trace_id, q.sec, mz.sec AS m_sec, cpu_z, load_z FROM q ASOF LEFT JOIN mz ON q.service = mz.service AND q.sec >= mz.sec),
   k AS (SELECT trace_id, CASE WHEN sec - m_sec <= 7200 THEN exp(-(sec - m_sec) / 7200.0) END AS fresh, 0.24 * cpu_z + 0.12 * load_z AS strength FROM j),
   l AS (SELECT trace_id, list(strength * fresh ORDER BY strength * fresh DESC) FILTER (WHERE fresh IS NOT NULL) AS v, count(fresh) AS known, count(*) AS asked, coalesce(avg(fresh), 0) AS reliability FROM k GROUP BY trace_id)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import storage
 from ..operators import evaluation, rca, traces
 from .base import INCIDENTS, TRACES, points, query, spans, uniform
 
@@ -99,11 +100,76 @@ def rank_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.scores(evaluation.placed(*rankings(spark, sf_dir)))
 
 
-@query(f"""WITH {TRACES}, {INCIDENTS}, {HEURISTIC}, nb AS (SELECT row_number() OVER (ORDER BY sid) AS i, rr, count(*) OVER () AS n FROM ev), g AS (SELECT DISTINCT n FROM nb),
-  dr AS (SELECT r AS round, floor({uniform("'1'", "r::VARCHAR", "d::VARCHAR")} * n)::BIGINT + 1 AS i FROM g, range(200) t(r), range(1000) u(d) WHERE d < n),
-  m AS (SELECT round, avg(rr) AS m FROM dr JOIN nb USING (i) GROUP BY round), l AS (SELECT list_sort(list(m)) AS m FROM m) SELECT round(m[floor(0.025 * 199)::INT + 1], 6) AS low, round(m[floor(0.975 * 199)::INT + 1], 6) AS high FROM l""")
+@query(f"""WITH {TRACES}, {INCIDENTS}, {HEURISTIC}, nb AS (SELECT row_number() OVER (ORDER BY sid) AS i, a1, a3, rr, count(*) OVER () AS n FROM ev), g AS (SELECT DISTINCT n FROM nb),
+  dr AS (SELECT r AS round, floor({uniform("'1'", "r::VARCHAR", "d::VARCHAR")} * n)::BIGINT + 1 AS i FROM g, range(2000) t(r), range(1000) u(d) WHERE d < n),
+  m AS (SELECT round, avg(a1) AS a1, avg(a3) AS a3, avg(rr) AS rr FROM dr JOIN nb USING (i) GROUP BY round), l AS (SELECT measure, list_sort(list(v)) AS m FROM (SELECT round, a1, a3, rr FROM m) UNPIVOT (v FOR measure IN (a1, a3, rr)) GROUP BY measure)
+  SELECT measure, round(m[floor(0.025 * 1999)::INT + 1], 6) AS low, round(m[floor(0.975 * 1999)::INT + 1], 6) AS high FROM l""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.bootstrap(evaluation.placed(*rankings(spark, sf_dir)), "rr")
+    return evaluation.bootstrap(evaluation.placed(*rankings(spark, sf_dir)), ["a1", "a3", "rr"])
+
+
+def _walk_sql(tag: str, where: str) -> str:
+    """The walk over the traces that meet a condition, unrolled; the last step's name is w{tag}{STEPS}."""
+    d = rca.DAMPING
+    out = f""", p{tag} AS MATERIALIZED (SELECT DISTINCT trace_id, op FROM o JOIN tr USING (trace_id) WHERE {where}), kt{tag} AS MATERIALIZED (SELECT trace_id, count(*) AS k FROM p{tag} GROUP BY 1), ko{tag} AS MATERIALIZED (SELECT op, count(*) AS m FROM p{tag} GROUP BY 1),
+h{tag} AS MATERIALIZED (SELECT a.trace_id, a.op, k, m FROM p{tag} a JOIN kt{tag} USING (trace_id) JOIN ko{tag} USING (op)),
+m{tag} AS MATERIALIZED (SELECT f.op AS f, t.op AS op, sum({d} * {d} / (t.k * f.m)) AS w FROM h{tag} f JOIN h{tag} t ON f.trace_id = t.trace_id GROUP BY 1, 2),
+ce{tag} AS (SELECT p.op AS f, c.op AS op, count(*) AS n FROM o c JOIN o p ON c.trace_id = p.trace_id AND c.parent_id = p.span_id WHERE c.trace_id IN (SELECT trace_id FROM kt{tag}) GROUP BY 1, 2),
+c{tag} AS MATERIALIZED (SELECT f, op, {d} * {rca.CALLS} * n / sum(n) OVER (PARTITION BY f) AS w FROM ce{tag}),
+r{tag} AS MATERIALIZED (SELECT op, sum({d} * (1 - {d}) / (k * k * (SELECT sum(1 / k) FROM kt{tag}))) AS r FROM h{tag} GROUP BY op), w{tag}00 AS (SELECT op, 0.0 AS s FROM r{tag}), w{tag}0 AS (SELECT op, r AS s FROM r{tag})"""
+    for k in range(1, rca.STEPS + 1):
+        before = f"w{tag}00" if k == 1 else f"w{tag}{k - 2}"
+        out += f""", w{tag}{k} AS MATERIALIZED (SELECT op, sum(s) AS s FROM (SELECT m.op, w * s AS s FROM m{tag} m JOIN {before} x ON m.f = x.op UNION ALL SELECT m.op, w * s FROM c{tag} m JOIN w{tag}{k - 1} x ON m.f = x.op UNION ALL SELECT op, r FROM r{tag}) GROUP BY op)"""
+    return out + f", s{tag} AS MATERIALIZED (SELECT op, s / sum(s) OVER () AS score FROM w{tag}{rca.STEPS})"
+
+
+WALKS = OPS + _walk_sql("a", "anomalous") + _walk_sql("g", "NOT anomalous")
+
+
+def _walks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    s = storage.stored(ops(spark, sf_dir), "ops")
+    t = storage.stored(rca.anomalous(s, rca.slo(s), SLACK), "traces")
+    return s, t, rca.trace_walk(s, t.where("anomalous")), rca.trace_walk(s, t.where("not anomalous"))
+
+
+@query(f"WITH {WALKS} SELECT op, round(sa.score, 8) AS anomalous_score, round(sg.score, 8) AS normal_score FROM sa FULL JOIN sg USING (op)")
+def trace_operation_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, bad, good = _walks(spark, sf_dir)
+    return bad.withColumnRenamed("score", "a").join(good.withColumnRenamed("score", "g"), "op", "full").select("op", F.round("a", 8).alias("anomalous_score"), F.round("g", 8).alias("normal_score"))
+
+
+@query(f"""WITH {WALKS}, sn AS (SELECT DISTINCT trace_id, op FROM o), ct AS (SELECT op, count(*) FILTER (WHERE anomalous) AS bad, count(*) FILTER (WHERE NOT anomalous) AS good FROM sn JOIN tr USING (trace_id) GROUP BY op),
+  y AS (SELECT op, bad, CASE WHEN bad = 0 THEN 0 ELSE bad * coalesce(sa.score, 0) END AS ef, CASE WHEN bad = 0 THEN al::DOUBLE ELSE (al - bad) * coalesce(sa.score, 0) END AS nf, CASE WHEN bad = 0 THEN (1 + coalesce(sg.score, 0)) * good ELSE good * coalesce(sg.score, 0) END AS ep
+    FROM ct LEFT JOIN sa USING (op) LEFT JOIN sg USING (op), (SELECT count(*) FILTER (WHERE anomalous) AS al FROM tr)), z AS (SELECT op, CASE WHEN ef = 0 THEN 1e-7 ELSE ef END AS ef, CASE WHEN ep = 0 THEN 1e-7 ELSE ep END AS ep, CASE WHEN nf = 0 THEN 1e-7 ELSE nf END AS nf FROM y)
+  SELECT split_part(op, '_', 1) AS service, round(sum(ef * ef / (ep + nf)), 6) AS score FROM z GROUP BY 1""")
+def walk_spectrum_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rca.by_service(rca.two_sided_spectrum(*_walks(spark, sf_dir)), "suspicion").select("service", S.sixth(F.col("score")).alias("score"))
+
+
+@query(f"""WITH {TRACES}, {INCIDENTS}, w AS (SELECT sid, count(*) FILTER (WHERE sec BETWEEN st AND ed) AS incident, count(*) FILTER (WHERE sec BETWEEN st - 1800 AND st - 1) AS normal, count(*) FILTER (WHERE sec BETWEEN st AND ed AND has_error) AS failed FROM inc LEFT JOIN tp ON sec BETWEEN st - 1800 AND ed GROUP BY sid)
+  SELECT sid, incident, normal, failed, CASE WHEN incident > 0 AND normal > 0 THEN 'walk' WHEN incident > 0 THEN 'latency' ELSE 'none' END AS mode FROM w""")
+def scenario_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces of each incident and of the half hour before it, and how its causes can be ranked: by walks where both sides
+    have traces, else by latency."""
+    s = spans(spark, sf_dir)
+    tp, found = traces.trace_points(s), traces.incidents(s)
+    sides = rca.scenario_sides(tp, found).join(tp.select("trace_id", "has_error"), "trace_id")
+    n = sides.groupBy("sid").agg(F.count_if(F.col("side") == "incident").alias("incident"), F.count_if(F.col("side") == "normal").alias("normal"), F.count_if((F.col("side") == "incident") & F.col("has_error")).alias("failed"))
+    rows = found.select("sid").join(n, "sid", "left").na.fill(0)
+    return rows.select("sid", "incident", "normal", "failed", F.when((F.col("incident") > 0) & (F.col("normal") > 0), "walk").when(F.col("incident") > 0, "latency").otherwise("none").alias("mode"))
+
+
+@query(f"""WITH {TRACES}, {INCIDENTS}, n AS (SELECT sid, count(*) AS normal FROM inc JOIN tp ON sec BETWEEN st - 1800 AND st - 1 GROUP BY sid), f AS (SELECT inc.* FROM inc LEFT JOIN n USING (sid) WHERE coalesce(normal, 0) < 2),
+  c AS (SELECT sid, root_service AS candidate, sum(duration_ms) AS score FROM f JOIN tp ON sec BETWEEN st AND ed GROUP BY 1, 2) SELECT sid, candidate, round(score, 4) AS score, row_number() OVER (PARTITION BY sid ORDER BY round(score, 4) DESC, candidate) AS rank FROM c""")
+def latency_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Services ranked by the time of the incident's traces, for incidents with fewer than two normal traces."""
+    s = spans(spark, sf_dir)
+    tp, found = traces.trace_points(s), traces.incidents(s)
+    sides = rca.scenario_sides(tp, found)
+    enough = sides.where("side = 'normal'").groupBy("sid").agg(F.count("*").alias("n")).where("n >= 2")
+    rows = sides.where("side = 'incident'").join(enough, "sid", "left_anti").join(tp, "trace_id")
+    scored = rows.groupBy("sid", F.col("root_service").alias("candidate")).agg(F.sum("duration_ms").alias("score"))
+    return rca.ranked(scored, "sid", name="candidate", digits=4).select("sid", "candidate", F.round("score", 4).alias("score"), "rank")
 
 
 @query(f"""WITH {TRACES}, b AS (SELECT unnest([0.001, 0.01, 0.025]) AS budget), k AS (SELECT budget, root_service, 100.0 * count(*) FILTER (WHERE has_error AND {uniform("trace_id", "'keep'")} < 10 * budget) / count(*) AS pct FROM tp, b GROUP BY 1, 2),
