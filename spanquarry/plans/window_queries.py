@@ -151,7 +151,10 @@ def keep_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.keep_fold(rows.select("day", "trace_id", "start_ns", F.col("p").alias("p_s"), "p_d", "clean"), ["day"], 0.025, 7)
 
 
-@query()
+@query(f"""WITH {TRACES}, {INCIDENTS}, n AS (SELECT greatest(1, least(count(*), round_even(count(*) * 0.025, 0)))::BIGINT AS target, count(*) AS n, sum(has_error::INT) AS e FROM tp), q AS (SELECT target, least(e, round_even(target * e / n, 0)) AS quota, greatest(1, round_even(n * 0.01, 0)) AS final FROM n),
+  r AS (SELECT *, row_number() OVER (PARTITION BY has_error ORDER BY duration_ms DESC, span_count DESC, trace_id DESC) AS r FROM tp), k AS (SELECT trace_id, sec, row_number() OVER (ORDER BY has_error DESC, duration_ms DESC, trace_id) AS place FROM r, q WHERE r <= CASE WHEN has_error THEN quota ELSE target - quota END),
+  m AS (SELECT trace_id, sid, row_number() OVER (PARTITION BY sid ORDER BY place) AS own FROM k JOIN inc ON sec BETWEEN st AND ed), u AS (SELECT DISTINCT trace_id FROM m WHERE own <= 1),
+  f AS (SELECT trace_id, (u.trace_id IS NOT NULL)::INT AS sure, row_number() OVER (ORDER BY u.trace_id IS NOT NULL DESC, place) AS final_place FROM k LEFT JOIN u USING (trace_id)) SELECT trace_id, sure, final_place FROM f, q WHERE final_place <= final""")
 def strict_cap_scenario_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spans(spark, sf_dir)
     tp = traces.trace_points(s)

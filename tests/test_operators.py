@@ -193,3 +193,52 @@ def test_parsed_operations_and_slugs(spark):
 
     assert [r[0] for r in rows.select(parsed_operation(F.col("n"))).collect()] == ["/a/b", "/a", "a b", "unknown", "unknown"]
     assert rows.select(S.slug(F.lit(" V3.5 % A"))).first()[0] == "v3p5-pct-a"
+
+
+def plain_clusters(rows, lookback, least=0.5):
+    """The rule by definition: rows (id, sec, tokens) in order of time."""
+    clusters, out = [], {}
+    for ident, sec, toks in rows:
+        for c in clusters:
+            c["members"] = [t for t in c["members"] if t > sec - lookback]
+        clusters = [c for c in clusters if c["members"]]
+        best = max(clusters, key=lambda c: (len(toks & c["lead"]) / len(toks | c["lead"]), -c["n"]), default=None)
+        near = len(toks & best["lead"]) / len(toks | best["lead"]) if best else 0
+        if near < least:
+            best, near = {"n": 1 + max([o[0] for o in out.values()], default=-1), "lead": toks, "members": []}, 1.0
+            clusters.append(best)
+        out[ident] = (best["n"], round(near, 9), len(best["members"]))
+        best["members"].append(sec)
+    return out
+
+
+def test_leader_clusters_match_a_plain_loop(spark):
+    rnd = random.Random(4)
+    rows, sec = [], 0
+    for i in range(250):
+        sec += rnd.choice([0, 1, 5, 40])
+        rows.append((f"t{i:03d}", sec, frozenset(rnd.sample("abcdefg", rnd.randint(2, 4)))))
+    frame = spark.createDataFrame([(i, 1000 * k, s, sorted(t), 1) for k, (i, s, t) in enumerate(rows)], "trace_id string, start_ns long, sec long, tokens array<string>, day long")
+    got = {r.trace_id: (r.cluster, round(r.similarity, 9), r.mass) for r in sampling.leader_clusters(frame, ["day"], 60).collect()}
+    assert got == plain_clusters(rows, 60)
+
+
+def test_keep_fold_matches_a_plain_loop(spark):
+    rnd = random.Random(5)
+    data = [(1, f"t{i:03d}", i, rnd.random(), rnd.random(), rnd.random() < 0.6) for i in range(300)]
+    frame = spark.createDataFrame(data, "g int, trace_id string, start_ns long, p_s double, p_d double, clean boolean")
+    draws = {r.trace_id: (r.u, r.v) for r in frame.select("trace_id", S.hash_uniform(F.col("trace_id"), 3, 1).alias("u"), S.hash_uniform(F.col("trace_id"), 3, 2).alias("v")).collect()}
+    beta, low, kept, clean_kept, want = 0.05, 0.30, 0, 0, {}
+    for seen, (_, ident, _, p, d, clean) in enumerate(data, 1):
+        u, v = draws[ident]
+        if kept / seen > beta:
+            keep = u < p and u < d
+        elif d >= 0.72 and p < low:
+            keep = False
+        else:
+            keep = u < p
+        if kept / seen <= beta and not keep and clean and p < low and d <= 0.45 and clean_kept < 0.3 * max(kept, 1):
+            keep = v < beta
+        kept, clean_kept = kept + keep, clean_kept + (keep and clean)
+        want[ident] = keep
+    assert {r.trace_id: r.kept for r in sampling.keep_fold(frame, ["g"], beta, 3).collect()} == want

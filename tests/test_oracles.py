@@ -1,6 +1,7 @@
 """Each registered query of the trace operators against its SQL on DuckDB."""
 
 import math
+import os
 
 import __spark_entry__ as contract
 import duckdb
@@ -55,5 +56,12 @@ def test_the_rest_works_without_the_corpus_operators(tmp_path):
         if p.name not in ("llm", "__pycache__"):
             (tmp_path / "spanquarry" / p.name).symlink_to(p)
     (tmp_path / "__spark_entry__.py").write_text(Path(contract.__file__).read_text())
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'trace_points' in q and not any(k.startswith('op1_') or k == 'pipeline' for k in q); e.oracle_sql()"
-    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+    code = """
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+q = e.queries()
+assert 'trace_points' in q and not any(k.startswith('op1_') or k == 'pipeline' for k in q) and e.oracle_sql()
+spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()
+assert e.entry(spark).count() > 0 and q['quantile_suite'](spark, e.SMOKE).count() > 0
+"""
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
