@@ -1,4 +1,14 @@
-"""From raw documents to token ids in training order, stage by stage."""
+"""From raw documents to token ids in training order, stage by stage.
+
+Each stage takes documents with whatever columns they have (columns whose names an operator uses itself come through
+unchanged) and any rows: null ids, texts, languages or sources, repeated rows, ids shared by different texts, very long
+texts, empty tables.
+
+Defined results: a row without text, or without letters in it, is rejected by language_id; a document is known by doc_id
+and text, so near_duplicates keeps different texts that share an id (or have none), and of rows alike in both one;
+decontamination decides by a row's own text, so equal rows go or stay together; mixing repeats rows, ties in its order are
+taken alike; token_ids gives every row that reaches it its sequences, a null doc_id included. An empty table stays empty.
+"""
 
 from __future__ import annotations
 

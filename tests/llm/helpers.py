@@ -22,3 +22,9 @@ def odd(spark):
 
 def empty(spark):
     return spark.createDataFrame([], DOCS)
+
+
+def very_long(spark):
+    """A text of several MB, one unbroken run of characters, and a short text beside them."""
+    prose = "The quick brown fox jumps over the lazy dog and runs away from the wolf, as it is in the wood. "
+    return rows(spark, [prose * 32_000, "z" * 1_500_000, prose])

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
-from helpers import WORD, empty, odd, rows  # noqa: E402
+from helpers import WORD, empty, odd, rows, very_long  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from spanquarry.llm import decontam, html, langid, mixing, pii, quality, tokens, toxicity  # noqa: E402
@@ -531,3 +531,28 @@ def test_training_order_writes_its_shards(spark, tmp_path):
     (new,) = set(Path(shared_dir(spark).removeprefix("file://")).glob("shards-*")) - before
     back = [(d, k, ids.tobytes()) for s in sorted(found["shard"].unique()) for d, k, ids in tokens.read_shard(spark, f"file://{new}", int(s), seq=64)]
     assert back == [(r.doc_id, r.seq_no, r.tokens) for r in found.itertuples()]
+
+
+# ---- very long texts ----
+
+
+def test_very_long_texts_are_taken_whole(spark):
+    docs = very_long(spark).cache()
+    long = docs.where("doc_id = 0").first().text
+    words = len(WORD.findall(long))
+    found = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert found[0].n_words == words and found[1].word_chars == 1_500_000 and found[0].base_failed
+    tail = "at the very end call a@b.org or 10.0.0.1"
+    ends = docs.withColumn("text", F.concat("text", F.lit(" " + tail)))
+    spans = {r.doc_id: r.spans for r in pii.digest(pii.find(ends)).collect()}
+    at = len(long) + 1 + tail.index("a@b")
+    assert spans[0] == f"email:{at}:{at + 7},ip:{at + 11}:{at + 19}" and all(spans[i].count(":") == 4 for i in spans)
+    item = spark.createDataFrame([(1, tail)], "item_id long, text string")
+    hits = {r.doc_id: r for r in decontam.contaminated(ends, item).collect()}
+    assert hits[0].n_hit == 13 and hits[0].n_words == words + 13 and hits[1].n_hit == 13
+    model = langid.train(rows(spark, [long[:2000]], ["en"]).select("text", "lang"))
+    assert {r.lang_pred for r in langid.identify(docs, model).collect()} == {"en"}
+    machine = toxicity.Machine(np.full(toxicity.HASHES, -1, np.int32), 0.0, np.zeros(0), np.zeros((0, 8)))
+    assert toxicity.score(docs, machine).count() == 3
+    taken = {r.doc_id: r["size"] for r in mixing.mix(mixing.sized(docs)).collect()}
+    assert taken[0] == words and taken[1] == 1
