@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, drop_two_parts, jaccard, nearest_rank, sigmoid, top_weighted
-from ..functions.storage import bounded
+from ..functions.storage import bounded, stored
 from .retention import medians
 from .traces import as_of
 
@@ -25,10 +25,13 @@ def rolling_scale(metrics: DataFrame, value: str, last: int = 120, q: float = 0.
 def deviations(metrics: DataFrame, values: list[str]) -> DataFrame:
     """metrics with value_z: distance from the service's median in robust scales (the larger of the standard and the
     scaled median deviation), within 0 and 10. The medians look at the whole history."""
+    metrics = stored(metrics, "metrics")
     rows = metrics.join(metrics.groupBy("service").agg(*[F.stddev_pop(v).alias(f"{v}_std") for v in values]), "service")
-    for v in values:
-        found = medians(metrics.select("service", v), "service", v)
-        rows = rows.join(bounded(found.select("service", F.col("med").alias(f"{v}_med"), F.col("mad").alias(f"{v}_mad")), 64), "service")
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("v")) for v in values]))
+    found = medians(metrics.select("service", each.alias("x")).select("service", "x.*"), ["service", "name"], "v")
+    of = lambda v, c: F.max(F.when(F.col("name") == v, F.col(c)))
+    wide = found.groupBy("service").agg(*[of(v, "med").alias(f"{v}_med") for v in values], *[of(v, "mad").alias(f"{v}_mad") for v in values])
+    rows = rows.join(bounded(wide, 32 * len(values)), "service")
     for v in values:
         scale = F.greatest(F.lit(1e-6), f"{v}_std", 1.4826 * F.col(f"{v}_mad"))
         rows = rows.withColumn(f"{v}_z", clamp(F.abs(F.col(v) - F.col(f"{v}_med")) / scale, 0.0, 10.0)).drop(f"{v}_med", f"{v}_std", f"{v}_mad")

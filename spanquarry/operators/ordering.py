@@ -32,44 +32,52 @@ def numbered(rows: DataFrame, by: list[str], *order: Column, name: str = "place"
     return table.join(bounded(starts, 100), same).select(*rows.columns, (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias(name))
 
 
+#: Buckets of a value for each factor of e.
+FINE = 4096
+
+
 def quantiles(rows: DataFrame, by: list[str], value: str, asked: Mapping[str, tuple[str, float]]) -> DataFrame:
     """by, n, and exact quantiles of a value in each group: name -> (kind, q), the kinds being ``linear`` (between the two
     nearest), ``rank`` (the lower nearest rank) and ``upper`` (the value at n div 2).
 
-    Equal values are counted first, then running counts over the values say which of them the places fall on.
+    Equal values are counted first. Running counts over buckets of the logarithm, of which a group has a bounded number,
+    say in which bucket a place lies; only the values of those buckets are then put in order.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    table = stored(running_sums(counts, by, ["_n"], F.col(value)).withColumnRenamed("_n_sum", "_sum"), "quantiles")
-    sizes = table.groupBy(*by).agg(F.max("_sum").alias("n"))
-    sizes = sizes.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], "n")
-    same = F.lit(True)
+    v = F.col(value).cast("double")
+    bucket = (F.signum(v) * F.floor(F.log1p(F.abs(v)) * FINE)).cast("long").alias("_b")
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, v.alias("_v"), bucket).agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(*by)
+    per = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_m"))
+    per = per.withColumn("_upto", F.sum("_m").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("_m").over(whole))
+    wanted = []
+    for k, (kind, q) in asked.items():
+        at = {"linear": q * (F.col("n") - 1), "rank": F.floor(q * (F.col("n") - 1)), "upper": F.floor(F.col("n") / 2)}[kind].cast("double")
+        wanted += [F.struct(F.lit(k).alias("k"), (1 - at + F.floor(at)).alias("w"), (F.floor(at) + 1).alias("place")), F.struct(F.lit(k).alias("k"), (at - F.floor(at)).alias("w"), (F.ceil(at) + 1).alias("place"))]
+    here = F.filter(F.array(*wanted), lambda x: (x["place"] > F.col("_upto") - F.col("_m")) & (x["place"] <= F.col("_upto")))
+    spots = per.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col("_b").alias("_of"), "n", (F.col("_upto") - F.col("_m")).alias("_before"), F.explode(here).alias("_x"))
+    same = F.col("_b") == F.col("_of")
     for i, c in enumerate(by):
         same &= F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    table = table.join(bounded(sizes, 100), same)
-    covers = lambda place: (place > F.col("_sum") - F.col("_n")) & (place <= F.col("_sum"))
-    out, finals = [], []
-    for k, (kind, q) in asked.items():
-        at = {"linear": q * (F.col("n") - 1), "rank": F.floor(q * (F.col("n") - 1)), "upper": F.floor(F.col("n") / 2)}[kind]
-        low, high = F.floor(at) + 1, F.ceil(at) + 1
-        out += [F.max(F.when(covers(low), F.col(value))).alias(f"_{k}0"), F.max(F.when(covers(high), F.col(value))).alias(f"_{k}1"), F.max(at - F.floor(at)).alias(f"_{k}w")]
-        a, b, w = F.col(f"_{k}0").cast("double"), F.col(f"_{k}1").cast("double"), F.col(f"_{k}w")
-        finals.append((a + (b - a) * w).alias(k))
-    return table.groupBy(*by, "n").agg(*out).select(*by, "n", *finals)
+    inside = counts.join(spots, same)
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_b", "_x").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = inside.withColumn("_upto", upto).where((F.col("_x.place") > F.col("_upto") - F.col("_n")) & (F.col("_x.place") <= F.col("_upto")))
+    return found.groupBy(*by, "n").agg(*[F.sum(F.when(F.col("_x.k") == k, F.col("_x.w") * F.col("_v"))).alias(k) for k in asked])
 
 
-def running_sums(rows: DataFrame, by: list[str], values: list[str], *order: Column) -> DataFrame:
+def running_sums(rows: DataFrame, by: list[str], values: list[str], slot: Column, *order: Column) -> DataFrame:
     """rows with value_sum, the running sums (themselves included) of whole-numbered values in their group, in an order
-    without ties: sums of chunks of the numbered rows, then running sums within each chunk."""
-    table = numbered(rows, by, *order, name="_place").withColumn("_chunk", F.floor((F.col("_place") - 1) / CHUNK))
-    chunks = table.groupBy(*by, "_chunk").agg(*[F.sum(v).alias(f"_{v}") for v in values])
-    before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_chunk").alias("_of"), *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_before_{v}") for v in values])
-    within = Window.partitionBy(*by, "_chunk").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
-    same = F.col("_chunk") == F.col("_of")
+    without ties that goes by slots (of time, say) first: sums by slot, of which a group has a bounded number, then running
+    sums within each."""
+    table = rows.withColumn("_slot", slot)
+    slots = table.groupBy(*by, "_slot").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    before = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_slot").alias("_of"), *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_before_{v}") for v in values])
+    within = Window.partitionBy(*by, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("_slot") == F.col("_of")
     for i, c in enumerate(by):
         same &= F.col(c).eqNullSafe(F.col(f"_by{i}"))
     table = table.select("*", *[F.sum(v).over(within).alias(f"_in_{v}") for v in values])
-    return table.join(chunks, same).select(*rows.columns, *[(F.col(f"_in_{v}") + F.col(f"_before_{v}")).alias(f"{v}_sum") for v in values])
+    return table.join(slots, same).select(*rows.columns, *[(F.col(f"_in_{v}") + F.col(f"_before_{v}")).alias(f"{v}_sum") for v in values])
 
 
 def with_last(table: DataFrame, last: int, place: str = "place") -> tuple[DataFrame, str]:

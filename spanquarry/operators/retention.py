@@ -39,11 +39,11 @@ def summary(points: DataFrame, kept: DataFrame, by: str) -> DataFrame:
     )
 
 
-def medians(rows: DataFrame, by: str, value: str) -> DataFrame:
+def medians(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, med, mad (the median deviation from it), q1, q3 of a value, by group."""
-    quarters = quantiles(rows, [by], value, {"med": ("linear", 0.5), "q1": ("linear", 0.25), "q3": ("linear", 0.75)})
-    spread = rows.join(bounded(quarters.select(by, "med"), 64), by).select(by, F.abs(F.col(value) - F.col("med")).alias("_off"))
-    return quarters.join(quantiles(spread, [by], "_off", {"mad": ("linear", 0.5)}).select(by, "mad"), by)
+    quarters = quantiles(rows, by, value, {"med": ("linear", 0.5), "q1": ("linear", 0.25), "q3": ("linear", 0.75)})
+    spread = rows.join(bounded(quarters.select(*by, "med"), 64), by).select(*by, F.abs(F.col(value) - F.col("med")).alias("_off"))
+    return quarters.join(quantiles(spread, by, "_off", {"mad": ("linear", 0.5)}).select(*by, "mad"), by)
 
 
 def upper_scales(rows: DataFrame, by: str, value: str) -> DataFrame:
@@ -59,7 +59,7 @@ def robust_scales(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Median, its median deviation, quartile, standard and combined scales of a value, by group."""
     x = F.col(value)
     stats = rows.groupBy(by).agg(F.stddev_pop(x).alias("pop"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("samp"))
-    out = medians(rows.select(by, value), by, value).join(stats, by)
+    out = medians(rows.select(by, value), [by], value).join(stats, by)
     robust = F.greatest(F.lit(1e-6), "pop", 1.4826 * F.col("mad"))
     return out.select(by, sixth(F.col("med")).alias("med"), sixth(F.col("mad")).alias("mad"), sixth((F.col("q3") - F.col("q1")) / 1.349).alias("iqr_scale"), sixth(F.col("pop")).alias("std_pop"), sixth(F.col("samp")).alias("std_samp"), sixth(robust).alias("robust"))
 

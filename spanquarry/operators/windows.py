@@ -9,6 +9,10 @@ from ..functions.scalars import clamp
 from .ordering import numbered, running_sums, with_last
 
 
+def _minute() -> Column:
+    return F.floor(F.col("start_ns") / 60_000_000_000)
+
+
 def with_history(rows: DataFrame, sec: str, lookback: int) -> DataFrame:
     """Every row in its own slot (own is true) and, as history, in the next: a frame of up to ``lookback`` seconds back
     then lies within one slot."""
@@ -97,7 +101,7 @@ def ema_burst(series: DataFrame, new: float = 0.2, last: int = 60) -> DataFrame:
 def suspicious(rows: DataFrame, min_history: int = 8, rate: float = 0.15) -> DataFrame:
     """rows (trace_id, service, start_ns, has_error) with the service's prior count, errors, and whether it is suspicious."""
     rows = rows.withColumn("_e", F.col("has_error").cast("long")).withColumn("_one", F.lit(1).cast("long"))
-    out = running_sums(rows, ["service"], ["_one", "_e"], F.col("start_ns"), F.col("trace_id"))
+    out = running_sums(rows, ["service"], ["_one", "_e"], _minute(), F.col("start_ns"), F.col("trace_id"))
     out = out.withColumn("prior", F.col("_one_sum") - 1).withColumn("prior_errors", F.col("_e_sum") - F.col("_e")).drop("_one", "_e", "_one_sum", "_e_sum")
     return out.withColumn("suspicious", (F.col("prior") > min_history) & (F.col("prior_errors") > rate * F.col("prior")))
 
@@ -105,7 +109,7 @@ def suspicious(rows: DataFrame, min_history: int = 8, rate: float = 0.15) -> Dat
 def error_mean(rows: DataFrame) -> DataFrame:
     """trace_id, prior, error_mean: how many traces came before (by start, then id), and the mean of their error flags."""
     flags = rows.select("trace_id", "start_ns", F.col("has_error").cast("long").alias("e"), F.lit(1).cast("long").alias("one"))
-    sums = running_sums(flags, [], ["one", "e"], F.col("start_ns"), F.col("trace_id"))
+    sums = running_sums(flags, [], ["one", "e"], _minute(), F.col("start_ns"), F.col("trace_id"))
     prior = F.col("one_sum") - 1
     return sums.select("trace_id", prior.alias("prior"), F.when(prior > 0, (F.col("e_sum") - F.col("e")) / prior).otherwise(0.0).alias("error_mean"))
 

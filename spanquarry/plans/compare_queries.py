@@ -173,7 +173,7 @@ def error_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suspicious_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles by budget of the whole history of the services' error rates."""
     rows = points(spark, sf_dir).select("trace_id", F.col("root_service").alias("service"), "start_ns", "has_error")
-    rates = windows.suspicious(rows).where("prior > 8").select((F.col("prior_errors") / F.col("prior")).alias("rate"))
+    rates = windows.suspicious(rows).where("prior > 8").select((F.col("prior_errors") / F.greatest("prior", F.lit(1))).alias("rate"))
     found = ordering.quantiles(rates, [], "rate", {f"p{q}": ("linear", q / 100) for q in (65, 55, 50, 60)})
     return found.select(*[S.sixth(F.col(f"p{q}")).alias(f"p{q}") for q in (65, 55, 50, 60)])
 

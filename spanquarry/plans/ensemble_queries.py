@@ -38,8 +38,8 @@ def online_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traces with their probability, online state, metric evidence, votes and consensus; stored, as several steps use it."""
     s = spans(spark, sf_dir)
-    tp = traces.trace_points(s)
-    rows = probabilities(spark, sf_dir).select("trace_id", "sec", "start_ns", "services", "has_error", "incident", "latency", "near", "p")
+    tp = storage.stored(traces.trace_points(s), "points")
+    rows = probabilities(spark, sf_dir, tp).select("trace_id", "sec", "start_ns", "services", "has_error", "incident", "latency", "near", "p")
     found = metrics.evidence(tp, deviations_of(s).drop("cpu", "load"), 7200).select("trace_id", "coverage", "reliability", "evidence")
     rows = rows.join(sampling.online_state(tp), "trace_id").join(found, "trace_id")
     return storage.stored(sampling.consensus(rows.withColumn("votes", sampling.votes(rows)), BUDGET), "ensemble")

@@ -107,10 +107,11 @@ SCORED = f"""lat AS (SELECT trace_id, sec, start_ns, has_error, span_count, dura
   prob AS (SELECT *, least(greatest(0.55 * (0.45 * incident::INT + 0.25 * latency + 0.15 * has_error::INT + 0.15 * near) + 0.45 * tanh(1.2 * 0.4 * z), 0.02), 0.98) AS p FROM scored)"""
 
 
-def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Traces with incident, latency, nearness to the first incident, error shock z and sampling probability p."""
+def probabilities(spark: SparkSession, sf_dir: str, tp: DataFrame | None = None) -> DataFrame:
+    """Traces (those given, if they are at hand) with incident, latency, nearness to the first incident, error shock z and
+    sampling probability p."""
     s = spans(spark, sf_dir)
-    tp = retention.latency(traces.trace_points(s))
+    tp = retention.latency(traces.trace_points(s) if tp is None else tp)
     found = traces.incidents(s)
     facts = found.agg(F.min("st").alias("at"), F.collect_set("service").alias("causes"))
     stats = windows.lookback_stats(tp, LOOKBACK, {"error": F.col("has_error").cast("int")})
