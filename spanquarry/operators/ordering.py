@@ -45,7 +45,7 @@ def quantiles(rows: DataFrame, by: list[str], value: str, asked: Mapping[str, tu
     """
     v = F.col(value).cast("double")
     bucket = (F.signum(v) * F.floor(F.log1p(F.abs(v)) * FINE)).cast("long").alias("_b")
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, v.alias("_v"), bucket).agg(F.count("*").alias("_n"))
+    counts = stored(rows.where(F.col(value).isNotNull()).groupBy(*by, v.alias("_v"), bucket).agg(F.count("*").alias("_n")), "counts")
     whole = Window.partitionBy(*by)
     per = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_m"))
     per = per.withColumn("_upto", F.sum("_m").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("_m").over(whole))
