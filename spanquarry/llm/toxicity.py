@@ -150,14 +150,15 @@ def _telling(lists: list[np.ndarray], y: np.ndarray, support: int) -> np.ndarray
     mine = at[flat] >= 0
     has = np.zeros((len(lists), len(sides)), np.uint8)
     has[owner[mine], at[flat[mine]]] = 1
+    del flat, owner, mine
     above = pos[sides] / np.maximum(n[sides], 1) - rate  # what a side adds alone
     bad = has[y > 0].astype(np.float32)
     for a in range(0, len(sides), 512):
         both = np.zeros((len(sides[a : a + 512]), len(sides)), np.float32)
-        for r in range(0, len(has), 2048):
-            both += has[r : r + 2048, a : a + 512].T.astype(np.float32) @ has[r : r + 2048].astype(np.float32)
+        for r in range(0, len(has), 1024):  # few rows at a time, as the driver's memory is small
+            both += has[r : r + 1024, a : a + 512].T.astype(np.float32) @ has[r : r + 1024].astype(np.float32)
         both_bad = bad[:, a : a + 512].T @ bad
-        expected = np.clip(rate + above[a : a + 512, None] + above[None, :], 0.01, 0.99)
+        expected = np.clip(rate + above[a : a + 512, None] + above[None, :], 0.01, 0.99).astype(np.float32)
         # for a side that nearly implies the other the pair is that side: its own rate is what is expected
         excess = (both_bad - both * expected) ** 2 / np.maximum(both * expected * (1 - expected), 1e-9)
         alike = both > 0.9 * np.minimum(n[sides[a : a + 512]][:, None], n[sides][None, :])
