@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html, langid, mixing, pii, quality, simhash, tokens, toxicity
+from . import chat, decontam, html, langid, mixing, pii, quality, repair, simhash, tokens, toxicity
 from .common import cut, read
 
 
@@ -59,5 +59,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_toxicity": op3_toxicity, "op4_html": op4_html, "op5_quality": op5_quality, "op6_langid": op6_langid, "op7_decontamination": op7_decontamination, "op8_chat": op8_chat, "op9_mixing": op9_mixing, "op10_tokens": op10_tokens}
-ORACLES: dict[str, str] = {"op7_decontamination": decontam.ORACLE, "op8_chat": chat.ORACLE, "op9_mixing": mixing.ORACLE}
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.report(rows, *repair.repaired(repair.damaged(rows)))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_toxicity": op3_toxicity, "op4_html": op4_html, "op5_quality": op5_quality, "op6_langid": op6_langid, "op7_decontamination": op7_decontamination, "op8_chat": op8_chat, "op9_mixing": op9_mixing, "op10_tokens": op10_tokens, "op11_repair": op11_repair}
+ORACLES: dict[str, str] = {"op7_decontamination": decontam.ORACLE, "op8_chat": chat.ORACLE, "op9_mixing": mixing.ORACLE, "op11_repair": repair.ORACLE}
