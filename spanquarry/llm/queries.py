@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html, langid, merkle, mixing, pii, quality, repair, simhash, tokens, toxicity
+from . import alignment, chat, decontam, html, langid, merkle, mixing, pii, quality, repair, simhash, tokens, toxicity
 from .common import cut, read
 
 
@@ -68,5 +68,9 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.with_next(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_toxicity": op3_toxicity, "op4_html": op4_html, "op5_quality": op5_quality, "op6_langid": op6_langid, "op7_decontamination": op7_decontamination, "op8_chat": op8_chat, "op9_mixing": op9_mixing, "op10_tokens": op10_tokens, "op11_repair": op11_repair, "op12_merkle": op12_merkle}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.counted(alignment.links(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_toxicity": op3_toxicity, "op4_html": op4_html, "op5_quality": op5_quality, "op6_langid": op6_langid, "op7_decontamination": op7_decontamination, "op8_chat": op8_chat, "op9_mixing": op9_mixing, "op10_tokens": op10_tokens, "op11_repair": op11_repair, "op12_merkle": op12_merkle, "op13_alignment": op13_alignment}
 ORACLES: dict[str, str] = {"op7_decontamination": decontam.ORACLE, "op8_chat": chat.ORACLE, "op9_mixing": mixing.ORACLE, "op11_repair": repair.ORACLE}
