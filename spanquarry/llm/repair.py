@@ -75,10 +75,10 @@ def counted(rows: DataFrame) -> DataFrame:
     """rows (conv_id, turn, role, text, copies) with equal ones counted (n), and whether role and text stand at an earlier
     turn of the conversation (seen)."""
     whole = rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").cast("long").alias("n"))
-    key = whole.withColumn("_digest", F.sha2("text", 256))
     at = F.struct(F.col("turn").isNotNull().alias("given"), F.col("turn").alias("turn"))
-    again = key.groupBy(F.col("conv_id").alias("_conv"), F.col("role").alias("_role"), F.col("_digest").alias("_d")).agg(F.count("*").alias("_turns"), F.min(at).alias("_first")).where("_turns > 1").drop("_turns")
-    met = key.join(again, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("role") == F.col("_role")) & (F.col("_digest") == F.col("_d")), "left")
+    digest = F.unhex(F.sha2("text", 256))
+    again = rows.groupBy(F.col("conv_id").alias("_conv"), F.col("role").alias("_role"), digest.alias("_d")).agg(F.min(at).alias("_first"), F.max(at).alias("_last")).where("_first < _last").drop("_last")
+    met = whole.withColumn("_digest", digest).join(again, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("role") == F.col("_role")) & (F.col("_digest") == F.col("_d")), "left")
     return met.select("conv_id", "turn", "role", "text", "n", F.coalesce(at > F.col("_first"), F.lit(False)).alias("seen"))
 
 
