@@ -7,8 +7,8 @@ compared with, is the language whose common words it uses most, so no label is r
 word histogram, so a text without common words is far from every language.
 
 Guards: below MIN_CHARS there is no character verdict, below MIN_WORDS no word verdict. A text of which the language's
-common words are a share between HINT and DECIDED is prose of no reference language (a related one, say) and gets no
-word verdict; below HINT it is no prose of any. A text of which most letters are of another script than the references'
+common words are a share of DECIDED at most may be prose of another language, so its common words say nothing: its
+histogram has two bins only, symbols and other words, which all languages have in much the same shares. A text of which most letters are of another script than the references'
 gets no verdict but that of the base rules.
 
 The base counts (word characters, symbols, repeated lines, words in repeated windows) come from arrays in the row; no
@@ -45,8 +45,8 @@ ENDINGS, BINS = ("", ".", ","), 20_000
 MIN_CHARS, MIN_WORDS = 200, 50
 #: Largest distance from the language's reference that a kept document may have.
 MOST_CHARS, MOST_WORDS = 0.32, 0.36
-#: Shares of a language's common words from which a text is taken for its prose, and for prose at all.
-DECIDED, HINT = 0.20, 0.08
+#: Share of a language's common words beyond which a text is taken for its prose.
+DECIDED = 0.20
 #: Letters of other scripts than that of the references.
 FOREIGN = r"[\p{L}&&[^\p{IsLatin}]]"
 SYMBOLS = "[#*$%&|<>]"
@@ -179,11 +179,13 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_KEPT_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
 
-def references(rows: DataFrame) -> tuple[list[list[float]], list[list[float]]]:
-    """For each language the shares of the character classes, and of the common words by code; empty without documents."""
+def references(rows: DataFrame) -> tuple[list[list[float]], list[list[float]], list[float]]:
+    """For each language the shares of the character classes, and of the common words by code (empty without documents),
+    and symbols for each word."""
     good = rows.where(~base_failed() & ~F.col("foreign") & F.col("language").isNotNull())
     sums = good.groupBy("language").agg(*[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 3)]).collect()
-    said = {r.language: r.n for r in good.groupBy("language").agg(F.sum("n_words").alias("n")).collect()}
+    totals = good.groupBy("language").agg(F.sum("n_words").alias("n"), F.sum("n_symbols").alias("symbols")).collect()
+    said, marked = {r.language: r.n for r in totals}, {r.language: r.symbols for r in totals}
     words = good.select("language", F.explode("common").alias("c")).groupBy("language", "c.code").agg(F.sum("c.n").alias("n")).collect()
     chars, common = [[] for _ in COMMON], [[] for _ in COMMON]
     for r in sums:
@@ -193,7 +195,7 @@ def references(rows: DataFrame) -> tuple[list[list[float]], list[list[float]]]:
         mine = {r.code: r.n for r in words if r.language == k}
         total = said.get(k, 0)
         common[k] = [*(mine.get(i, 0) / total for i in range(len(_places()))), 1 - sum(mine.values()) / total] if total else []
-    return chars, common
+    return chars, common, [min(1.0, marked[k] / said[k]) if said.get(k) else 0.0 for k in range(len(COMMON))]
 
 
 def _term(x: Column, other: Column) -> Column:
@@ -204,10 +206,10 @@ def _matrix(rows: list[list[float]]) -> Column:
     return _literal([r or [0.0] for r in rows], "array<array<double>>")
 
 
-def divergences(rows: DataFrame, chars: list[list[float]], common: list[list[float]]) -> DataFrame:
+def divergences(rows: DataFrame, chars: list[list[float]], common: list[list[float]], symbols: list[float]) -> DataFrame:
     """rows with js_chars and js_words (distances), null where a guard applies or there is no reference."""
     has = F.get(F.lit([bool(c) for c in common]), "language") & ~F.col("foreign")
-    named = ~F.col("votes").between(HINT * F.col("n_words"), DECIDED * F.col("n_words"))
+    named = F.col("votes") > DECIDED * F.col("n_words")
     n_common = F.aggregate("common", F.lit(0).cast("long"), lambda acc, c: acc + c["n"])
 
     def by_class(q: Column) -> Column:
@@ -226,7 +228,9 @@ def divergences(rows: DataFrame, chars: list[list[float]], common: list[list[flo
 
     distance = lambda js: F.sqrt(F.greatest(js, F.lit(0.0)))
     js_chars = F.when(has & (F.col("n_chars") >= MIN_CHARS), distance(let(F.get(_matrix(chars), "language"), by_class)))
-    js_words = F.when(has & named & (F.col("n_words") >= MIN_WORDS), distance(let(F.get(_matrix(common), "language"), by_word)))
+    p, q = F.least(F.col("n_symbols") / F.col("n_words"), F.lit(1.0)), F.get(_literal(symbols, "array<double>"), "language")
+    in_two = _term(p, q) + _term(q, p) + _term(1 - p, 1 - q) + _term(1 - q, 1 - p)
+    js_words = F.when(has & (F.col("n_words") >= MIN_WORDS), distance(F.when(named, let(F.get(_matrix(common), "language"), by_word)).otherwise(in_two)))
     return rows.withColumn("js_chars", js_chars).withColumn("js_words", js_words)
 
 
@@ -236,10 +240,10 @@ def judge(docs: DataFrame) -> DataFrame:
     A document without any common word is compared with the reference of the most common language of the corpus.
     """
     rows = stored(features(docs), "quality")
-    chars, common = references(rows)
+    chars, common, symbols = references(rows)
     main = rows.where("language is not null").groupBy("language").count().orderBy(F.desc("count"), "language").first()
     if main:
         rows = rows.withColumn("language", F.coalesce("language", F.lit(main.language)))
-    rows = divergences(rows, chars, common).withColumn("base_failed", base_failed())
+    rows = divergences(rows, chars, common, symbols).withColumn("base_failed", base_failed())
     kept = ~F.col("base_failed") & (F.coalesce("js_chars", F.lit(0.0)) <= MOST_CHARS) & (F.coalesce("js_words", F.lit(0.0)) <= MOST_WORDS)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "js_chars", "js_words")
