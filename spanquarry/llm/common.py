@@ -67,6 +67,11 @@ def crc32_mod(col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def lowest_share(h: Column, share: float) -> Column:
+    """Whether a 64-bit hash is among the lowest such share of all hashes, however small the share is."""
+    return F.lit(True) if share >= 1 else h < F.lit(-(2**63) + int(share * 2**64))
+
+
 #: Rows in an Arrow batch of texts, which are some kilobytes each and now and then far longer.
 BATCH_ROWS = 1000
 

@@ -23,6 +23,7 @@ import dataclasses
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import mapped, sliced
+from .common import lowest_share, mapped, sliced
 
 SAMPLE, LONGEST, ROUNDS, DEPTH, RATE, BINS, SEED = 240, 100_000, 40, 3, 0.3, 32, 5
 #: What HTML says of elements.
@@ -67,6 +68,13 @@ def parse(page: str) -> Node:
     parts: list[str] = []
     linked, anchors, at = 0, 0, 0
     endless: set[str] = set()
+    opened: Counter = Counter()  # tags on the way from the root to now, so that nobody walks up for one that is not there
+
+    def leave(up: Node) -> None:
+        nonlocal now
+        while now is not up:
+            opened[now.tag] -= 1
+            now = now.parent
 
     def close_run() -> None:
         nonlocal parts, linked
@@ -111,11 +119,11 @@ def parse(page: str) -> Node:
                 anchors = max(0, anchors - 1)
             if tag in BLOCK:
                 close_run()
-                up = now
-                while up.parent and up.tag != tag:
-                    up = up.parent
-                if up.parent:
-                    now = up.parent
+                if opened[tag] > 0:
+                    up = now
+                    while up.tag != tag:
+                        up = up.parent
+                    leave(up.parent)
             continue
         if tag in INERT:
             end = -1 if inside.endswith("/") or tag in endless else _end_tag(page, tag, at)
@@ -138,17 +146,18 @@ def parse(page: str) -> Node:
             close_run()
             anchors = 0
             if tag in ENDS_P and now.tag == "p":
-                now = now.parent
-            if tag in SIBLING:
+                leave(now.parent)
+            if tag in SIBLING and any(opened[x] > 0 for x in SIBLING[tag]):
                 up = now
                 while up.parent and up.tag not in SCOPE and up.tag not in SIBLING[tag]:
                     up = up.parent
                 if up.tag in SIBLING[tag] and up.parent:
-                    now = up.parent
+                    leave(up.parent)
             if tag not in VOID:
                 found = _ATTR.findall(inside) if "=" in inside else ()
                 words = tuple(w.lower() for a in found for w in _TOKEN.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", a)))
                 now = Node(tag, words, now)
+                opened[tag] += 1
     close_run()
     return root
 
@@ -353,8 +362,7 @@ def train(pages: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> For
     usable = pages.select(F.col("html").cast("string").alias("html")).where((F.length("html") <= longest) & F.col("html").rlike(MARKED))
     usable = usable.select(F.xxhash64("html").alias("h"), "html")
     share = min(1.0, sample / max(usable.count(), 1))
-    chosen = usable.where(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * share)).dropDuplicates(["h"]).limit(2 * sample).collect()
-    chosen = sorted(chosen, key=lambda r: r.h)[:sample]
+    chosen = usable.where(lowest_share(F.col("h"), 2 * share)).dropDuplicates(["h"]).orderBy("h").limit(sample).collect()
     rnd, x, y = random.Random(SEED), [], []
     for r in chosen:
         for variant in _variants(r.html, rnd):

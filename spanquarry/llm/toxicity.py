@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import crc32_mod, mapped, sliced
+from .common import crc32_mod, lowest_share, mapped, sliced
 
 HELD_OUT = (5, 0)
 #: Most labelled rows to train on, hashed features, training rows that a kept hash and that a kept pair have at least.
@@ -100,12 +100,16 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """text, toxic of at most about ``sample`` labelled rows that are not held out."""
+    """doc_id, text, toxic of at most ``sample`` labelled rows that are not held out (a few more where hashes agree): those
+    of documents with the lowest hashes of their id, and of these the lowest hashes of id and text. Rows alike in both are
+    one row."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     known = known.where(crc32_mod(F.col("doc_id"), HELD_OUT[0]) != HELD_OUT[1])
     share = min(1.0, sample / max(known.count(), 1))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    chosen = known.where(lowest_share(F.xxhash64("doc_id"), share)).withColumn("_h", F.xxhash64("doc_id")).orderBy("_h").limit(2 * sample).drop("_h")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("_h", F.xxhash64("doc_id", "text"))
+    last = rows.select("_h").distinct().orderBy("_h").limit(sample).agg(F.max("_h")).first()[0]
+    return rows.where(F.col("_h") <= F.lit(last).cast("long")).dropDuplicates(["doc_id", "_h"]).select("doc_id", "text", "toxic")
 
 
 def _featured(rows: DataFrame) -> DataFrame:
