@@ -178,10 +178,10 @@ def test_quality_distances_match_their_definition(spark):
     good = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en' and length(text) > 2000").limit(3).collect()]
     frame = spark.createDataFrame(list(enumerate(texts + good)), "doc_id long, text string")
     rows_ = quality.features(frame).cache()
-    chars, common = quality.references(rows_)
+    chars, common, symbols = quality.references(rows_)
     forms, places = quality._forms(), len(quality._places())
     js = lambda p, q: np.sqrt(sum(0.5 * x * np.log2(2 * x / (x + y)) for a, b in ((p, q), (q, p)) for x, y in zip(a, b, strict=True) if x > 0))
-    for r in quality.divergences(rows_, chars, common).collect():
+    for r in quality.divergences(rows_, chars, common, symbols).collect():
         text = (texts + good)[r.doc_id]
         words = WORD.findall(text)
         histogram = np.zeros(places + 1)
@@ -504,10 +504,10 @@ def test_tokens_round_trip_and_shards(spark, tmp_path):
         want.update((r.doc_id, k, tuple(ids[a : a + 64])) for k, a in enumerate(range(0, len(ids), 64)))
     got = collections.Counter((None if r.doc_id != r.doc_id else int(r.doc_id), r.seq_no, tuple(np.frombuffer(r.tokens, "<u2").tolist())) for r in found.itertuples())
     assert got == want and all(len(r.tokens) == 2 * r.n_tokens for r in found.itertuples())
-    files = {p: p.stat().st_mtime_ns for p in Path(tmp_path).rglob("part-*")}
+    files = {p: p.stat().st_mtime_ns for p in Path(tmp_path).rglob("shard=*/part-*")}
     assert len(files) == found["shard"].nunique() and all(p.stat().st_size % tokens.stride(64) == 0 for p in files)
     tokens.training_order(docs, seq=64, per_shard=500, path=path)  # nothing is left to do
-    assert files == {p: p.stat().st_mtime_ns for p in Path(tmp_path).rglob("part-*")}
+    assert files == {p: p.stat().st_mtime_ns for p in Path(tmp_path).rglob("shard=*/part-*")}
     back = [(d, k, ids.tobytes()) for s in sorted(found["shard"].unique()) for d, k, ids in tokens.read_shard(spark, path, int(s), seq=64)]
     assert back == [(tokens.NO_ID if r.doc_id != r.doc_id else int(r.doc_id), r.seq_no, r.tokens) for r in found.itertuples()]
     assert [x[:2] for x in tokens.read_shard(spark, path, 0, 300, 64, 7)] == [x[:2] for x in back[300:500]]
