@@ -47,7 +47,7 @@ PIECES, HEAD_PIECES = _pieces(PIECE), _pieces(HEAD_PIECE)
 
 
 def digest(text: str) -> str:
-    """Eight hex digits, for nodes below the root."""
+    """Eight hex digits, for sections and paragraphs; pieces have six, as they are many and only compared within two texts."""
     return xxhash.xxh32_hexdigest(text)
 
 
@@ -74,7 +74,7 @@ def fingerprint(text: str) -> str:
     for section in sections(text):
         paragraphs = []
         for pieces in section:
-            leaves = ",".join([f"{xxhash.xxh32_hexdigest(p)}.{len(p)}" for p in pieces])
+            leaves = ",".join([f"{xxhash.xxh32_hexdigest(p)[:6]}.{len(p)}" for p in pieces])
             paragraphs.append(f"{digest(leaves)}={leaves}")
         own = digest(";".join([p[:8] for p in paragraphs]))
         parts.append(f"{own}:{';'.join(paragraphs)}")
@@ -212,8 +212,9 @@ def _row(doc_id, text: str, own: str, after: str, next_own: str) -> list:
 def with_next(docs: DataFrame) -> DataFrame:
     """COLUMNS: each document's fingerprint, that of its text with the second half taken from the next document, and how
     like its own are that one and the next document's."""
-    ddl = f"{COLUMNS}, pid int, place string, text string"
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *[(c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")], ("near_edited", pa.float64()), ("near_next", pa.float64()), ("pid", pa.int32()), ("place", pa.string()), ("text", pa.string())])
+    # both fingerprints are one string here, as half of the second is the first's and compresses with it
+    ddl = "doc_id long, n_chars long, edited_sha256 string, both string, near_edited double, near_next double, pid int, place string, text string"
+    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("both", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("pid", pa.int32()), ("place", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
@@ -224,17 +225,19 @@ def with_next(docs: DataFrame) -> DataFrame:
                 text = text.as_py()
                 own = fingerprint(text)
                 if before:
-                    out.append([*_row(*before, text, own), pid, "inside", None])
+                    *head, mine, changed, near, near_next = _row(*before, text, own)
+                    out.append([*head, f"{mine}\n{changed}", near, near_next, pid, "inside", None])
                 else:
-                    out.append([doc_id, None, None, own, None, None, None, pid, "first", text])
+                    out.append([doc_id, None, None, own, None, None, pid, "first", text])
                 before = (doc_id, text, own)
             if out:
                 yield _batch(out, schema)
         if before:
-            yield _batch([[before[0], None, None, before[2], None, None, None, pid, "last", before[1]]], schema)
+            yield _batch([[before[0], None, None, before[2], None, None, pid, "last", before[1]]], schema)
 
     ranged = _plain(docs).withColumn("_h", F.xxhash64("text")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h")
     table = stored(mapped(ranged.select("doc_id", "text"), run, ddl), "fingerprints")
+    table = table.select("*", F.substring_index("both", "\n", 1).alias("fingerprint"), F.substring_index("both", "\n", -1).alias("edited_fingerprint"))
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     return table.where("place = 'inside'").select(*names).unionByName(_borders(table))
 
