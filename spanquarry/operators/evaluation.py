@@ -26,6 +26,8 @@ def bootstrap(rows: DataFrame, values: list[str], rounds: int = 2000, seed: int
 
     Scenarios are few (one row each); draws are a join on the scenario's number, rounds are grouped.
     """
+    if isinstance(values, str):
+        raise TypeError("values is a list of columns")
     numbered = rows.select(F.row_number().over(Window.orderBy("sid")).alias("i"), *values)
     n = numbered.count()
     spark = rows.sparkSession

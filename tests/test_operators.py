@@ -148,8 +148,10 @@ def test_evaluation_has_no_fall_back_to_the_truth(spark):
     rows = evaluation.placed(scenarios, ranked)
     got = evaluation.scores(rows).first()
     assert (got.scenarios, got.a1, got.a3, got.mrr) == (3, pytest.approx(1 / 3, abs=1e-6), pytest.approx(2 / 3, abs=1e-6), 0.5)
-    ci = evaluation.bootstrap(rows, "rr").first()
-    assert 0 <= ci.low <= 0.5 <= ci.high <= 1
+    ci = evaluation.bootstrap(rows, ["rr"]).first()
+    assert ci.measure == "rr" and 0 <= ci.low <= 0.5 <= ci.high <= 1
+    with pytest.raises(TypeError):
+        evaluation.bootstrap(rows, "rr")
 
 
 def test_flat_values_count_as_half(spark):
