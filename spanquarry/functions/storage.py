@@ -34,4 +34,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def bounded(df: DataFrame, row_bytes: int) -> DataFrame:
     """df, to be broadcast if its rows of so many bytes are few enough; else left to a shuffled join."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    return limited(df, df.count(), row_bytes)
+
+
+def limited(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
+    """The same for a number of rows that is known."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
