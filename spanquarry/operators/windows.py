@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp
 from .ordering import numbered, running_sums, with_last
+from .ranges import frame_spreads
 
 
 def _minute() -> Column:
@@ -20,22 +23,30 @@ def with_history(rows: DataFrame, sec: str, lookback: int) -> DataFrame:
     return rows.withColumn("_slot", F.explode(F.array(slot, slot + 1))).withColumn("own", F.col("_slot") == slot)
 
 
+def sums_at(rows: DataFrame, values: list[str], asked: DataFrame) -> DataFrame:
+    """sec, and of each value the sum over all rows up to and with that second, for the seconds asked for. Sums by second,
+    then by hour: no task sees more than an hour's seconds or all hours."""
+    by_sec = rows.groupBy("sec").agg(*[F.sum(v).alias(v) for v in values])
+    none = asked.select("sec").distinct().select("sec", *[F.lit(0).cast(rows.schema[v].dataType).alias(v) for v in values])
+    whole = by_sec.unionByName(none).groupBy("sec").agg(*[F.sum(v).alias(v) for v in values], F.max(F.lit(1)).alias("_"))
+    found = running_sums(whole.drop("_"), [], values, F.floor(F.col("sec") / 3600), F.col("sec"))
+    return found.select("sec", *[F.col(f"{v}_sum").alias(v) for v in values]).join(asked.select("sec").distinct(), "sec", "left_semi")
+
+
 def lookback_stats(points: DataFrame, lookback: int, values: dict[str, Column]) -> DataFrame:
     """For each trace, count, mean and population deviation of 0/1 or real values over the traces before it: those of
-    the last lookback - 1 seconds and the earlier ones of its own second (order: start, id)."""
-    rows = with_history(points.select("trace_id", "sec", "start_ns", *[v.cast("double").alias(k) for k, v in values.items()]), "sec", lookback)
-    order = Window.partitionBy("_slot").orderBy("start_ns", "trace_id")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    gone = Window.partitionBy("_slot").orderBy("sec").rangeBetween(Window.unboundedPreceding, -lookback)
-    rows = rows.withColumn("n", F.count("*").over(before) - F.count("*").over(gone))
-    for k in values:
-        total = F.coalesce(F.sum(k).over(before), F.lit(0.0)) - F.coalesce(F.sum(k).over(gone), F.lit(0.0))
-        square = F.coalesce(F.sum(F.col(k) * F.col(k)).over(before), F.lit(0.0)) - F.coalesce(F.sum(F.col(k) * F.col(k)).over(gone), F.lit(0.0))
-        rows = rows.withColumn(f"{k}_sum", total).withColumn(f"{k}_square", square)
-    rows = rows.where("own")
-    out = ["trace_id", "n"]
+    the last lookback - 1 seconds and the earlier ones of its own second (order: start, id). A frame is what came before
+    the trace less what came before the lookback: running sums by minute, and sums up to a second."""
+    rows = points.select("trace_id", "sec", "start_ns", F.lit(1).cast("double").alias("n"), *[v.cast("double").alias(k) for k, v in values.items()])
+    rows = rows.select("*", *[(F.col(k) * F.col(k)).alias(f"{k}_square") for k in values])
+    names = ["n", *[c for k in values for c in (k, f"{k}_square")]]
+    before = running_sums(rows, [], names, _minute(), F.col("start_ns"), F.col("trace_id"))
+    gone = sums_at(rows, names, rows.select((F.col("sec") - lookback).alias("sec")))
+    gone = gone.select((F.col("sec") + lookback).alias("sec"), *[F.col(c).alias(f"_{c}") for c in names])
+    rows = before.join(gone, "sec").select("trace_id", *[(F.col(f"{c}_sum") - F.col(c) - F.col(f"_{c}")).alias(c) for c in names])
+    out = ["trace_id", F.round("n").cast("long").alias("n")]
     for k in values:
-        mean = F.when(F.col("n") > 0, F.col(f"{k}_sum") / F.col("n")).otherwise(0.0)
+        mean = F.when(F.col("n") > 0, F.col(k) / F.col("n")).otherwise(0.0)
         rows = rows.withColumn(f"{k}_mean", mean)
         rows = rows.withColumn(f"{k}_std", F.when(F.col("n") > 1, F.sqrt(F.greatest(F.col(f"{k}_square") / F.col("n") - F.col(f"{k}_mean") ** 2, F.lit(0.0)))).otherwise(0.0))
         out += [f"{k}_mean", f"{k}_std"]
@@ -45,28 +56,25 @@ def lookback_stats(points: DataFrame, lookback: int, values: dict[str, Column])
 def lookback_sigmas(points: DataFrame, lookback: int, values: dict[str, Column]) -> DataFrame:
     """For each trace n, and of values over the traces before it (as for ``lookback_stats``) value_mean, value_sigma (the
     larger of the sample's standard deviation and the scaled upper median deviation, 0 for one value or none) and
-    value_robust (of the population's and the scaled median deviation, at least 1e-6). A frame's values come as an array,
-    so a lookback has to be short enough for that."""
+    value_robust (of the population's and the scaled median deviation, at least 1e-6).
+
+    In order of time a frame is a range of rows. A task has the traces of one lookback and of the one before (three numbers
+    each) and answers all its frames together from prefix sums and a wavelet matrix, in n log n; no row carries its frame."""
     rows = with_history(points.select("trace_id", "sec", "start_ns", *[v.cast("double").alias(k) for k, v in values.items()]), "sec", lookback)
-    before = Window.partitionBy("_slot").orderBy("sec").rangeBetween(1 - lookback, 0)
-    rows = rows.withColumn("_h", F.collect_list(F.struct("start_ns", "trace_id", *values)).over(before)).where("own")
-    rows = rows.withColumn("_h", F.filter("_h", lambda x: (x["start_ns"] < F.col("start_ns")) | (x["start_ns"] == F.col("start_ns")) & (x["trace_id"] < F.col("trace_id"))))
-    out = ["trace_id", F.size("_h").cast("long").alias("n")]
-    for k in values:
-        out += [F.struct(*_spread(F.col("_h")[k])).alias(f"_{k}")]
-    return rows.select(*out).select("trace_id", "n", *[F.col(f"_{k}")[x].alias(f"{k}_{x}") for k in values for x in ("mean", "sigma", "robust")])
 
+    names = list(values)
+
+    def spreads(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["start_ns", "trace_id"], ignore_index=True)
+        own = np.flatnonzero(frame.own.to_numpy())
+        low, high = np.searchsorted(frame.sec.to_numpy(), frame.sec.to_numpy()[own] - (lookback - 1)), own
+        out = {"trace_id": frame.trace_id.to_numpy()[own], "n": high - low}
+        for k in names:
+            out |= {f"{k}_{name}": v for name, v in frame_spreads(frame[k].to_numpy(float), low, high).items()}
+        return pd.DataFrame(out)
 
-def _spread(v: Column) -> list[Column]:
-    n = F.size(v)
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
-    mean = F.when(n > 0, total(v) / n).otherwise(0.0)
-    squares = F.transform(F.array(mean), lambda m: total(F.transform(v, lambda x: (x - m) * (x - m))))[0]
-    upper = lambda x: F.get(F.sort_array(x), F.floor(F.size(x) / 2).cast("int"))
-    off = lambda middle: F.transform(F.array(middle), lambda m: F.transform(v, lambda x: F.abs(x - m)))[0]
-    sigma = F.when(n <= 1, 0.0).otherwise(F.greatest(F.sqrt(squares / (n - 1)), 1.4826 * upper(off(upper(v)))))
-    robust = F.when(n == 0, 1e-6).otherwise(F.greatest(F.lit(1e-6), F.sqrt(squares / n), 1.4826 * median(off(median(v)))))
-    return [mean.alias("mean"), sigma.alias("sigma"), robust.alias("robust")]
+    kinds = ", ".join(f"{k}_{x} double" for k in values for x in ("mean", "sigma", "robust"))
+    return rows.groupBy("_slot").applyInPandas(spreads, f"trace_id string, n long, {kinds}")
 
 
 def service_history(rows: DataFrame, value: str, last: int = 60) -> DataFrame:
@@ -136,11 +144,13 @@ def dual_thresholds(rows: DataFrame, short: int, long: int, q: float, mix: float
 
 
 def local_density(points: DataFrame, reach: int) -> DataFrame:
-    """trace_id, density: share of traces with errors within ``reach`` seconds on both sides."""
-    slot = F.floor(F.col("sec") / reach)
-    rows = points.select("trace_id", "sec", F.col("has_error").cast("double").alias("e"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("_slot"), slot.alias("_own"))
-    around = Window.partitionBy("_slot").orderBy("sec").rangeBetween(-reach, reach)
-    return rows.withColumn("density", F.avg("e").over(around)).where("_slot = _own").select("trace_id", "density")
+    """trace_id, density: share of traces with errors within ``reach`` seconds on both sides, from sums up to a second."""
+    rows = points.select("sec", F.lit(1).cast("long").alias("n"), F.col("has_error").cast("long").alias("e"))
+    own = rows.select("sec").distinct()
+    sums = sums_at(rows, ["n", "e"], own.select(F.explode(F.array(F.col("sec") + reach, F.col("sec") - reach - 1)).alias("sec")))
+    upto = lambda shift, tag: sums.select((F.col("sec") - shift).alias("sec"), F.col("n").alias(f"n{tag}"), F.col("e").alias(f"e{tag}"))
+    found = own.join(upto(reach, 1), "sec").join(upto(-reach - 1, 0), "sec").select("sec", ((F.col("e1") - F.col("e0")) / (F.col("n1") - F.col("n0"))).alias("density"))
+    return points.select("trace_id", "sec").join(found, "sec").select("trace_id", "density")
 
 
 def hysteresis(bins: DataFrame, raw: Column, hold: int) -> DataFrame:

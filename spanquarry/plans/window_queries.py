@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import storage
 from ..operators import ordering, retention, sampling, traces, windows
 from .base import INCIDENTS, TRACES, points, query, spans, uniform
 
@@ -56,11 +57,12 @@ BINS = f"""bins AS (SELECT sec // 3600 AS bin, count(*) AS n, sum(has_error::INT
 
 
 def bins_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tp = points(spark, sf_dir)
+    rows = points(spark, sf_dir).select("trace_id", "has_error", "duration_ms", F.floor(F.col("sec") / 3600).alias("bin"))
+    rows = storage.stored(rows, "bins")
     kept = S.hash_uniform(F.col("trace_id"), "keep") < 0.3
-    return tp.groupBy(F.floor(F.col("sec") / 3600).alias("bin")).agg(
-        F.count("*").alias("n"), F.count_if("has_error").alias("errors"), F.count_if(kept).alias("sampled"), F.percentile("duration_ms", F.lit(0.95)).alias("p95"), F.min(F.when(kept & ~F.col("has_error"), F.col("duration_ms"))).alias("least"),
-    )
+    counts = rows.groupBy("bin").agg(F.count("*").alias("n"), F.count_if("has_error").alias("errors"), F.count_if(kept).alias("sampled"), F.min(F.when(kept & ~F.col("has_error"), F.col("duration_ms"))).alias("least"))
+    p95 = ordering.quantiles(rows.select("bin", "duration_ms"), ["bin"], "duration_ms", {"p95": ("linear", 0.95)}).select("bin", "p95")
+    return counts.join(p95, "bin").select("bin", "n", "errors", "sampled", "p95", "least")
 
 
 @query(f"WITH {TRACES}, {BINS} SELECT bin, n, errors, sampled, round(p95, 6) AS p95, round(least, 6) AS least FROM bins")
