@@ -1,8 +1,7 @@
-"""Budgeted trace sampling: scores, ensembles, guards, caps, and the two folds that are sequential by nature."""
+"""Budgeted trace sampling: scores, ensembles, guards and caps. What is decided trace after trace is in ``folds``."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,69 +107,6 @@ def exact_target(rows: DataFrame, target: int, *order: Column) -> DataFrame:
     return numbered(placed, [], F.desc("sure"), *order, name="final_place").where(F.col("final_place") <= target)
 
 
-# ---- sequential folds, one group each of a bounded stretch of time ----
-
-
-def leader_clusters(rows: DataFrame, group: list[str], lookback: int, least: float = 0.5) -> DataFrame:
-    """trace_id, cluster, similarity, mass: in order of time each trace joins the most similar living cluster (Jaccard
-    with its first trace), the older of equals, or founds one; members leave after lookback seconds, and an empty
-    cluster ends. Groups are folded apart, so pick one that is bounded (a dataset's day, say)."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["start_ns", "trace_id"])
-        living: dict[int, tuple[frozenset, list[int]]] = {}
-        out, founded = [], 0
-        for trace_id, sec, toks in zip(frame.trace_id, frame.sec, frame.tokens, strict=True):
-            mine = frozenset(toks)
-            for k in [k for k, (_, secs) in living.items() if secs[-1] <= sec - lookback]:
-                del living[k]
-            best, how = -1, 0.0
-            for k, (lead, _) in living.items():
-                near = len(mine & lead) / max(len(mine | lead), 1)
-                if near >= least and near > how:
-                    best, how = k, near
-            if best < 0:
-                best, how, founded = founded, 1.0, founded + 1
-                living[best] = (mine, [])
-            secs = living[best][1]
-            while secs and secs[0] <= sec - lookback:
-                secs.pop(0)
-            out.append((trace_id, best, how, len(secs)))
-            secs.append(sec)
-        return pd.DataFrame(out, columns=["trace_id", "cluster", "similarity", "mass"])
-
-    return rows.groupBy(*group).applyInPandas(fold, "trace_id string, cluster int, similarity double, mass long")
-
-
-def keep_fold(rows: DataFrame, group: list[str], beta: float, seed: int) -> DataFrame:
-    """trace_id, kept: the online decision. While more than the budget's share is kept, a trace has to pass both its
-    draws; below it, a rare quiet trace goes, others pass on the first draw, and clean ones get a second chance.
-
-    Needs p_s, p_d, clean (no error, no incident). The draws are hashes, so a rerun decides alike.
-    """
-    floor = 0.12 if beta <= 0.0015 else 0.20 if beta <= 0.01 else 0.30
-    rows = rows.withColumn("u", hash_uniform(F.col("trace_id"), seed, 1)).withColumn("v", hash_uniform(F.col("trace_id"), seed, 2))
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["start_ns", "trace_id"])
-        seen = kept = clean_kept = 0
-        out = []
-        for p, d, u, v, clean in zip(frame.p_s, frame.p_d, frame.u, frame.v, frame.clean, strict=True):
-            seen += 1
-            share = kept / seen
-            if share > beta:
-                keep = u < p and u < d
-            else:
-                keep = not (d >= 0.72 and p < floor) and u < p
-                if not keep and clean and p < floor and d <= 0.45 and clean_kept < 0.3 * max(kept, 1):
-                    keep = v < beta
-            kept, clean_kept = kept + keep, clean_kept + (keep and bool(clean))
-            out.append(bool(keep))
-        return pd.DataFrame({"trace_id": frame.trace_id, "kept": out})
-
-    return rows.groupBy(*group).applyInPandas(fold, "trace_id string, kept boolean")
-
-
 def scenario_floor(kept: DataFrame, members: DataFrame, target: int, floor: int = 1) -> DataFrame:
     """kept rows (trace_id, place) trimmed to the target while each scenario keeps its first ``floor`` traces, as far
     as the target allows. Works on the kept rows only, which the budget bounds."""

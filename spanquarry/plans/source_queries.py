@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..functions import storage
-from ..operators import traces
+from ..operators import folds, sampling, traces
 from ..sources.spans import otlp_rows
-from ..streaming import live
+from ..streaming import live, sampler
 from .base import TRACES, query, spans
+from .window_queries import FOLDED, LOOKBACK, keep_sql, probabilities
 
 
 @query(f"WITH {TRACES} SELECT service, count(*) AS spans, count(DISTINCT trace_id) AS traces, sum(failed::INT)::BIGINT AS errors, min(start_us) * 1000 AS first_ns, max(start_us) * 1000 AS last_ns FROM sp GROUP BY service")
@@ -32,3 +34,28 @@ def stream_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     run = uuid.uuid4().hex
     return live.run_once(live.bins(traces.spans_of_events(events)), f"{shared}/bins-{run}", f"{shared}/state-{run}")
+
+
+def sampler_rows(rows: DataFrame, seed: int) -> DataFrame:
+    """What the live sampler takes of scored traces: tokens, probability, draws; all in one group."""
+    draws = [S.hash_uniform(F.col("trace_id"), seed, k).alias(c) for k, c in enumerate(folds.DRAWS, 1)]
+    alarm, tokens = (F.col("z") >= 3).alias("alarm"), sampling.tokens().alias("tokens")
+    return rows.select(F.lit("all").alias("g"), "trace_id", "start_ns", "sec", tokens, F.col("p").alias("p_s"), "has_error", "incident", "near", alarm, *draws)
+
+
+@query(f"{FOLDED}, {keep_sql('', 7)} SELECT trace_id, cluster, mass, kept FROM kf JOIN lc USING (i, trace_id)")
+def live_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The traces as a stream of files in order of time, clustered and kept or not on Spark's state; a last row far behind
+    them moves the watermark past all others."""
+    shared, run = storage.shared_dir(spark), uuid.uuid4().hex
+    rows = storage.stored(sampler_rows(probabilities(spark, sf_dir), 7), "scored")
+    low, high = rows.agg(F.min("sec"), F.max("sec")).first()
+    width, path = (high - low) // 3 + 1, f"{shared}/arriving-{run}"
+    for k in range(3):
+        rows.where(F.floor((F.col("sec") - low) / width) == k).write.parquet(f"{path}/part={k}")
+    last = rows.limit(1).withColumn("g", F.lit("end")).withColumn("start_ns", F.lit((high + 86_400) * 1_000_000_000))
+    last.write.parquet(f"{path}/part=3")
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/*")
+    with sampler.rocks(spark):
+        found = live.run_once(sampler.sampled(arriving, "g", 0.025, LOOKBACK, stretch=86_400_000), f"{shared}/live-{run}", f"{shared}/state-{run}", "append")
+    return found.select("trace_id", "cluster", "mass", "kept")

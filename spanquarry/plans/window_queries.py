@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import storage
-from ..operators import ordering, retention, sampling, traces, windows
+from ..operators import folds, ordering, retention, sampling, traces, windows
 from .base import INCIDENTS, TRACES, points, query, spans, uniform
 
 LOOKBACK = 3600
@@ -135,23 +135,48 @@ def strict_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.strict_cap(points(spark, sf_dir), 0.025).select("trace_id", "has_error", F.col("place").cast("long").alias("place"))
 
 
-def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = probabilities(spark, sf_dir)
-    rows = rows.withColumn("day", F.floor(F.col("sec") / 86400)).withColumn("tokens", sampling.tokens())
-    clusters = sampling.leader_clusters(rows.select("day", "trace_id", "start_ns", "sec", "tokens"), ["day"], LOOKBACK)
-    return rows.join(clusters, "trace_id")
+#: The folds as recursion, a trace a step. ld: the leaders alive; kf: counts and the kept traces of the lookback.
+FOLDS = f"""fr AS MATERIALIZED (SELECT row_number() OVER (ORDER BY start_ns, trace_id) AS i, trace_id, sec, has_error, incident, near, z >= 3 AS alarm, p,
+  list_concat(list_transform(services, lambda x: 'svc:' || x), [CASE WHEN duration_ms < 100 THEN 'dur:a' WHEN duration_ms < 500 THEN 'dur:b' WHEN duration_ms < 2000 THEN 'dur:c' ELSE 'dur:d' END,
+    CASE WHEN span_count <= 3 THEN 'span:a' WHEN span_count <= 8 THEN 'span:b' WHEN span_count <= 20 THEN 'span:c' ELSE 'span:d' END]) AS toks FROM prob),
+ld AS (SELECT 0::BIGINT AS i, NULL::VARCHAR AS trace_id, NULL::BIGINT AS cluster, NULL::DOUBLE AS similarity, NULL::BIGINT AS mass, []::STRUCT(id BIGINT, toks VARCHAR[], secs BIGINT[])[] AS living, 0::BIGINT AS founded
+  UNION ALL SELECT i, trace_id, CASE WHEN best IS NULL THEN founded ELSE -best.n END, coalesce(best.s, 1.0), CASE WHEN best IS NULL THEN 0 ELSE list_sum(list_transform(alive, lambda x: CASE WHEN x.id = -best.n THEN len(x.secs) ELSE 0 END)) END,
+    CASE WHEN best IS NULL THEN list_append(alive, {{'id': founded, 'toks': toks, 'secs': [sec]}}) ELSE list_transform(alive, lambda x: {{'id': x.id, 'toks': x.toks, 'secs': CASE WHEN x.id = -best.n THEN list_append(x.secs, sec) ELSE x.secs END}}) END, founded + (best IS NULL)::BIGINT
+  FROM (SELECT *, list_max(list_filter(list_transform(alive, lambda x: {{'s': len(list_intersect(x.toks, toks)) / len(list_distinct(list_concat(x.toks, toks))), 'n': -x.id}}), lambda y: y.s >= 0.5)) AS best
+    FROM (SELECT fr.*, founded, list_filter(list_transform(living, lambda x: {{'id': x.id, 'toks': x.toks, 'secs': list_filter(x.secs, lambda t: t > sec - {LOOKBACK})}}), lambda x: len(x.secs) > 0) AS alive FROM ld JOIN fr ON fr.i = ld.i + 1))),
+lc AS MATERIALIZED (SELECT fr.*, cluster, similarity, mass, least(greatest(pow(1 + CASE WHEN incident THEN 0.35 ELSE 1.0 END * mass * similarity, -CASE WHEN incident THEN 0.55 ELSE 0.8 END), CASE WHEN incident THEN 0.20 ELSE 0.05 END), 1.0) AS p_d FROM fr JOIN ld USING (i))"""
 
 
-@query()
+def keep_sql(tag: str, seed: int, p: str = "p", beta: float = 0.025, floor: float = 0.30) -> str:
+    """kf{tag}: i, trace_id, kept of the rows lc."""
+    u, v = (uniform("trace_id", f"'{seed}'", f"'{k}'") for k in (1, 2))
+    return f"""kr{tag} AS MATERIALIZED (SELECT *, {p} AS ps, {u} AS u, {v} AS v, CASE WHEN incident AND near >= 0.55 THEN {max(0.08, floor - 0.06)} ELSE {floor} END AS floor FROM lc),
+kf{tag} AS (SELECT 0::BIGINT AS i, NULL::VARCHAR AS trace_id, false AS kept, 0::BIGINT AS n, []::STRUCT(t BIGINT, e BIGINT)[] AS win
+  UNION ALL SELECT i, trace_id, keep, n + keep::BIGINT, CASE WHEN keep THEN list_append(win, {{'t': sec, 'e': has_error::BIGINT}}) ELSE win END
+  FROM (SELECT *, CASE WHEN n / i > {beta} THEN u < ps AND (alarm OR u < p_d) WHEN NOT (p_d >= 0.72 AND ps < floor) AND u < ps THEN true
+      WHEN NOT has_error AND NOT incident AND ps < floor AND p_d <= 0.45 AND 1 - CASE WHEN len(win) > 0 THEN list_sum(list_transform(win, lambda x: x.e)) / len(win) ELSE 0 END < 0.3 THEN v < {beta} ELSE false END AS keep
+    FROM (SELECT kr{tag}.*, n, list_filter(win, lambda x: x.t > sec - {LOOKBACK}) AS win FROM kf{tag} JOIN kr{tag} ON kr{tag}.i = kf{tag}.i + 1)))"""
+
+
+FOLDED = f"WITH RECURSIVE {TRACES}, {INCIDENTS}, {STATS}, {SCORED}, {FOLDS}"
+
+
+def clustered(rows: DataFrame) -> DataFrame:
+    """rows with cluster, similarity, mass, p_d and alarm."""
+    found = folds.leader_clusters(rows.withColumn("tokens", sampling.tokens()), LOOKBACK)
+    rows = rows.join(found, "trace_id").withColumn("alarm", F.col("z") >= 3)
+    return rows.withColumn("p_d", sampling.diversity(F.col("mass"), F.col("similarity"), F.col("incident")))
+
+
+@query(f"{FOLDED} SELECT trace_id, cluster, round(similarity, 6) AS similarity, mass FROM lc")
 def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clustered(spark, sf_dir).select("trace_id", "cluster", S.sixth(F.col("similarity")).alias("similarity"), "mass")
+    return clustered(probabilities(spark, sf_dir)).select("trace_id", "cluster", S.sixth(F.col("similarity")).alias("similarity"), "mass")
 
 
-@query()
+@query(f"{FOLDED}, {keep_sql('', 7)} SELECT trace_id, kept FROM kf WHERE i > 0")
 def keep_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _clustered(spark, sf_dir)
-    rows = rows.withColumn("p_d", sampling.diversity(F.col("mass"), F.col("similarity"), F.col("incident"))).withColumn("clean", ~F.col("has_error") & ~F.col("incident"))
-    return sampling.keep_fold(rows.select("day", "trace_id", "start_ns", F.col("p").alias("p_s"), "p_d", "clean"), ["day"], 0.025, 7)
+    rows = storage.stored(clustered(probabilities(spark, sf_dir)).withColumn("p_s", F.col("p")), "clustered")
+    return folds.keep_fold(rows, 0.025, LOOKBACK, (7,)).select("trace_id", F.get("kept", F.lit(0)).alias("kept"))
 
 
 @query(f"""WITH {TRACES}, {INCIDENTS}, n AS (SELECT greatest(1, least(count(*), round_even(count(*) * 0.025, 0)))::BIGINT AS target, count(*) AS n, sum(has_error::INT) AS e FROM tp), q AS (SELECT target, least(e, round_even(target * e / n, 0)) AS quota, greatest(1, round_even(n * 0.01, 0)) AS final FROM n),

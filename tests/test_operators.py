@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from spanquarry.functions import scalars as S
-from spanquarry.operators import evaluation, ordering, rca, retention, sampling, traces, windows
+from spanquarry.operators import evaluation, folds, ordering, rca, retention, sampling, traces, windows
 
 SPANS = "trace_id string, span_id long, service string, start_us long, sec long, weight double, failed boolean, props string"
 
@@ -112,15 +112,15 @@ def test_guard_fills_the_target_and_its_floors(spark):
 
 
 def test_leader_clusters_expire_and_break_ties(spark):
-    rows = [("a", 0, 0, ["x", "y"], 1), ("b", 1, 1, ["x", "y"], 1), ("c", 2, 2, ["q"], 1), ("d", 3, 100, ["x", "y"], 1), ("e", 4, 101, ["y", "x"], 1)]
-    frame = spark.createDataFrame(rows, "trace_id string, start_ns long, sec long, tokens array<string>, day long")
-    got = {r.trace_id: (r.cluster, r.mass) for r in sampling.leader_clusters(frame, ["day"], 60).collect()}
+    rows = [("a", 0, 0, ["x", "y"]), ("b", 1, 1, ["x", "y"]), ("c", 2, 2, ["q"]), ("d", 3, 100, ["x", "y"]), ("e", 4, 101, ["y", "x"])]
+    frame = spark.createDataFrame(rows, "trace_id string, start_ns long, sec long, tokens array<string>")
+    got = {r.trace_id: (r.cluster, r.mass) for r in folds.leader_clusters(frame, 60).collect()}
     assert got == {"a": (0, 0), "b": (0, 1), "c": (1, 0), "d": (2, 0), "e": (2, 1)}
 
 
 def test_keep_fold_is_repeatable_and_near_its_budget(spark):
-    rows = points(spark, 400).select(F.lit(1).alias("g"), "trace_id", "start_ns", F.col("p").alias("p_s"), F.lit(0.5).alias("p_d"), (~F.col("has_error")).alias("clean"))
-    one, two = ({r.trace_id for r in sampling.keep_fold(rows, ["g"], 0.1, 3).where("kept").collect()} for _ in range(2))
+    rows = points(spark, 400).select("trace_id", "start_ns", F.floor(F.col("start_ns") / 10**9).cast("long").alias("sec"), F.col("p").alias("p_s"), F.lit(0.5).alias("p_d"), "has_error", F.lit(False).alias("incident"), F.lit(0.0).alias("near"), F.lit(False).alias("alarm"))
+    one, two = ({r.trace_id for r in folds.keep_fold(rows, 0.1, 3600, (3,)).where("kept[0]").collect()} for _ in range(2))
     assert one == two and 0.05 < len(one) / 400 < 0.4
 
 
@@ -220,27 +220,39 @@ def test_leader_clusters_match_a_plain_loop(spark):
     for i in range(250):
         sec += rnd.choice([0, 1, 5, 40])
         rows.append((f"t{i:03d}", sec, frozenset(rnd.sample("abcdefg", rnd.randint(2, 4)))))
-    frame = spark.createDataFrame([(i, 1000 * k, s, sorted(t), 1) for k, (i, s, t) in enumerate(rows)], "trace_id string, start_ns long, sec long, tokens array<string>, day long")
-    got = {r.trace_id: (r.cluster, round(r.similarity, 9), r.mass) for r in sampling.leader_clusters(frame, ["day"], 60).collect()}
-    assert got == plain_clusters(rows, 60)
+    frame = spark.createDataFrame([(i, 1000 * k, s, sorted(t)) for k, (i, s, t) in enumerate(rows)], "trace_id string, start_ns long, sec long, tokens array<string>")
+    for chunk in (1 << 20, 60):  # state goes over from chunk to chunk
+        got = {r.trace_id: (r.cluster, round(r.similarity, 9), r.mass) for r in folds.leader_clusters(frame, 60, chunk=chunk).collect()}
+        assert got == plain_clusters(rows, 60)
+    assert folds.leader_clusters(frame.limit(0), 60).count() == 0
 
 
 def test_keep_fold_matches_a_plain_loop(spark):
     rnd = random.Random(5)
-    data = [(1, f"t{i:03d}", i, rnd.random(), rnd.random(), rnd.random() < 0.6) for i in range(300)]
-    frame = spark.createDataFrame(data, "g int, trace_id string, start_ns long, p_s double, p_d double, clean boolean")
-    draws = {r.trace_id: (r.u, r.v) for r in frame.select("trace_id", S.hash_uniform(F.col("trace_id"), 3, 1).alias("u"), S.hash_uniform(F.col("trace_id"), 3, 2).alias("v")).collect()}
-    beta, low, kept, clean_kept, want = 0.05, 0.30, 0, 0, {}
-    for seen, (_, ident, _, p, d, clean) in enumerate(data, 1):
-        u, v = draws[ident]
-        if kept / seen > beta:
-            keep = u < p and u < d
-        elif d >= 0.72 and p < low:
-            keep = False
-        else:
-            keep = u < p
-        if kept / seen <= beta and not keep and clean and p < low and d <= 0.45 and clean_kept < 0.3 * max(kept, 1):
-            keep = v < beta
-        kept, clean_kept = kept + keep, clean_kept + (keep and clean)
-        want[ident] = keep
-    assert {r.trace_id: r.kept for r in sampling.keep_fold(frame, ["g"], beta, 3).collect()} == want
+    data = [(f"t{i:03d}", i, i * 7, rnd.random(), rnd.random(), rnd.random() < 0.3, rnd.random() < 0.2, rnd.random(), rnd.random() < 0.05) for i in range(300)]
+    frame = spark.createDataFrame(data, "trace_id string, start_ns long, sec long, p_s double, p_d double, has_error boolean, incident boolean, near double, alarm boolean")
+    draws = {r.trace_id: r.d for r in frame.select("trace_id", F.array(*[S.hash_uniform(F.col("trace_id"), seed, k) for seed in (3, 4) for k in (1, 2, 3)]).alias("d")).collect()}
+    for soft, beta, base in ((False, 0.05, 0.30), (True, 0.01, 0.20)):
+        want = {}
+        for n, seed in enumerate((3, 4)):
+            kept = []
+            for seen, (ident, _, sec, p, d, error, incident, near, alarm) in enumerate(data, 1):
+                u, v, w = draws[ident][3 * n : 3 * n + 3]
+                low = max(0.08, base - 0.06) if incident and near >= 0.55 else base
+                recent = [e for s, e in kept if s > sec - 500]
+                if len(kept) / seen > beta:
+                    keep = u < p and (alarm or u < d)
+                else:
+                    keep = u < p and not (d >= 0.72 and p < low)
+                    clean = not error and not incident and p < low and d <= 0.45
+                    if not keep and clean and 1 - (sum(recent) / len(recent) if recent else 0) < 0.3:
+                        keep = v < beta
+                    if not keep and clean and soft:
+                        keep = w < min(max(beta - len(kept) / seen, 0), 0.2)
+                if keep:
+                    kept.append((sec, error))
+                want.setdefault(ident, []).append(keep)
+        for chunk in (1 << 20, 70):
+            assert {r.trace_id: r.kept for r in folds.keep_fold(frame, beta, 500, (3, 4), soft=soft, chunk=chunk).collect()} == want
+
+
