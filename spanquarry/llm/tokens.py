@@ -131,9 +131,9 @@ def slots(table: DataFrame, key: int = KEY) -> DataFrame:
 
 
 def manifest(table: DataFrame, seq: int, per_shard: int, key: int) -> dict:
-    """What a run has to agree in with another to write to the same shards: the checksum goes over each document's hash,
-    sequences and their lengths, whatever the order of the rows."""
-    row = F.xxhash64("h", "doc_id", "seq_no", "n_tokens", "tokens")
+    """What a run has to agree in with another to write to the same shards: the checksum goes over each document's hash
+    (which is of its id and text), sequences and their lengths, whatever the order of the rows."""
+    row = F.xxhash64("h", "doc_id", "seq_no", "n_tokens")
     found = table.agg(F.count("*").alias("n"), F.sum(row.cast("decimal(38,0)")).cast("string").alias("index")).first()
     return {"n": found.n, "index": found["index"], "seq": seq, "per_shard": per_shard, "key": key}
 
@@ -199,12 +199,19 @@ def write_shards(rows: DataFrame, path: str, seq: int = SEQ) -> None:
     head = F.concat(big(F.coalesce("doc_id", F.lit(NO_ID)), 16), big("seq_no", 8), big("n_tokens", 8))
     filled = F.concat("tokens", F.unhex(F.repeat(F.lit(np.array([END_ID], "<u2").tobytes().hex()), (seq - F.col("n_tokens")).cast("int"))))
     out = rows.select("shard", "slot", F.concat(head, filled).cast("string").alias("record"))
+    most = sizes.agg(F.max("shard")).first()[0] or 0
     with shuffles_removed(spark):  # a share's go when it is written
         for k in range(SHARES):
-            share = out.where(F.col("shard") % SHARES == k).repartitionByRange("shard").sortWithinPartitions("shard", "slot").select("shard", "record")
+            share = ranged(out.where(F.col("shard") % SHARES == k), most).sortWithinPartitions("shard", "slot").select("shard", "record")
             share.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("lineSep", "\n").partitionBy("shard").text(path)
 
 
+def ranged(rows: DataFrame, most: int) -> DataFrame:
+    """rows dealt by equal ranges of their shard, of which the last is known, so nothing has to be sampled."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionById(n, F.floor(F.col("shard").cast("double") * n / (most + 1)).cast("int"))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     return root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
