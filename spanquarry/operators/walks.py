@@ -15,7 +15,7 @@ from .rca import CALLS, DAMPING, ranked, scenario_sides
 #: Operations up to which a trace is folded into weights between operations; larger ones are stepped over.
 FOLD = 64
 #: Relative change at which a part's walk ends, steps after which any ends, and steps between two looks at it.
-STILL, MOST, TOGETHER = 1e-9, 80, 8
+STILL, MOST, TOGETHER = 1e-9, 80, 16
 #: Duration in milliseconds by which an anomalous trace exceeds what its operations lead to expect.
 SLACK = 50.0
 #: The node from which every step gets its restart.

@@ -39,7 +39,7 @@ def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traces with their probability, online state, metric evidence, votes and consensus; stored, as several steps use it."""
     s = spans(spark, sf_dir)
     tp = storage.stored(traces.trace_points(s), "points")
-    rows = probabilities(spark, sf_dir, tp).select("trace_id", "sec", "start_ns", "services", "has_error", "incident", "latency", "near", "p")
+    rows = probabilities(spark, sf_dir, tp).select("trace_id", "sec", "start_ns", "services", "duration_ms", "span_count", "has_error", "incident", "latency", "near", "z", "p")
     found = metrics.evidence(tp, deviations_of(s).drop("cpu", "load"), 7200).select("trace_id", "coverage", "reliability", "evidence")
     rows = rows.join(sampling.online_state(tp), "trace_id").join(found, "trace_id")
     return storage.stored(sampling.consensus(rows.withColumn("votes", sampling.votes(rows)), BUDGET), "ensemble")
@@ -100,13 +100,13 @@ def _robust_sql(k: str) -> str:
     return f"CASE WHEN n = 0 THEN 1e-6 ELSE greatest(1e-6, list_aggregate({k}, 'stddev_pop'), 1.4826 * list_aggregate(list_transform({k}, lambda x: abs(x - list_aggregate({k}, 'median'))), 'median')) END"
 
 
-SHOCKED = f"""lc AS (SELECT scored.trace_id, scored.sec, scored.start_ns, scored.has_error::INT::DOUBLE AS e, latency AS l, incident::INT::DOUBLE AS i FROM scored),
-lw AS (SELECT a.trace_id, count(b.trace_id) AS n, coalesce(list(b.e) FILTER (WHERE b.trace_id IS NOT NULL), []) AS le, coalesce(list(b.l) FILTER (WHERE b.trace_id IS NOT NULL), []) AS ll, coalesce(list(b.i) FILTER (WHERE b.trace_id IS NOT NULL), []) AS li
-  FROM lc a LEFT JOIN lc b ON b.sec >= a.sec - {LOOKBACK - 1} AND (b.start_ns < a.start_ns OR b.start_ns = a.start_ns AND b.trace_id < a.trace_id) GROUP BY a.trace_id),
-lm AS (SELECT *, list_sort(le)[n // 2 + 1] AS le_med, list_sort(ll)[n // 2 + 1] AS ll_med, list_sort(li)[n // 2 + 1] AS li_med FROM lw),
-ls AS (SELECT trace_id, n, {", ".join(f"coalesce(list_aggregate({k}, 'avg'), 0) AS {k}_mean, {_sigma_sql(k)} AS {k}_sigma, {_robust_sql(k)} AS {k}_robust" for k in ("le", "ll", "li"))} FROM lm),
-tz AS (SELECT scored.*, ls.*, 0.40 * abs(has_error::INT - le_mean) / (le_sigma + 1e-6) + 0.35 * abs(latency - ll_mean) / (ll_sigma + 1e-6) + 0.25 * abs(incident::INT - li_mean) / (li_sigma + 1e-6) AS zs,
-  0.40 * abs(has_error::INT - le_mean) / (le_robust + 1e-6) + 0.35 * abs(latency - ll_mean) / (ll_robust + 1e-6) + 0.25 * abs(incident::INT - li_mean) / (li_robust + 1e-6) AS zr FROM scored JOIN ls USING (trace_id)),
+SHOCKED = f"""wl AS (SELECT scored.trace_id, scored.sec, scored.start_ns, scored.has_error::INT::DOUBLE AS e, latency AS l, incident::INT::DOUBLE AS i FROM scored),
+wf AS (SELECT a.trace_id, count(b.trace_id) AS n, coalesce(list(b.e) FILTER (WHERE b.trace_id IS NOT NULL), []) AS le, coalesce(list(b.l) FILTER (WHERE b.trace_id IS NOT NULL), []) AS ll, coalesce(list(b.i) FILTER (WHERE b.trace_id IS NOT NULL), []) AS li
+  FROM wl a LEFT JOIN wl b ON b.sec >= a.sec - {LOOKBACK - 1} AND (b.start_ns < a.start_ns OR b.start_ns = a.start_ns AND b.trace_id < a.trace_id) GROUP BY a.trace_id),
+wm AS (SELECT *, list_sort(le)[n // 2 + 1] AS le_med, list_sort(ll)[n // 2 + 1] AS ll_med, list_sort(li)[n // 2 + 1] AS li_med FROM wf),
+ws AS (SELECT trace_id, n, {", ".join(f"coalesce(list_aggregate({k}, 'avg'), 0) AS {k}_mean, {_sigma_sql(k)} AS {k}_sigma, {_robust_sql(k)} AS {k}_robust" for k in ("le", "ll", "li"))} FROM wm),
+tz AS (SELECT scored.*, ws.*, 0.40 * abs(has_error::INT - le_mean) / (le_sigma + 1e-6) + 0.35 * abs(latency - ll_mean) / (ll_sigma + 1e-6) + 0.25 * abs(incident::INT - li_mean) / (li_sigma + 1e-6) AS zs,
+  0.40 * abs(has_error::INT - le_mean) / (le_robust + 1e-6) + 0.35 * abs(latency - ll_mean) / (ll_robust + 1e-6) + 0.25 * abs(incident::INT - li_mean) / (li_robust + 1e-6) AS zr FROM scored JOIN ws USING (trace_id)),
 tp2 AS (SELECT *, least(greatest(0.55 * (0.45 * incident::INT + 0.25 * latency + 0.15 * has_error::INT + 0.15 * near) + 0.45 * tanh(1.08 * zs), 0.02), 0.98) AS ps,
   least(greatest(0.55 * (0.45 * incident::INT + 0.25 * latency + 0.15 * has_error::INT + 0.15 * near) + 0.45 * tanh(1.08 * zr), 0.02), 0.98) AS pr0 FROM tz)"""
 _FLOOR = "CASE WHEN incident THEN greatest({p}, CASE WHEN has_error AND near >= 0.55 THEN 0.62 WHEN near >= 0.78 AND latency >= 0.58 THEN 0.56 WHEN near >= 0.88 AND latency >= 0.50 THEN 0.50 ELSE 0 END) ELSE {p} END"
