@@ -98,10 +98,10 @@ def online_state(points: DataFrame, min_history: int = 8, rate: float = 0.15) ->
 
 def exact_target(rows: DataFrame, target: int, *order: Column) -> DataFrame:
     """Exactly ``target`` rows (or all there are) in an order without ties, at least a floor of failed ones among them: their
-    share of all rows times 1.2, within 8 and 40 percent of the target."""
+    share of all rows times 1.4, within 8 and 40 percent of the target."""
     n = rows.agg(F.count("*").alias("n"), F.count_if("has_error").alias("e"))
     share = F.when(F.col("n") > 0, F.col("e") / F.col("n")).otherwise(0.0)
-    need = n.select(F.bround(target * clamp(F.greatest(F.lit(0.08), 1.2 * share), 0.08, 0.40)).cast("long").alias("need"))
+    need = n.select(F.bround(target * clamp(F.greatest(F.lit(0.08), 1.4 * share), 0.08, 0.40)).cast("long").alias("need"))
     placed = numbered(rows, ["has_error"], *order, name="own").where(F.col("own") <= target)
     placed = placed.crossJoin(F.broadcast(need)).withColumn("sure", F.col("has_error") & (F.col("own") <= F.col("need"))).drop("need")  # one row
     return numbered(placed, [], F.desc("sure"), *order, name="final_place").where(F.col("final_place") <= target)

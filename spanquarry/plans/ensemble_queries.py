@@ -151,7 +151,7 @@ def member_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{MEMBER}, sc AS (SELECT trace_id, has_error, round(0.7 * p_s + 0.3 * rca, 5) AS score FROM md2), t AS (SELECT greatest(1, round_even(count(*) * 0.01, 0))::BIGINT AS target,
-    round_even(greatest(1, round_even(count(*) * 0.01, 0)) * least(greatest(greatest(0.08, 1.2 * avg(has_error::INT)), 0.08), 0.40), 0) AS need FROM sc),
+    round_even(greatest(1, round_even(count(*) * 0.01, 0)) * least(greatest(greatest(0.08, 1.4 * avg(has_error::INT)), 0.08), 0.40), 0) AS need FROM sc),
   o AS (SELECT *, row_number() OVER (PARTITION BY has_error ORDER BY score DESC, trace_id) AS own FROM sc), g AS (SELECT o.*, target, has_error AND own <= need AS sure FROM o, t),
   f AS (SELECT *, row_number() OVER (ORDER BY sure DESC, score DESC, trace_id) AS final_place FROM g) SELECT trace_id, sure, score, final_place FROM f WHERE final_place <= target""")
 def exact_target(spark: SparkSession, sf_dir: str) -> DataFrame:
