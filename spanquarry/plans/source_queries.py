@@ -10,20 +10,39 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import storage
 from ..operators import folds, sampling, traces
+from ..sources import checked
 from ..sources.spans import otlp_rows
 from ..streaming import live, sampler
-from .base import TRACES, query, spans
+from .base import TRACES, query, spans, uniform
 from .window_queries import FOLDED, LOOKBACK, keep_sql, probabilities
 
 
 @query(f"WITH {TRACES} SELECT service, count(*) AS spans, count(DISTINCT trace_id) AS traces, sum(failed::INT)::BIGINT AS errors, min(start_us) * 1000 AS first_ns, max(start_us) * 1000 AS last_ns FROM sp GROUP BY service")
 def otlp_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as OTLP lines (one for each trace), read back by the OTLP reader."""
-    s = spans(spark, sf_dir)
+    lines = otlp_lines(spans(spark, sf_dir)).select("value")
+    return otlp_rows(lines).groupBy("service").agg(F.count("*").alias("spans"), F.count_distinct("trace_id").alias("traces"), F.count_if("failed").alias("errors"), F.min("start_ns").alias("first_ns"), F.max("start_ns").alias("last_ns"))
+
+
+def otlp_lines(s: DataFrame) -> DataFrame:
+    """trace_id, value: a line for each trace."""
     text = lambda k, v: F.struct(F.lit(k).alias("key"), F.struct(v.cast("string").alias("stringValue")).alias("value"))
     one = F.struct(F.col("trace_id").alias("traceId"), F.col("span_id").cast("string").alias("spanId"), (F.col("start_us") * 1000).cast("string").alias("startTimeUnixNano"), F.struct(F.when(F.col("failed"), "2").otherwise("0").alias("code")).alias("status"), F.array(text("service.name", F.col("service"))).alias("attributes"))
-    lines = s.groupBy("trace_id").agg(F.collect_list(one).alias("spans")).select(F.to_json(F.struct(F.array(F.struct(F.array(F.struct("spans")).alias("scopeSpans"))).alias("resourceSpans"))).alias("value"))
-    return otlp_rows(lines).groupBy("service").agg(F.count("*").alias("spans"), F.count_distinct("trace_id").alias("traces"), F.count_if("failed").alias("errors"), F.min("start_ns").alias("first_ns"), F.max("start_ns").alias("last_ns"))
+    return s.groupBy("trace_id").agg(F.collect_list(one).alias("spans")).select("trace_id", F.to_json(F.struct(F.array(F.struct(F.array(F.struct("spans")).alias("scopeSpans"))).alias("resourceSpans"))).alias("value"))
+
+
+@query(f"""WITH {TRACES}, b AS (SELECT trace_id, count(*) AS n, {uniform("trace_id", "'bad'")} AS u FROM sp GROUP BY trace_id)
+  SELECT 'accepted' AS reason, sum(n)::BIGINT AS n FROM b WHERE u >= 0.2 UNION ALL SELECT 'not JSON', count(*) FROM b WHERE u < 0.05 UNION ALL SELECT 'blank', count(*) FROM b WHERE u >= 0.05 AND u < 0.1
+  UNION ALL SELECT 'no spans', count(*) FROM b WHERE u >= 0.1 AND u < 0.15 UNION ALL SELECT 'no trace id', sum(n)::BIGINT FROM b WHERE u >= 0.15 AND u < 0.2""")
+def otlp_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as OTLP files of which a fifth of the lines is cut off, blank, without spans or without ids: what the
+    checked reader takes, and what it rejects for which reason."""
+    path = f"{storage.shared_dir(spark)}/otlp-{uuid.uuid4().hex}"
+    u = S.hash_uniform(F.col("trace_id"), "bad")
+    value = F.when(u < 0.05, F.substring("value", 1, 60)).when(u < 0.1, " ").when(u < 0.15, '{"resourceSpans": []}').when(u < 0.2, F.regexp_replace("value", '"traceId":"[^"]*"', '"traceId":""')).otherwise(F.col("value"))
+    otlp_lines(spans(spark, sf_dir)).select(value.alias("value")).write.text(path)
+    found = checked.otlp(spark, path)
+    return found.rows.groupBy(F.lit("accepted").alias("reason")).agg(F.count("*").alias("n")).unionByName(found.rejects.groupBy("reason").agg(F.count("*").alias("n")))
 
 
 @query(f"WITH {TRACES} SELECT sec // 3600 * 3600 AS start, service, count(*) AS n, sum(failed::INT)::BIGINT AS errors FROM sp GROUP BY 1, 2")

@@ -22,7 +22,11 @@ def whole(text: Column) -> Column:
 def span_csv(spark: SparkSession, path: str, duration_unit: str = "us") -> DataFrame:
     """Spans of CSV files: ids in lower case, rows without a start left out, a missing end or duration filled from the
     other, the operation cut to what follows its last slash. duration_us whatever unit the files use."""
-    raw = spark.read.csv(path, header=True, schema=SPAN_CSV)
+    return span_rows(spark.read.csv(path, header=True, schema=SPAN_CSV), duration_unit)
+
+
+def span_rows(raw: DataFrame, duration_unit: str = "us") -> DataFrame:
+    """Spans of rows as the CSV files have them, all text."""
     start, end, length = whole(F.col("StartTimeUnixNano")), whole(F.col("EndTimeUnixNano")), F.coalesce(whole(F.col("Duration")), F.lit(0))
     rows = raw.select(
         F.lower(F.trim("TraceID")).alias("trace_id"), F.trim("SpanID").alias("span_id"), F.when(F.col("ParentID") != "root", F.col("ParentID")).alias("parent_id"), F.coalesce(F.when(F.trim("PodName") != "", F.trim("PodName")), F.lit("unknown-service")).alias("pod"),

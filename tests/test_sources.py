@@ -101,3 +101,25 @@ def test_scenario_files_in_every_form(spark, tmp_path):
         (tmp_path / name).write_text(text)
     got = sorted((r.sid, r.ed - r.st) for r in R.scenarios(spark, str(tmp_path)).collect())
     assert got == [(k, 600) for k in ("l1", "l2", "m1", "m2", "o1", "s1")]
+
+
+def test_checked_readers_return_what_they_reject(spark, tmp_path):
+    from spanquarry.sources import checked
+
+    (tmp_path / "a.csv").write_text(HEAD + "ABC,1,root,p,/api/get,1000000,9000000,0\nABC,2\n,3,1,p,,5,2,3\nDEF,4,1,p,,bad,2,3\n")
+    got = checked.span_csv(spark, str(tmp_path / "a.csv"))
+    assert [r.span_id for r in got.rows.collect()] == ["1"] and (got.accepted, got.rejected) == (1, 3)
+    assert sorted((r.reason, r.file) for r in got.rejects.collect()) == [("fields", "a.csv"), ("no start", "a.csv"), ("no trace id", "a.csv")]
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "x.json").write_text(json.dumps({"ranked_candidates": ["m", "n"]}))
+    (tmp_path / "r" / "y.json").write_text("{broken")
+    (tmp_path / "r" / "z.json").write_text(json.dumps({"candidates": []}))
+    ranked = checked.ranking_json(spark, str(tmp_path / "r"))
+    assert sorted((r.sid, r.candidate) for r in ranked.rows.collect()) == [("x", "m"), ("x", "n")]
+    assert sorted((r.record, r.reason) for r in ranked.rejects.collect()) == [("y", "malformed"), ("z", "empty")]
+    span = {"traceId": "AB", "spanId": "1", "startTimeUnixNano": "5"}
+    lines = [{"resourceSpans": [{"scopeSpans": [{"spans": [span, {**span, "traceId": ""}, {**span, "startTimeUnixNano": "x"}]}]}]}, {"resourceSpans": []}]
+    (tmp_path / "o.jsonl").write_text("\n".join([*map(json.dumps, lines), "not json", ""]) + "\n")
+    otlp = checked.otlp(spark, str(tmp_path / "o.jsonl"))
+    assert [r.trace_id for r in otlp.rows.collect()] == ["ab"] and otlp.accepted == 1
+    assert sorted(r.reason for r in otlp.rejects.collect()) == ["blank", "no spans", "no start", "no trace id", "not JSON"] and otlp.rejected == 5
