@@ -47,7 +47,7 @@ BROADCAST_FILES = 50_000
 HEADER = np.dtype([("doc_id", ">i8"), ("seq_no", ">i4"), ("n_tokens", ">i4")])
 NO_ID = -(2**63)
 #: Sequences that a task gathers before it sends them; shares in which shards are written.
-TOGETHER, SHARES = 2048, 4
+TOGETHER, SHARES = 2048, 6
 
 
 _encoders: dict[int, tiktoken.Encoding] = {}
