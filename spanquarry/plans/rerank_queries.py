@@ -86,7 +86,7 @@ def pod_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
   lk AS (SELECT round_even(any_value(target) * least(greatest(0.08, 1.2 * count(*) FILTER (WHERE has_error) / count(*)), 0.40), 0) - count(*) FILTER (WHERE has_error AND k) AS lacking FROM sc),
   en AS (SELECT trace_id, row_number() OVER (ORDER BY score DESC, first DESC, trace_id) AS q FROM sc WHERE has_error AND NOT k), le AS (SELECT trace_id, row_number() OVER (ORDER BY score, first, trace_id DESC) AS q FROM sc WHERE k AND NOT has_error),
   mv AS (SELECT en.trace_id AS a, le.trace_id AS b FROM en JOIN le USING (q), lk WHERE q <= lacking)
-  SELECT trace_id, round(fit, 5) AS fit, round(score, 5) AS score, pooled, (k AND trace_id NOT IN (SELECT b FROM mv)) OR trace_id IN (SELECT a FROM mv) AS kept FROM sc""")
+  SELECT trace_id, round(fit, 5) AS fit, score, pooled, (k AND trace_id NOT IN (SELECT b FROM mv)) OR trace_id IN (SELECT a FROM mv) AS kept FROM sc""")
 def bias_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, tp, pods = _inputs(spark, sf_dir)
     found = traces.incidents(s).agg(F.min("st").alias("at"), F.collect_set("service").alias("causes")).first()  # services
@@ -94,4 +94,4 @@ def bias_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = clustered(probabilities(spark, sf_dir, tp)).select("trace_id", F.col("p").alias("p_s"), "p_d")
     rows = storage.stored(rerank.aligned(scored, state, rerank.bias(tp, pods, found["at"] or 0, REACH)), "aligned")
     causes = spark.createDataFrame([(found["causes"],)], "causes array<string>")
-    return rerank.rescued(tp, rows, causes, found["at"] or 0, SHARE).join(rows.select("trace_id", "fit"), "trace_id").select("trace_id", F.round("fit", 5).alias("fit"), F.round("score", 5).alias("score"), "pooled", "kept")
+    return rerank.rescued(tp, rows, causes, found["at"] or 0, SHARE).join(rows.select("trace_id", "fit"), "trace_id").select("trace_id", F.round("fit", 5).alias("fit"), "score", "pooled", "kept")
