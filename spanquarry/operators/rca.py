@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import stored
+from ..functions.storage import limited, stored
 from .traces import by_slots
 
 
@@ -57,37 +57,55 @@ def pagerank(edges: DataFrame, pref: DataFrame, iterations: int = 3, damping: fl
 DAMPING, CALLS, STEPS = 0.85, 0.01, 20
 
 
-def trace_walk(spans: DataFrame, traces: DataFrame, damping: float = DAMPING, calls: float = CALLS, steps: int = STEPS) -> DataFrame:
-    """op, score: a walk over the given traces and their operations, restarting at traces, those with few operations more
-    often. Traces pass their weight on to their operations in equal shares, operations theirs to their traces and, by
-    ``calls``, to the operations they call. Scores add up to 1.
+def trace_walk(spans: DataFrame, traces: DataFrame, by: tuple[str, ...] = (), damping: float = DAMPING, calls: float = CALLS, steps: int = STEPS) -> DataFrame:
+    """by, op, score: walks over the given traces (by, trace_id) and their operations, restarting at traces, those with few
+    operations more often. Traces pass their weight on to their operations in equal shares, operations theirs to their traces
+    and, by ``calls``, to the operations they call. A group's scores add up to 1; all groups step together.
 
-    Two steps lead from operations over traces to operations, so the traces are folded into weights between operations
-    once (partial sums before the shuffle); the steps then go over operations only and are stored every few.
+    Two steps lead from operations over traces to operations. The traces' operations are dealt out by trace and kept in that
+    order, so the way over a trace is a sum within it and only sums by operation are shuffled; no trace gives all pairs
+    of its operations. Two steps of the walk share a pass over the traces.
     """
-    seen = spans.join(traces.select("trace_id"), "trace_id", "left_semi")
-    pairs = stored(seen.select("trace_id", "op").distinct(), "walk")
-    per_trace = pairs.groupBy("trace_id").agg(F.count("*").alias("k"))
-    per_op = pairs.groupBy("op").agg(F.count("*").alias("m"))
-    total = per_trace.agg(F.sum(1 / F.col("k")).alias("all"))
-    held = pairs.join(per_trace, "trace_id")
-    to = held.join(per_op.withColumnRenamed("op", "from"), held.op == F.col("from")).select("trace_id", "from", "m")
-    weights = held.join(to, "trace_id").groupBy("from", "op").agg(F.sum(damping * damping / (F.col("k") * F.col("m"))).alias("w"))
-    edges = call_edges(seen)
-    out = edges.groupBy("parent").agg(F.sum("n").alias("out"))
-    direct = edges.join(out, "parent").select(F.col("parent").alias("from"), F.col("child").alias("op"), (damping * calls * F.col("n") / F.col("out")).alias("w"))
-    restart = held.crossJoin(F.broadcast(total)).groupBy("op").agg(F.sum(damping * (1 - damping) / (F.col("k") * F.col("k") * F.col("all"))).alias("r"))  # one row
-    weights, direct, restart = stored(weights, "walk"), stored(direct, "walk"), stored(restart, "walk")
-    ops = restart.select("op")
-    before, now = ops.withColumn("s", F.lit(0.0)), restart.select("op", F.col("r").alias("s"))
-    came = lambda w, s: w.join(s.withColumnRenamed("op", "from"), "from").select("op", (F.col("w") * F.col("s")).alias("s"))
-    for step in range(steps):
-        parts = came(weights, before).unionByName(came(direct, now)).unionByName(restart.select("op", F.col("r").alias("s")))
-        before, now = now, parts.groupBy("op").agg(F.sum("s").alias("s"))
-        if step % 4 == 3:
-            before, now = stored(before, "walk"), stored(now, "walk")
-    whole = now.agg(F.sum("s").alias("all"))
-    return now.crossJoin(F.broadcast(whole)).select("op", (F.col("s") / F.col("all")).alias("score"))  # one row
+    by, of = list(by), [*by, "trace_id"]
+    seen = spans.join(traces.select(*of), "trace_id")
+    within = Window.partitionBy(*of)
+    pairs = seen.select(*of, "op").repartition(*of).distinct().withColumn("k", F.count("*").over(within)).persist()
+    ops = stored(pairs.groupBy(*by, "op").agg(F.count("*").alias("m")).withColumn("id", F.monotonically_increasing_id()), "walk")
+    n = ops.count()
+    few = lambda frame: limited(frame, n, 24)
+    held = pairs.join(few(ops), [*by, "op"]).select(*of, "k", "m", "id").sortWithinPartitions(*of).persist()
+    up = seen.select(*of, F.col("span_id").alias("parent_id"), F.col("op").alias("from"))
+    edges = seen.join(up, [*of, "parent_id"]).groupBy(*by, "from", "op").agg(F.count("*").alias("n"))
+    edges = edges.join(few(ops.select(*by, "op", "id")), [*by, "op"]).join(few(ops.select(*by, F.col("op").alias("from"), F.col("id").alias("from_id"))), [*by, "from"])
+    edges = stored(edges.select("from_id", "id", "n"), "walk")
+    out = edges.groupBy("from_id").agg(F.sum("n").alias("out"))
+    edges = stored(edges.join(few(out), "from_id").select("from_id", "id", (damping * calls * F.col("n") / F.col("out")).alias("w")), "walk")
+    total = held.groupBy(*by).agg(F.sum(1 / (F.col("k") * F.col("k"))).alias("all"))  # 1 / k of each trace
+    restart = held.groupBy(*by, "id").agg(F.sum(damping * (1 - damping) / (F.col("k") * F.col("k"))).alias("r"))
+    restart = restart.join(F.broadcast(total), by) if by else restart.crossJoin(F.broadcast(total))  # one row
+    restart = stored(restart.select("id", (F.col("r") / F.col("all")).alias("r")), "walk")
+
+    def called(s: DataFrame, value: str) -> DataFrame:
+        return edges.join(few(s.select(F.col("id").alias("from_id"), F.col(value).alias("s"))), "from_id").select("id", (F.col("w") * F.col("s")).alias("s"))
+
+    # "was", "now": the last two steps of the walk; a round makes the next two
+    score = restart.select("id", F.lit(0.0).alias("was"), F.col("r").alias("now"))
+    for done in range(0, steps, 2):
+        over = held.join(few(score), "id")
+        over = over.select("id", *[(damping * damping / F.col("k") * F.sum(F.col(c) / F.col("m")).over(within)).alias(c) for c in ("was", "now")])
+        parts = over.unionByName(called(score, "now").select("id", F.col("s").alias("was"), F.lit(0.0).alias("now"))).unionByName(restart.select("id", F.col("r").alias("was"), F.col("r").alias("now")))
+        score = stored(parts.groupBy("id").agg(F.sum("was").alias("was"), F.sum("now").alias("now")), "walk")
+        if done + 1 == steps:
+            score = score.withColumn("now", F.col("was"))
+            break
+        parts = score.unionByName(called(score, "was").select("id", F.lit(0.0).alias("was"), F.col("s").alias("now")))
+        score = stored(parts.groupBy("id").agg(F.sum("was").alias("was"), F.sum("now").alias("now")), "walk")
+    pairs.unpersist()
+    held.unpersist()
+    scored = ops.select(*by, "op", "id").join(few(score), "id")
+    whole = scored.groupBy(*by).agg(F.sum("now").alias("all"))
+    scored = scored.join(F.broadcast(whole), by) if by else scored.crossJoin(F.broadcast(whole))  # one row
+    return scored.select(*by, "op", (F.col("now") / F.col("all")).alias("score"))
 
 
 def two_sided_spectrum(spans: DataFrame, traces: DataFrame, bad_score: DataFrame, good_score: DataFrame) -> DataFrame:

@@ -129,7 +129,8 @@ WALKS = OPS + _walk_sql("a", "anomalous") + _walk_sql("g", "NOT anomalous")
 def _walks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     s = storage.stored(ops(spark, sf_dir), "ops")
     t = storage.stored(rca.anomalous(s, rca.slo(s), SLACK), "traces")
-    return s, t, rca.trace_walk(s, t.where("anomalous")), rca.trace_walk(s, t.where("not anomalous"))
+    both = storage.stored(rca.trace_walk(s, t, ("anomalous",)), "walk")
+    return s, t, both.where("anomalous").drop("anomalous"), both.where("not anomalous").drop("anomalous")
 
 
 @query(f"WITH {WALKS} SELECT op, round(sa.score, 8) AS anomalous_score, round(sg.score, 8) AS normal_score FROM sa FULL JOIN sg USING (op)")

@@ -256,3 +256,36 @@ def test_keep_fold_matches_a_plain_loop(spark):
             assert {r.trace_id: r.kept for r in folds.keep_fold(frame, beta, 500, (3, 4), soft=soft, chunk=chunk).collect()} == want
 
 
+
+
+@pytest.mark.parametrize("steps", [0, 3])
+def test_walks_of_two_groups_equal_the_loop(spark, steps):
+    rnd = random.Random(5)
+    rows = [(t, i, i - 1 if i else None, f"o{rnd.randrange(6)}") for t in range(30) for i in range(rnd.randrange(1, 6))] + [(99, i, 0 if i else None, f"o{i}") for i in range(80)]
+    side = {t: t % 2 == 0 for t in [*range(30), 99]}
+    want = {}
+    for bad in (True, False):
+        ops = {}
+        for t, _, _, o in rows:
+            if side[t] == bad:
+                ops.setdefault(t, set()).add(o)
+        m = {o: sum(o in s for s in ops.values()) for s in ops.values() for o in s}
+        at = {(t, i): o for t, i, _, o in rows if t in ops}
+        calls = [(at[t, p], o) for t, _, p, o in rows if t in ops and p is not None]
+        every = sum(1 / len(s) for s in ops.values())
+        r = {o: sum(0.85 * 0.15 / (len(s) ** 2 * every) for s in ops.values() if o in s) for o in m}
+        was, now = dict.fromkeys(m, 0.0), dict(r)
+        for _ in range(steps):
+            new = dict(r)
+            for s in ops.values():
+                for o in s:
+                    new[o] += 0.85**2 / len(s) * sum(was[f] / m[f] for f in s)
+            for f, o in calls:
+                new[o] += 0.85 * 0.01 / sum(x == f for x, _ in calls) * now[f]
+            was, now = now, new
+        want |= {(bad, o): v / sum(now.values()) for o, v in now.items()}
+    spans_ = spark.createDataFrame(rows, "trace_id long, span_id long, parent_id long, op string")
+    got = rca.trace_walk(spans_, spark.createDataFrame(list(side.items()), "trace_id long, bad boolean"), ("bad",), steps=steps).collect()
+    assert {(r.bad, r.op): r.score for r in got} == pytest.approx(want)
+    one = rca.trace_walk(spans_, spark.createDataFrame([(t,) for t in side if side[t]], "trace_id long"), steps=steps).collect()
+    assert {(True, r.op): r.score for r in one} == pytest.approx({k: v for k, v in want.items() if k[0]})
