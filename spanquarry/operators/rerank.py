@@ -29,7 +29,7 @@ FIRST, SECOND, PRIOR = (0.60, 0.15, 0.25), (0.55, 0.25, 0.20), (0.40, 0.30, 0.20
 def pod_metrics(spans: DataFrame, points: DataFrame, width: int = 3600) -> DataFrame:
     """pod, sec (of the slot) and the six metrics of spans that carry their pod: mean and largest weight, the longest time
     since the start of a span's trace (ms), spans, traces at work, share of failed spans."""
-    rows = spans.join(points.select("trace_id", F.floor(F.col("start_ns") / 1000).alias("t0")), "trace_id")
+    rows = spans.join(points.select("trace_id", F.expr("start_ns div 1000").alias("t0")), "trace_id")
     slot = (F.floor(F.col("sec") / width) * width).cast("long").alias("sec")
     of_traces = rows.groupBy("pod", slot, "trace_id").agg(F.sum("weight").alias("w"), F.count("weight").alias("k"), F.max("weight").alias("mem"), F.max("start_us").alias("last"), F.first("t0").alias("t0"), F.count("*").alias("n"), F.count_if("failed").alias("e"))
     return of_traces.groupBy("pod", "sec").agg(

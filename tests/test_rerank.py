@@ -88,3 +88,11 @@ def test_empty_tables(spark):
     scored = points.select("trace_id", F.lit(0.5).alias("p_s"), F.lit(0.5).alias("p_d"))
     rows = rerank.aligned(scored, state, rerank.bias(points, pods, 0, 600))
     assert rerank.rescued(points, rows, spark.createDataFrame([(["a"],)], "causes array<string>"), 0, 0.1).count() == 0
+
+
+def test_latency_is_exact_to_the_microsecond(spark):
+    # As doubles, nanoseconds since 1970 are 256 apart, so a division by 1000 fell short of some starts by a microsecond.
+    starts = range(1_704_067_271_172_425, 1_704_067_271_172_425 + 500)
+    spans = spark.createDataFrame([(f"t{at}", f"p{at}", at, at // 1_000_000, 1.0, False) for at in starts], "trace_id string, pod string, start_us long, sec long, weight double, failed boolean")
+    points = spark.createDataFrame([(f"t{at}", at * 1000) for at in starts], "trace_id string, start_ns long")
+    assert {r.latency for r in rerank.pod_metrics(spans, points).collect()} == {0.0}
