@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, drop_two_parts, jaccard, nearest_rank, sigmoid, top_weighted
 from ..functions.storage import bounded, stored
+from .ordering import CHUNK
 from .retention import medians
 from .traces import as_of
 
@@ -24,18 +25,30 @@ def rolling_scale(metrics: DataFrame, value: str, last: int = 120, q: float = 0.
 
 def deviations(metrics: DataFrame, values: list[str]) -> DataFrame:
     """metrics with value_z: distance from the service's median in robust scales (the larger of the standard and the
-    scaled median deviation), within 0 and 10. The medians look at the whole history."""
+    scaled median deviation), within 0 and 10. The medians look at the whole history: within one window for services of up
+    to ``ordering.CHUNK`` rows, from counts and buckets for larger ones."""
     metrics = stored(metrics, "metrics")
+    large = stored(metrics.groupBy("service").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("service"), "large")
+    own = Window.partitionBy("service")
+    small = metrics.join(bounded(large, 64), "service", "left_anti")
+    small = small.select("*", *[F.stddev_pop(v).over(own).alias(f"{v}_std") for v in values], *[F.percentile(v, 0.5).over(own).alias(f"{v}_med") for v in values])
+    rows = small.select("*", *[F.percentile(F.abs(F.col(v) - F.col(f"{v}_med")), 0.5).over(own).alias(f"{v}_mad") for v in values])
+    if large.take(1):
+        rows = rows.unionByName(_with_scales(metrics.join(bounded(large, 64), "service", "left_semi"), values))
+    for v in values:
+        scale = F.greatest(F.lit(1e-6), f"{v}_std", 1.4826 * F.col(f"{v}_mad"))
+        rows = rows.withColumn(f"{v}_z", clamp(F.abs(F.col(v) - F.col(f"{v}_med")) / scale, 0.0, 10.0)).drop(f"{v}_med", f"{v}_std", f"{v}_mad")
+    return rows
+
+
+def _with_scales(metrics: DataFrame, values: list[str]) -> DataFrame:
+    """metrics with value_std, value_med and value_mad of the service, without a task that sees a whole service."""
     rows = metrics.join(metrics.groupBy("service").agg(*[F.stddev_pop(v).alias(f"{v}_std") for v in values]), "service")
     each = F.explode(F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("v")) for v in values]))
     found = medians(metrics.select("service", each.alias("x")).select("service", "x.*"), ["service", "name"], "v")
     of = lambda v, c: F.max(F.when(F.col("name") == v, F.col(c)))
     wide = found.groupBy("service").agg(*[of(v, "med").alias(f"{v}_med") for v in values], *[of(v, "mad").alias(f"{v}_mad") for v in values])
-    rows = rows.join(bounded(wide, 32 * len(values)), "service")
-    for v in values:
-        scale = F.greatest(F.lit(1e-6), f"{v}_std", 1.4826 * F.col(f"{v}_mad"))
-        rows = rows.withColumn(f"{v}_z", clamp(F.abs(F.col(v) - F.col(f"{v}_med")) / scale, 0.0, 10.0)).drop(f"{v}_med", f"{v}_std", f"{v}_mad")
-    return rows
+    return rows.join(bounded(wide, 32 * len(values)), "service")
 
 
 def registry(services: DataFrame, pods: DataFrame, best: int = 8) -> DataFrame:
@@ -63,8 +76,8 @@ def registry_confidence(services: DataFrame, pods: DataFrame, width: int = 3600,
     """
     parts = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[-_]"), lambda p: p != ""))
     slots = lambda rows, c: rows.select(c, F.floor(F.col("sec") / width).alias("slot")).groupBy(c, "slot").agg(F.count("*").alias("n"))
-    left, right = slots(services, "service"), slots(pods, "pod")
-    shared = left.select("service", "slot").join(right.select("pod", "slot"), "slot").groupBy("service", "pod").agg(F.count("*").alias("shared"))
+    left, right = slots(services, "service"), slots(pods, "pod").repartition("pod")  # what follows is by pod
+    shared = right.select("pod", "slot").join(bounded(left.select("service", "slot"), 64), "slot").groupBy("service", "pod").agg(F.count("*").alias("shared"))
     a, b = left.groupBy("service").agg(F.count("*").alias("a")), right.groupBy("pod").agg(F.count("*").alias("b"), F.sum("n").alias("seen"))
     most = b.agg(F.max("seen").alias("most"))
     by_name = a.select("service", F.explode(parts(F.col("service"))).alias("part")).join(b.select("pod", F.explode(parts(F.col("pod"))).alias("part")), "part").select("service", "pod").distinct()

@@ -14,7 +14,7 @@ from ..functions.scalars import clamp, cosine, top_weighted
 from ..functions.storage import bounded, stored
 from .metrics import deviations
 from .ordering import numbered
-from .traces import as_of
+from .traces import intervals
 from .windows import local_density
 
 METRICS = ("cpu", "mem", "latency", "workload", "node", "error_rate")
@@ -47,20 +47,44 @@ def snapshots(points: DataFrame, pods: DataFrame, registry: DataFrame, lookback:
     """trace_id, sec, service, pod, confidence, m_sec and the deviations: for each service of a trace and each of its pods
     in the registry (service, pod, confidence; a few for a service) the latest row at most ``lookback`` seconds old. Pods
     without one are left out."""
-    asked = points.select("trace_id", "sec", F.explode("services").alias("asked")).join(bounded(registry.withColumnRenamed("service", "asked"), 128), "asked")
-    keyed = asked.select(F.struct("trace_id", "asked", "confidence").alias("trace_id"), "sec", F.col("pod").alias("service"))
-    found = as_of(keyed, pods.withColumnRenamed("pod", "service"), lookback).where("m_sec is not null")
-    return found.select("trace_id.trace_id", "sec", F.col("trace_id.asked").alias("service"), F.col("service").alias("pod"), "trace_id.confidence", "m_sec", *[f"{m}_z" for m in METRICS])
+    found = snapshot_lists(points, pods, registry, lookback)
+    return found.select("trace_id", "sec", "service", F.explode("pods").alias("x")).select("trace_id", "sec", "service", "x.*")
+
+
+def snapshot_lists(points: DataFrame, pods: DataFrame, registry: DataFrame, lookback: int, longest: int = 512, width: int = 3600) -> DataFrame:
+    """The same with a service's pods as one array: trace_id, sec, service, pods. Only pods of the registry are looked at.
+    Each service has a list for each time slot, from which a trace picks what fits, so a trace's services are joined once and
+    nothing is grouped after it; lists of more than ``longest`` rows are joined row by row instead."""
+    registry = bounded(registry, 128)
+    valid = intervals(pods.join(registry.select("pod").distinct(), "pod", "left_semi").withColumnRenamed("pod", "service"), lookback, width)
+    one = F.struct("pod", "confidence", "m.*").alias("one")
+    valid = stored(valid.withColumnRenamed("service", "pod").join(registry, "pod").select("service", "slot", "until", one), "snapshots")
+    asked = points.select("trace_id", "sec", F.explode("services").alias("service"), F.floor(F.col("sec") / width).alias("slot"))
+    lists = valid.groupBy("service", "slot").agg(F.collect_list(F.struct("until", "one")).alias("all"))
+    if (lists.agg(F.max(F.size("all"))).first()[0] or 0) > longest:
+        fits = F.col("sec").between(F.col("one.m_sec"), F.col("until"))
+        return asked.join(bounded(valid, 160), ["service", "slot"]).where(fits).groupBy("trace_id", "sec", "service").agg(F.collect_list("one").alias("pods"))
+    found = F.filter("all", lambda x: F.col("sec").between(x["one"]["m_sec"], x["until"]))
+    rows = asked.join(bounded(lists, 4096), ["service", "slot"]).select("trace_id", "sec", "service", F.transform(found, lambda x: x["one"]).alias("pods"))
+    return rows.where(F.size("pods") > 0)
+
+
+def _listed(found: DataFrame) -> DataFrame:
+    if "pods" in found.columns:
+        return found
+    others = [c for c in found.columns if c not in ("trace_id", "sec", "service")]
+    return found.groupBy("trace_id", "sec", "service").agg(F.collect_list(F.struct(*others)).alias("pods"))
 
 
 def pod_evidence(points: DataFrame, found: DataFrame, lookback: int) -> DataFrame:
-    """trace_id, intensity, coverage, reliability, evidence, unmatched of all points, from their snapshots: a pod's weighted
-    deviations times its reliability (confidence, and age within the lookback); of a service the three strongest pods count,
-    of a trace the three strongest services. coverage is the share of services with a pod, unmatched the number without;
-    reliability the mean over the services of that over their pods."""
-    rel = F.col("confidence") * F.exp(-(F.col("sec") - F.col("m_sec")) / lookback)
-    strength = F.greatest(F.lit(0.0), sum((w * F.col(f"{m}_z") for m, w in INTENSITY.items()), F.lit(0.0)))
-    each = found.groupBy("trace_id", "service").agg(top_weighted(F.collect_list(strength * rel)).alias("strength"), F.avg(rel).alias("rel"))
+    """trace_id, intensity, coverage, reliability, evidence, unmatched of all points, from their snapshots (rows or lists): a
+    pod's weighted deviations times its reliability (confidence, and age within the lookback); of a service the three strongest
+    pods count, of a trace the three strongest services. coverage is the share of services with a pod, unmatched the number
+    without; reliability the mean over the services of that over their pods."""
+    rel = lambda x: x["confidence"] * F.exp(-(F.col("sec") - x["m_sec"]) / lookback)
+    strength = lambda x: F.greatest(F.lit(0.0), sum((w * x[f"{m}_z"] for m, w in INTENSITY.items()), F.lit(0.0)))
+    mean = F.aggregate(F.transform("pods", rel), F.lit(0.0), lambda a, x: a + x) / F.size("pods")
+    each = _listed(found).select("trace_id", top_weighted(F.transform("pods", lambda x: strength(x) * rel(x))).alias("strength"), mean.alias("rel"))
     rows = each.groupBy("trace_id").agg(top_weighted(F.collect_list("strength")).alias("intensity"), F.avg("rel").alias("reliability"), F.count("*").alias("known"))
     rows = points.select("trace_id", F.size("services").alias("n")).join(rows, "trace_id", "left").na.fill(0)
     coverage = F.when(F.col("n") > 0, F.col("known") / F.col("n")).otherwise(0.0)
@@ -69,12 +93,12 @@ def pod_evidence(points: DataFrame, found: DataFrame, lookback: int) -> DataFram
 
 def states(points: DataFrame, found: DataFrame) -> DataFrame:
     """trace_id, state: means over a trace's services of cpu, memory, latency, (the trace's own error,) node and workload
-    deviations times the confidence, of the pod whose weighted deviations times the confidence are the largest (to six
-    decimals; then the first name). Services without a pod don't count; a trace without any has zeros."""
-    quality = F.col("confidence") * sum((w * F.col(f"{m}_z") for m, w in QUALITY.items()), F.lit(0.0))
-    own = F.struct(*[(F.col("confidence") * F.col(f"{m}_z")).alias(m) for m in QUALITY])
-    best = found.groupBy("trace_id", "service").agg(F.min_by(own, F.struct(-F.round(quality, 6), "pod")).alias("own"))
-    means = best.groupBy("trace_id").agg(*[F.avg(f"own.{m}").alias(m) for m in QUALITY])
+    deviations times the confidence, of the pod (snapshots: rows or lists) whose weighted deviations times the confidence are
+    the largest (to six decimals; then the first name). Services without a pod don't count; a trace without any has zeros."""
+    quality = lambda x: x["confidence"] * sum((w * x[f"{m}_z"] for m, w in QUALITY.items()), F.lit(0.0))
+    own = lambda x: [(x["confidence"] * x[f"{m}_z"]).alias(m) for m in QUALITY]
+    best = F.array_min(F.transform("pods", lambda x: F.struct((-F.round(quality(x), 6)).alias("least"), x["pod"].alias("pod"), *own(x))))
+    means = _listed(found).select("trace_id", best.alias("own")).groupBy("trace_id").agg(*[F.avg(f"own.{m}").alias(m) for m in QUALITY])
     rows = points.select("trace_id", F.col("has_error").cast("double").alias("error")).join(means, "trace_id", "left").na.fill(0.0)
     return rows.select("trace_id", F.array("cpu", "mem", "latency", "error", "node", "workload").alias("state"))
 

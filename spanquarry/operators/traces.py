@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import bounded, stored
+
 
 def spans_of_events(events: DataFrame) -> DataFrame:
     """Events as spans: a user's day is a trace, an event a span, its type the service, its value the span's weight."""
@@ -65,12 +67,21 @@ def membership(points: DataFrame, windows: DataFrame, width: int = 3600) -> Data
     return left.join(right, "slot").where("sec between st and ed").groupBy("trace_id").agg(F.array_sort(F.collect_set("sid")).alias("sids"))
 
 
+def intervals(metrics: DataFrame, lookback: int, width: int = 3600) -> DataFrame:
+    """service, slot, until, m (m_sec and the other columns) of metric rows (service, sec, ...): each row for the time slots
+    of the stretch, m_sec to until, in which it is the latest of its service and at most lookback seconds old. The stretches
+    of a service don't overlap; of several rows of a second the largest counts."""
+    others = [c for c in metrics.columns if c not in ("service", "sec")]
+    rows = metrics.groupBy("service", F.col("sec").alias("_sec")).agg(F.max(F.struct(F.col("sec").alias("m_sec"), *others)).alias("m"))
+    following = F.lead("_sec").over(Window.partitionBy("service").orderBy("_sec"))
+    rows = rows.withColumn("until", F.least(following - 1, F.col("_sec") + lookback))  # the last has none after it
+    return rows.select("service", F.explode(by_slots(F.col("_sec"), F.col("until"), width)).alias("slot"), "until", "m")
+
+
 def as_of(points: DataFrame, metrics: DataFrame, lookback: int, width: int = 3600) -> DataFrame:
     """points (trace_id, sec, service) with the latest metric row of the service at or before sec, at most lookback
-    seconds old: metrics go into their slot and the following ones that the lookback reaches; null if there is none."""
-    spread = metrics.withColumnRenamed("sec", "m_sec").withColumn("slot", F.explode(F.sequence(F.floor(F.col("m_sec") / width), F.floor((F.col("m_sec") + lookback) / width))))
-    names = [c for c in spread.columns if c not in ("slot", "service")]
-    left = points.withColumn("slot", F.floor(F.col("sec") / width))
-    fits = F.col("m_sec").between(F.col("sec") - lookback, F.col("sec"))
-    found = left.join(spread, ["service", "slot"], "left").groupBy("trace_id", "sec", "service").agg(F.max(F.when(fits, F.struct("m_sec", *[n for n in names if n != "m_sec"]))).alias("m"))
-    return found.select("trace_id", "sec", "service", "m.*")
+    seconds old; null if there is none. An equi-join on (service, time slot) with the stretches in which rows are the
+    latest, of which one at most fits, so nothing is grouped after it."""
+    spread = stored(intervals(metrics, lookback, width).withColumnRenamed("service", "_service").withColumnRenamed("slot", "_slot"), "as_of")
+    here = (F.col("service") == F.col("_service")) & (F.floor(F.col("sec") / width) == F.col("_slot")) & F.col("sec").between(F.col("m.m_sec"), F.col("until"))
+    return points.join(bounded(spread, 128), here, "left").select("trace_id", "sec", "service", "m.*")

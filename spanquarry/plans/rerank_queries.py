@@ -54,7 +54,7 @@ def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 
 def _snapshots(spark: SparkSession, sf_dir: str, tp: DataFrame, pods: DataFrame) -> DataFrame:
     registry = storage.stored(registry_confidence(spark, sf_dir).select("service", "pod", "confidence"), "registry")
-    return rerank.snapshots(tp, pods, registry, AGE)
+    return rerank.snapshot_lists(tp, pods, registry, AGE)
 
 
 @query(f"WITH {TRACES}, {POD_Z} SELECT pod, sec, {_each('round({m}_z, 6) AS {m}_z')} FROM pz")

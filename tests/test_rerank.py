@@ -5,7 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from spanquarry.operators import rerank
+from spanquarry.operators import metrics, rerank
 
 POINTS = "trace_id string, sec long, duration_ms double, has_error boolean, services array<string>"
 PODS = "pod string, sec long, " + ", ".join(f"{m}_z double" for m in rerank.METRICS)
@@ -96,3 +96,36 @@ def test_latency_is_exact_to_the_microsecond(spark):
     spans = spark.createDataFrame([(f"t{at}", f"p{at}", at, at // 1_000_000, 1.0, False) for at in starts], "trace_id string, pod string, start_us long, sec long, weight double, failed boolean")
     points = spark.createDataFrame([(f"t{at}", at * 1000) for at in starts], "trace_id string, start_ns long")
     assert {r.latency for r in rerank.pod_metrics(spans, points).collect()} == {0.0}
+
+
+def test_lists_and_rows_of_snapshots_agree(spark):
+    rnd = random.Random(4)
+    points = spark.createDataFrame([(f"t{k}", rnd.randrange(20_000), 1.0, k % 2 == 0, rnd.sample("abc", rnd.randrange(0, 4))) for k in range(60)], POINTS)
+    held = {(p, sec): [float(rnd.randrange(10)) for _ in rerank.METRICS] for p in "pqr" for sec in rnd.sample(range(20_000), 12)}
+    pods = spark.createDataFrame([(p, sec, *z) for (p, sec), z in held.items()], PODS)
+    named = [("a", "p", 0.5), ("a", "q", 0.8), ("b", "p", 1.0), ("c", "r", 0.3), ("c", "missing", 0.9)]
+    registry = spark.createDataFrame(named, "service string, pod string, confidence double")
+    want = set()
+    for t in points.collect():
+        for service in t.services:
+            for s, p, _ in named:
+                fit = [at for q, at in held if q == p and t.sec - 3000 <= at <= t.sec]
+                if s == service and fit:
+                    want.add((t.trace_id, service, p, max(fit), held[p, max(fit)][0]))
+    rows = rerank.snapshots(points, pods, registry, 3000)
+    assert {(r.trace_id, r.service, r.pod, r.m_sec, r.cpu_z) for r in rows.collect()} == want
+    lists = rerank.snapshot_lists(points, pods, registry, 3000, longest=1)
+    keyed = lambda frame: {r.trace_id: tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in frame.collect()}
+    for found in (rerank.snapshot_lists(points, pods, registry, 3000), lists):
+        assert keyed(rerank.pod_evidence(points, found, 3000)) == keyed(rerank.pod_evidence(points, rows, 3000))
+        assert {r.trace_id: r.state for r in rerank.states(points, found).collect()} == {r.trace_id: pytest.approx(r.state) for r in rerank.states(points, rows).collect()}
+
+
+def test_large_and_small_histories_deviate_alike(spark, monkeypatch):
+    rnd = random.Random(6)
+    table = spark.createDataFrame([(s, k, float(rnd.randrange(30)), rnd.random()) for s, n in (("a", 40), ("b", 7), ("c", 1)) for k in range(n)], "service string, sec long, x double, y double")
+    key = lambda frame: {(r.service, r.sec): pytest.approx((r.x_z, r.y_z)) for r in frame.collect()}
+    small = metrics.deviations(table, ["x", "y"])
+    monkeypatch.setattr(metrics, "CHUNK", 10)
+    large = {(r.service, r.sec): (r.x_z, r.y_z) for r in metrics.deviations(table, ["x", "y"]).collect()}
+    assert large == key(small) and len(large) == 48
