@@ -9,8 +9,9 @@ nothing starts anew at a border and no task or pandas frame holds more than a ch
 from __future__ import annotations
 
 import json
+import uuid
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.scalars import hash_uniform
-from ..functions.storage import stored
+from ..functions.storage import shared_dir, stored
 from .ordering import numbered
 
 #: Rows in a chunk.
@@ -81,7 +82,7 @@ class LeaderIndex:
             self.known[tokens] = (best, how)
         return self.known[tokens]
 
-    def add(self, sec: int, tokens: list[str]) -> tuple[int, float, int]:
+    def add(self, sec: int, tokens: Iterable[str]) -> tuple[int, float, int]:
         """Cluster, similarity, and members of the lookback before this one."""
         own = frozenset(tokens)
         self.expire(sec)
@@ -155,27 +156,33 @@ class KeepFold:
         return self
 
 
-def chained(rows: DataFrame, step: Callable[[str | None, Iterator[dict]], Iterator[dict | str]], schema: str, chunk: int = CHUNK) -> DataFrame:
-    """rows (with place, from 1) through ``step``, a chunk after the other. step(state, batches of columns as lists) gives
-    columns of ``schema`` and, last, the state as text. Only the states reach the driver."""
-    n = rows.agg(F.max("place")).first()[0] or 0
+def chained(rows: DataFrame, step: Callable[[str | None, Iterator[pa.RecordBatch]], Iterator[dict | str]], schema: str, chunk: int = CHUNK) -> DataFrame:
+    """rows (with place, from 1) through ``step``, a chunk after the other. step(state, batches) gives columns of ``schema``
+    and, last, the state as text. Only the states reach the driver. Each chunk has its own folder, so none is read for
+    another; what a step needs is computed before they are written, by all tasks."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    dealt = rows.withColumn("_chunk", F.floor((F.col("place") - 1) / chunk).cast("int"))
+    dealt.repartition("_chunk").sortWithinPartitions("_chunk", "place").write.partitionBy("_chunk").parquet(path)
+    n = spark.read.parquet(path).agg(F.max("place")).first()[0] if rows.take(1) else 0
     made = to_arrow_schema(StructType.fromDDL(f"{schema}, _state string"))
     state, out = None, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in step(state, (b.to_pydict() for b in batches)):
+        for found in step(state, batches):
             if isinstance(found, str):
                 found = {"_state": [found]}
             size = len(next(iter(found.values())))
-            yield pa.RecordBatch.from_arrays([pa.array(found.get(f.name, [None] * size), f.type) for f in made], schema=made)
+            columns = [found.get(f.name, [None] * size) for f in made]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, made, strict=True)], schema=made)
 
-    for first in range(1, n + 1, chunk):
-        part = rows.where(F.col("place").between(first, first + chunk - 1)) if n > chunk else rows
+    for k in range(-(-n // chunk)):
+        part = spark.read.schema(rows.schema).parquet(f"{path}/_chunk={k}")
         done = stored(part.coalesce(1).sortWithinPartitions("place").mapInArrow(run, f"{schema}, _state string"), "fold")
-        state = done.where("_state is not null").first()._state if first + chunk <= n else None
+        state = done.where("_state is not null").first()._state if (k + 1) * chunk < n else None
         done = done.where("_state is null").drop("_state")
         out = done if out is None else out.unionByName(done)
-    return out if out is not None else rows.sparkSession.createDataFrame([], schema)
+    return out if out is not None else spark.createDataFrame([], schema)
 
 
 def in_order(rows: DataFrame) -> DataFrame:
@@ -185,16 +192,19 @@ def in_order(rows: DataFrame) -> DataFrame:
 
 def leader_clusters(rows: DataFrame, lookback: int, least: float = 0.5, chunk: int = CHUNK) -> DataFrame:
     """trace_id, cluster, similarity, mass (members of the lookback before it) of rows trace_id, start_ns, sec, tokens; see
-    ``LeaderIndex``. The cost of a trace is a look-up of its token set."""
+    ``LeaderIndex``. The cost of a trace is a look-up of its token set, and each batch makes a set but once."""
 
-    def step(state: str | None, batches: Iterator[dict]) -> Iterator[dict | str]:
+    def step(state: str | None, batches: Iterator[pa.RecordBatch]) -> Iterator[dict | str]:
         index = LeaderIndex(lookback, least).load(state)
         for rows in batches:
-            found = [index.add(s, t) for s, t in zip(rows["sec"], rows["tokens"], strict=True)]
+            texts = rows["tokens"].dictionary_encode()
+            sets = [frozenset(json.loads(x)) for x in texts.dictionary.to_pylist()]
+            found = [index.add(s, sets[k]) for s, k in zip(rows["sec"].to_pylist(), texts.indices.to_pylist(), strict=True)]
             yield {"trace_id": rows["trace_id"]} | {c: [f[k] for f in found] for k, c in enumerate(("cluster", "similarity", "mass"))}
         yield index.dump()
 
-    return chained(in_order(rows.select("trace_id", "start_ns", "sec", "tokens")), step, "trace_id string, cluster long, similarity double, mass long", chunk)
+    rows = rows.select("trace_id", *[c for c in ("place",) if c in rows.columns], "start_ns", "sec", F.to_json("tokens").alias("tokens"))
+    return chained(in_order(rows), step, "trace_id string, cluster long, similarity double, mass long", chunk)
 
 
 DRAWS = ("u", "v", "w")
@@ -203,17 +213,18 @@ DRAWS = ("u", "v", "w")
 def keep_fold(rows: DataFrame, beta: float, lookback: int, seeds: tuple[int, ...], normal: float = 0.3, soft: bool = False, chunk: int = CHUNK) -> DataFrame:
     """trace_id, kept (for each seed, in order) of rows trace_id, start_ns, sec, p_s, p_d, has_error, incident, near, alarm;
     see ``KeepFold``. All seeds go in one pass; the draws are hashes, so a rerun decides alike."""
-    rows = in_order(rows.select("trace_id", "start_ns", "sec", "p_s", "p_d", "has_error", "incident", "near", "alarm"))
-    for k, name in enumerate(DRAWS, 1):
-        rows = rows.withColumn(name, F.array(*[hash_uniform(F.col("trace_id"), seed, k) for seed in seeds]))
+    names = [f"{name}{k}" for name in DRAWS for k in range(len(seeds))]
+    draws = [hash_uniform(F.col("trace_id"), seed, k).alias(f"{name}{i}") for k, name in enumerate(DRAWS, 1) for i, seed in enumerate(seeds)]
+    rows = in_order(rows.select("trace_id", *[c for c in ("place",) if c in rows.columns], "start_ns", "sec", "p_s", "p_d", "has_error", "incident", "near", "alarm", *draws))
 
-    def step(state: str | None, batches: Iterator[dict]) -> Iterator[dict | str]:
+    def step(state: str | None, batches: Iterator[pa.RecordBatch]) -> Iterator[dict | str]:
         states = json.loads(state) if state else [None] * len(seeds)
         folds = [KeepFold(beta, lookback, normal, soft).load(s) for s in states]
         for rows in batches:
-            columns = [rows[c] for c in ("sec", "p_s", "p_d", "has_error", "incident", "near", "alarm", *DRAWS)]
-            kept = [[f.decide(s, p, d, e, i, near, a, u[k], v[k], w[k]) for k, f in enumerate(folds)] for s, p, d, e, i, near, a, u, v, w in zip(*columns, strict=True)]
-            yield {"trace_id": rows["trace_id"], "kept": kept}
+            facts = [rows[c].to_pylist() for c in ("sec", "p_s", "p_d", "has_error", "incident", "near", "alarm")]
+            of = dict(zip(names, (rows[c].to_pylist() for c in names), strict=True))
+            kept = [list(map(f.decide, *facts, *[of[f"{name}{k}"] for name in DRAWS])) for k, f in enumerate(folds)]
+            yield {"trace_id": rows["trace_id"], "kept": list(zip(*kept, strict=True))}
         yield json.dumps([f.dump() for f in folds])
 
     return chained(rows, step, "trace_id string, kept array<boolean>", chunk)

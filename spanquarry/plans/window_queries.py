@@ -113,7 +113,7 @@ def probabilities(spark: SparkSession, sf_dir: str, tp: DataFrame | None = None)
     """Traces (those given, if they are at hand) with incident, latency, nearness to the first incident, error shock z and
     sampling probability p."""
     s = spans(spark, sf_dir)
-    tp = retention.latency(traces.trace_points(s) if tp is None else tp)
+    tp = retention.latency(storage.stored(traces.trace_points(s), "points") if tp is None else tp)
     found = traces.incidents(s)
     facts = found.agg(F.min("st").alias("at"), F.collect_set("service").alias("causes"))
     stats = windows.lookback_stats(tp, LOOKBACK, {"error": F.col("has_error").cast("int")})
@@ -162,7 +162,8 @@ FOLDED = f"WITH RECURSIVE {TRACES}, {INCIDENTS}, {STATS}, {SCORED}, {FOLDS}"
 
 
 def clustered(rows: DataFrame) -> DataFrame:
-    """rows with cluster, similarity, mass, p_d and alarm."""
+    """rows, stored as they are gone over twice, with cluster, similarity, mass, p_d and alarm."""
+    rows = storage.stored(rows, "scored")
     found = folds.leader_clusters(rows.withColumn("tokens", sampling.tokens()), LOOKBACK)
     rows = rows.join(found, "trace_id").withColumn("alarm", F.col("z") >= 3)
     return rows.withColumn("p_d", sampling.diversity(F.col("mass"), F.col("similarity"), F.col("incident")))

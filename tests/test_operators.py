@@ -2,6 +2,7 @@
 
 import math
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -289,3 +290,15 @@ def test_walks_of_two_groups_equal_the_loop(spark, steps):
     assert {(r.bad, r.op): r.score for r in got} == pytest.approx(want)
     one = rca.trace_walk(spans_, spark.createDataFrame([(t,) for t in side if side[t]], "trace_id long"), steps=steps).collect()
     assert {(True, r.op): r.score for r in one} == pytest.approx({k: v for k, v in want.items() if k[0]})
+
+
+def test_a_chunk_of_a_fold_is_read_alone(spark):
+    def step(state, batches):
+        yield {"n": [sum(b.num_rows for b in batches)]}
+        yield str(int(state or 0) + 1)
+
+    rows = spark.range(1, 26).select(F.col("id").alias("place"))
+    found = folds.chained(rows, step, "n long", 10)
+    assert sorted(r.n for r in found.collect()) == [5, 10, 10]
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert any(len(list(p.glob("_chunk=*"))) == 3 for p in Path(shared).glob("chunks-*"))
