@@ -34,8 +34,8 @@ def sums_at(rows: DataFrame, values: list[str], asked: DataFrame) -> DataFrame:
 
 
 def lookback_stats(points: DataFrame, lookback: int, values: dict[str, Column]) -> DataFrame:
-    """For each trace, count, mean and population deviation of 0/1 or real values over the traces before it: those of
-    the last lookback - 1 seconds and the earlier ones of its own second (order: start, id). A frame is what came before
+    """For each trace its place (from 1, by start and id), and count, mean and population deviation of 0/1 or real values over
+    the traces before it: those of the last lookback - 1 seconds and the earlier ones of its own second (order: start, id). A frame is what came before
     the trace less what came before the lookback: running sums by minute, and sums up to a second."""
     rows = points.select("trace_id", "sec", "start_ns", F.lit(1).cast("double").alias("n"), *[v.cast("double").alias(k) for k, v in values.items()])
     rows = rows.select("*", *[(F.col(k) * F.col(k)).alias(f"{k}_square") for k in values])
@@ -43,8 +43,8 @@ def lookback_stats(points: DataFrame, lookback: int, values: dict[str, Column])
     before = running_sums(rows, [], names, _minute(), F.col("start_ns"), F.col("trace_id"))
     gone = sums_at(rows, names, rows.select((F.col("sec") - lookback).alias("sec")))
     gone = gone.select((F.col("sec") + lookback).alias("sec"), *[F.col(c).alias(f"_{c}") for c in names])
-    rows = before.join(gone, "sec").select("trace_id", *[(F.col(f"{c}_sum") - F.col(c) - F.col(f"_{c}")).alias(c) for c in names])
-    out = ["trace_id", F.round("n").cast("long").alias("n")]
+    rows = before.join(gone, "sec").select("trace_id", F.round("n_sum").cast("long").alias("place"), *[(F.col(f"{c}_sum") - F.col(c) - F.col(f"_{c}")).alias(c) for c in names])
+    out = ["trace_id", "place", F.round("n").cast("long").alias("n")]
     for k in values:
         mean = F.when(F.col("n") > 0, F.col(k) / F.col("n")).otherwise(0.0)
         rows = rows.withColumn(f"{k}_mean", mean)

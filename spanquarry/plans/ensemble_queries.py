@@ -35,13 +35,16 @@ def online_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.online_state(points(spark, sf_dir)).select("trace_id", "hit", *[S.sixth(F.col(c)).alias(c) for c in ("ratio", "rarity", "history", "contrast", "rca")])
 
 
-def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Traces with their probability, online state, metric evidence, votes and consensus; stored, as several steps use it."""
+def ensemble(spark: SparkSession, sf_dir: str, voted: bool = True) -> DataFrame:
+    """Traces with their probability, online state, metric evidence, votes and consensus; stored, as several steps use it.
+    Members, which go without the last two, do not draw for them."""
     s = spans(spark, sf_dir)
     tp = storage.stored(traces.trace_points(s), "points")
-    rows = probabilities(spark, sf_dir, tp).select("trace_id", "sec", "start_ns", "services", "duration_ms", "span_count", "has_error", "incident", "latency", "near", "z", "p")
+    rows = probabilities(spark, sf_dir, tp).select("trace_id", "place", "sec", "start_ns", "services", "duration_ms", "span_count", "has_error", "incident", "latency", "near", "z", "p")
     found = metrics.evidence(tp, deviations_of(s).drop("cpu", "load"), 7200).select("trace_id", "coverage", "reliability", "evidence")
     rows = rows.join(sampling.online_state(tp), "trace_id").join(found, "trace_id")
+    if not voted:
+        return storage.stored(rows.drop("hit", "ratio", "rarity", "history", "contrast"), "ensemble")
     return storage.stored(sampling.consensus(rows.withColumn("votes", sampling.votes(rows)), BUDGET), "ensemble")
 
 
@@ -139,7 +142,7 @@ MEMBER = f"""{ALL}, {MODULATED}, {SHOCKED},
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _shocked(_modulated(ensemble(spark, sf_dir)).drop("n"))
+    rows = _shocked(_modulated(ensemble(spark, sf_dir, voted=False)))
     boosted = S.clamp(F.col("p_member") + S.clamp(0.4 * (F.col("rca") - 0.45), -0.12, 0.20), 0.02, 0.98)
     p = S.clamp(S.sigmoid(S.logit(boosted) + F.col("delta")), 0.02, 0.98)
     return rows.withColumn("p_s", sampling.incident_floor(p, F.col("incident"), F.col("has_error"), F.col("near"), F.col("latency")))

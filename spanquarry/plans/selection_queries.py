@@ -22,10 +22,12 @@ mv AS (SELECT trace_id, has_error, pm, rca, a.kept::INT + b.kept::INT + c.kept::
 
 def member_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """trace_id, has_error, p_s, rca, votes: how many of three members' folds, run in one pass, keep a trace."""
-    rows = storage.stored(clustered(_members(spark, sf_dir)), "members")
-    kept = folds.keep_fold(rows, BUDGET / 100, LOOKBACK, SEEDS)
+    rows = _members(spark, sf_dir).select("trace_id", "place", "sec", "services", "duration_ms", "span_count", "has_error", "incident", "near", "z", "p_s", "rca")
+    rows = storage.stored(clustered(rows), "members")
+    kept = folds.kept_rows(rows, BUDGET / 100, LOOKBACK, SEEDS)
     votes = F.aggregate("kept", F.lit(0), lambda n, k: n + k.cast("int"))
-    return rows.select("trace_id", "has_error", "p_s", "rca").join(kept.select("trace_id", votes.alias("votes")), "trace_id")
+    found = storage.bounded(kept.select("place", votes.alias("votes")), 64)
+    return rows.select("trace_id", "place", "has_error", "p_s", "rca").join(found, "place", "left").na.fill(0, ["votes"]).drop("place")
 
 
 @query(f"{VOTED} SELECT trace_id, votes FROM mv")

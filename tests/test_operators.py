@@ -4,10 +4,12 @@ import math
 import random
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from spanquarry.functions import scalars as S
 from spanquarry.operators import evaluation, folds, ordering, rca, retention, sampling, traces, windows
+from spanquarry.plans import selection_queries
 
 SPANS = "trace_id string, span_id long, service string, start_us long, sec long, weight double, failed boolean, props string"
 
@@ -302,3 +304,39 @@ def test_a_chunk_of_a_fold_is_read_alone(spark):
     assert sorted(r.n for r in found.collect()) == [5, 10, 10]
     shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
     assert any(len(list(p.glob("_chunk=*"))) == 3 for p in Path(shared).glob("chunks-*"))
+
+
+def test_kept_traces_are_picked_as_they_are_decided():
+    rnd = random.Random(7)
+    for beta, soft, alarms in ((0.05, False, 0.0), (0.05, True, 0.02), (0.3, True, 0.4), (0.9, False, 0.1)):
+        one, two = (folds.KeepFold(beta, 40, normal=0.6, soft=soft) for _ in range(2))
+        data, sec = [], 0
+        for _ in range(600):
+            sec += rnd.choice([0, 0, 1, 7])
+            data.append((sec, rnd.random(), rnd.random(), rnd.random() < 0.4, rnd.random() < 0.2, rnd.random(), rnd.random() < alarms, rnd.random(), rnd.random(), rnd.random()))
+        want = {k for k, row in enumerate(data) if one.decide(*row)}
+        open_ = []
+        for _, p, d, error, incident, near, alarm, u, v, w in data:
+            low = max(0.08, two.floor - 0.06) if incident and near >= 0.55 else two.floor
+            clean = not error and not incident and p < low and d <= 0.45
+            open_.append((u < p and (alarm or u < d)) + 2 * (u < p and not (d >= 0.72 and p < low)) + 4 * (clean and v < beta) + 8 * (soft and clean and w < beta))
+        got, some = set(), [k for k, o in enumerate(open_) if o]
+        for part in (some[:50], some[50:51], some[51:51], some[51:]):
+            rows = [data[k] for k in part]
+            found = two.pick([k + 1 for k in part], [r[0] for r in rows], [r[3] for r in rows], np.array([open_[k] for k in part], int), [r[9] for r in rows])
+            got |= {part[k] for k in found}
+        assert got == want and 0 < len(want) < 600 and two.kept == one.kept
+
+
+def test_members_fold_blocks_in_the_order_of_the_frames(spark, monkeypatch):
+    """No second order is made for the folds, and their chunks are blocks of arrays."""
+    sf, sizes, chained = "/root/testdata/sf0.001", [], folds.chained
+
+    def counted(rows, *more):
+        sizes.append(rows.count())
+        return chained(rows, *more)
+
+    monkeypatch.setattr(folds, "chained", counted)
+    monkeypatch.setattr(folds, "numbered", None)
+    votes = selection_queries.member_votes(spark, sf).collect()
+    assert len(votes) == 397 and sizes == [1, 1]
