@@ -76,9 +76,10 @@ def registry_confidence(services: DataFrame, pods: DataFrame, width: int = 3600,
     """
     parts = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[-_]"), lambda p: p != ""))
     slots = lambda rows, c: rows.select(c, F.floor(F.col("sec") / width).alias("slot")).groupBy(c, "slot").agg(F.count("*").alias("n"))
-    left, right = slots(services, "service"), slots(pods, "pod").repartition("pod")  # what follows is by pod
+    left, right = stored(slots(services, "service"), "services"), stored(slots(pods, "pod").repartition("pod"), "pods")  # what follows is by pod
     shared = right.select("pod", "slot").join(bounded(left.select("service", "slot"), 64), "slot").groupBy("service", "pod").agg(F.count("*").alias("shared"))
     a, b = left.groupBy("service").agg(F.count("*").alias("a")), right.groupBy("pod").agg(F.count("*").alias("b"), F.sum("n").alias("seen"))
+    b = stored(b, "seen")
     most = b.agg(F.max("seen").alias("most"))
     by_name = a.select("service", F.explode(parts(F.col("service"))).alias("part")).join(b.select("pod", F.explode(parts(F.col("pod"))).alias("part")), "part").select("service", "pod").distinct()
     pairs = shared.join(by_name.withColumn("named", F.lit(True)), ["service", "pod"], "full").join(a, "service").join(b, "pod").crossJoin(F.broadcast(most))  # one row

@@ -135,11 +135,12 @@ def aligned(rows: DataFrame, state: DataFrame, incident: DataFrame) -> DataFrame
     of probability and diversity, diversity, and fit, each spread out; the fit's weight times the bias's confidence."""
     rows = rows.join(state, "trace_id").crossJoin(F.broadcast(incident.select("bias", "confidence")))  # one row
     rows = rows.withColumn("fit", F.least(cosine(F.col("state"), F.col("bias")), F.lit(1.0))).withColumn("mixed", 0.75 * F.col("p_s") + 0.25 * F.col("p_d"))
+    rows = stored(rows.select("trace_id", "p_s", "p_d", "confidence", "fit", "mixed"), "fits")  # the ends are looked for first
     rows = spread_out(rows, "mixed", "p_d", "fit")
     a, b, c = FIRST
     last = c * F.col("confidence")
     first = (a * F.col("mixed_n") + b * F.col("p_d_n") + last * F.col("fit_n")) / (a + b + last)
-    return rows.withColumn("first", F.round(first, 6)).drop("state", "bias", "confidence", "mixed", "mixed_n", "p_d_n")
+    return rows.withColumn("first", F.round(first, 6)).drop("confidence", "mixed", "mixed_n", "p_d_n")
 
 
 def prior(density: Column, slow: Column, overlap: Column, near: Column) -> Column:

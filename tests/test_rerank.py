@@ -129,3 +129,20 @@ def test_large_and_small_histories_deviate_alike(spark, monkeypatch):
     monkeypatch.setattr(metrics, "CHUNK", 10)
     large = {(r.service, r.sec): (r.x_z, r.y_z) for r in metrics.deviations(table, ["x", "y"]).collect()}
     assert large == key(small) and len(large) == 48
+
+
+def test_the_registry_and_the_fit_go_over_their_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(x):
+        seen.add(1)
+        return x
+
+    pods = spark.createDataFrame([(f"a-{k % 5}", 3600 * k) for k in range(20)], "pod string, sec long").select(told("pod").alias("pod"), "sec")
+    services = spark.createDataFrame([("a", 3600 * k) for k in range(20)], "service string, sec long")
+    assert metrics.registry_confidence(services, pods).count() == 5 and seen.value == 20
+    scored = spark.createDataFrame([(f"t{k}", k / 10, 0.5) for k in range(10)], "trace_id string, p_s double, p_d double").withColumn("p_s", told(F.col("p_s").cast("string")).cast("double"))
+    state = spark.createDataFrame([(f"t{k}", [1.0, float(k), 0.0, 0.0, 0.0, 0.0]) for k in range(10)], "trace_id string, state array<double>")
+    incident = spark.createDataFrame([([1.0] * 6, 0.5)], "bias array<double>, confidence double")
+    assert rerank.aligned(scored, state, incident).where("first is not null").count() == 10 and seen.value == 30
