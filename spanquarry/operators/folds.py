@@ -290,8 +290,14 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, n
 
 
 def leader_clusters(rows: DataFrame, lookback: int, least: float = 0.5, chunk: int = CHUNK) -> DataFrame:
-    """trace_id, cluster, similarity, mass (members of the lookback before it) of rows trace_id, start_ns (or place), sec, tokens;
-    see ``LeaderIndex``. The cost of a trace is a look-up of its token set, and each block makes a set but once."""
+    """trace_id, cluster, similarity, mass (members of the lookback before it) of rows trace_id, start_ns (or place), sec, tokens."""
+    rows = in_order(rows.select("trace_id", *[c for c in ("place",) if c in rows.columns] or ["start_ns"], "sec", "tokens"))
+    return rows.select("trace_id", "place").join(placed_clusters(rows, lookback, least, chunk), "place").drop("place")
+
+
+def placed_clusters(rows: DataFrame, lookback: int, least: float = 0.5, chunk: int = CHUNK) -> DataFrame:
+    """place, cluster, similarity, mass of rows place, sec, tokens; see ``LeaderIndex``. The cost of a trace is a look-up of its
+    token set, and each block makes a set but once."""
     lists = ("places", "cluster", "similarity", "mass")
 
     def step(state: str | None, batches: Iterator[pa.RecordBatch]) -> Iterator[dict | str]:
@@ -303,10 +309,10 @@ def leader_clusters(rows: DataFrame, lookback: int, least: float = 0.5, chunk: i
             yield {"first": [place], "places": [rows["place"]]} | {c: [np.array(v)] for c, v in zip(lists[1:], found, strict=True)}
         yield index.dump()
 
-    rows = in_order(rows.select("trace_id", *[c for c in ("place",) if c in rows.columns] or ["start_ns"], "sec", F.to_json("tokens").alias("tokens")))
+    rows = rows.select("place", "sec", F.to_json("tokens").alias("tokens"))
     found = chained(packed(rows, chunk, F.col("sec"), F.col("tokens")), step, "first long, places array<long>, cluster array<long>, similarity array<double>, mass array<long>", chunk)
-    found = found.select(F.explode(F.arrays_zip(*lists)).alias("x")).select(F.col("x.places").alias("place"), *[f"x.{c}" for c in lists[1:]])
-    return rows.select("trace_id", "place").join(found, "place").select("trace_id", *lists[1:])
+    found = found.select(F.explode(F.arrays_zip(*lists)).alias("x"))
+    return found.select(F.col("x.places").alias("place"), *[f"x.{c}" for c in lists[1:]])
 
 
 DRAWS = ("u", "v", "w")

@@ -3,7 +3,7 @@ lowers a score, and the rate that keeps a given share. Each is a few rounds over
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import stored
@@ -59,6 +59,16 @@ def trimmed(rows: DataFrame, members: DataFrame, target: int, floor: int, most_r
     return turn.where(F.col("turn") > excess).select("trace_id", "place", (~F.col("goes")).alias("sure"))
 
 
+def foremost(rows: DataFrame, most: int, by: list[str], *ranks: str) -> DataFrame:
+    """Of each class at least its first ``most`` rows in an order that goes by the ranks first, highest first, and of the others
+    none but equals of the last. Counts of equal ranks say where to cut, so nothing is sorted but these; a class should have a
+    bounded number of them (rounded scores)."""
+    counts = rows.groupBy(*by, *ranks).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy(*[F.desc(c) for c in ranks]).rowsBetween(Window.unboundedPreceding, -1))
+    last = counts.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < most).groupBy(*by).agg(F.min(F.struct(*ranks)).alias("_last"))
+    return rows.join(F.broadcast(last), by).where(F.struct(*ranks) >= F.col("_last")).drop("_last")  # classes
+
+
 def exchanged(rows: DataFrame, quota: int, *order: Column) -> DataFrame:
     """rows (trace_id, chosen, score, in an order without ties) with chosen after an exchange: the k-th worst of the chosen by
     score gives way to the k-th of the others in the order, as long as that one's score is higher, for k up to the quota.

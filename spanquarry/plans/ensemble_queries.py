@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import storage
-from ..operators import metrics, ordering, retention, sampling, traces, windows
+from ..operators import history, metrics, ordering, retention, sampling, traces, windows
 from .base import INCIDENTS, TRACES, points, query, spans, uniform
 from .metric_queries import Z, deviations_of
 from .trace_queries import METRICS
-from .window_queries import LOOKBACK, SCORED, STATS, probabilities
+from .window_queries import LOOKBACK, SCORED, STATS, error_shock, marked, probabilities
 
 BUDGET = 1.0
 ONLINE = """tq AS (SELECT trace_id, sec, start_ns, has_error, unnest(services) AS service FROM tp),
@@ -35,16 +35,13 @@ def online_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.online_state(points(spark, sf_dir)).select("trace_id", "hit", *[S.sixth(F.col(c)).alias(c) for c in ("ratio", "rarity", "history", "contrast", "rca")])
 
 
-def ensemble(spark: SparkSession, sf_dir: str, voted: bool = True) -> DataFrame:
-    """Traces with their probability, online state, metric evidence, votes and consensus; stored, as several steps use it.
-    Members, which go without the last two, do not draw for them."""
+def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces with their probability, online state, metric evidence, votes and consensus; stored, as several steps use it."""
     s = spans(spark, sf_dir)
     tp = storage.stored(traces.trace_points(s), "points")
-    rows = probabilities(spark, sf_dir, tp).select("trace_id", "place", "sec", "start_ns", "services", "duration_ms", "span_count", "has_error", "incident", "latency", "near", "z", "p")
+    rows = probabilities(spark, sf_dir, tp).select("trace_id", "sec", "start_ns", "has_error", "incident", "latency", "near", "p")
     found = metrics.evidence(tp, deviations_of(s).drop("cpu", "load"), 7200).select("trace_id", "coverage", "reliability", "evidence")
     rows = rows.join(sampling.online_state(tp), "trace_id").join(found, "trace_id")
-    if not voted:
-        return storage.stored(rows.drop("hit", "ratio", "rarity", "history", "contrast"), "ensemble")
     return storage.stored(sampling.consensus(rows.withColumn("votes", sampling.votes(rows)), BUDGET), "ensemble")
 
 
@@ -115,23 +112,24 @@ tp2 AS (SELECT *, least(greatest(0.55 * (0.45 * incident::INT + 0.25 * latency +
 _FLOOR = "CASE WHEN incident THEN greatest({p}, CASE WHEN has_error AND near >= 0.55 THEN 0.62 WHEN near >= 0.78 AND latency >= 0.58 THEN 0.56 WHEN near >= 0.88 AND latency >= 0.50 THEN 0.50 ELSE 0 END) ELSE {p} END"
 
 
-def _shocked(rows: DataFrame) -> DataFrame:
-    """rows (trace_id, sec, start_ns, has_error, latency, incident, near) with p_s (sigmas of the composite sampler) and
-    p_member (robust scales of the ensemble's members), both before floors."""
-    flags = {"error": F.col("has_error").cast("int"), "lat": F.col("latency"), "inc": F.col("incident").cast("int")}
-    stats = windows.lookback_sigmas(rows, LOOKBACK, flags)
-    rows = rows.join(stats, "trace_id")
-    weights = {"error": 0.40, "lat": 0.35, "inc": 0.25}
-    z = lambda scale: sampling.shock({k: (v.cast("double"), F.col(f"{k}_mean"), F.col(f"{k}_{scale}")) for k, v in flags.items()}, weights)
-    p = lambda scale: windows.base_probability(flags["inc"], F.col("latency"), flags["error"], F.col("near"), z(scale), 1.2 * 0.9)
-    return rows.withColumn("p_s", p("sigma")).withColumn("p_member", p("robust"))
+def _flags() -> dict[str, Column]:
+    return {"error": F.col("has_error").cast("int"), "lat": F.col("latency"), "inc": F.col("incident").cast("int")}
+
+
+def _shocked(scale: str) -> Column:
+    """A trace's probability before floors, by the shock of errors, latency and incidents in their sigmas (the composite sampler) or
+    robust scales (the ensemble's members)."""
+    flags = _flags()
+    z = sampling.shock({k: (v.cast("double"), F.col(f"{k}_mean"), F.col(f"{k}_{scale}")) for k, v in flags.items()}, {"error": 0.40, "lat": 0.35, "inc": 0.25})
+    return windows.base_probability(flags["inc"], flags["lat"], flags["error"], F.col("near"), z, 1.2 * 0.9)
 
 
 @query(f"WITH {TRACES}, {INCIDENTS}, {STATS}, {SCORED}, {SHOCKED} SELECT trace_id, n, round(ll_mean, 5) AS lat_mean, round(ll_sigma, 5) AS lat_sigma, round({_FLOOR.format(p='ps')}, 5) AS p_s FROM tp2")
 def composite_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampling probability with the shock of errors, latency and incidents against the lookback, and the incident floors."""
-    rows = _shocked(probabilities(spark, sf_dir).select("trace_id", "sec", "start_ns", "has_error", "latency", "incident", "near"))
-    p = sampling.incident_floor(F.col("p_s"), F.col("incident"), F.col("has_error"), F.col("near"), F.col("latency"))
+    rows = probabilities(spark, sf_dir).select("trace_id", "sec", "start_ns", "has_error", "latency", "incident", "near")
+    rows = rows.join(windows.lookback_sigmas(rows, LOOKBACK, _flags()), "trace_id")
+    p = sampling.incident_floor(_shocked("sigma"), F.col("incident"), F.col("has_error"), F.col("near"), F.col("latency"))
     return rows.select("trace_id", "n", F.round("lat_mean", 5).alias("lat_mean"), F.round("lat_sigma", 5).alias("lat_sigma"), F.round(p, 5).alias("p_s"))
 
 
@@ -142,7 +140,13 @@ MEMBER = f"""{ALL}, {MODULATED}, {SHOCKED},
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _shocked(_modulated(ensemble(spark, sf_dir, voted=False)))
+    """Traces by place with z and rca, and p_s, the probability that the ensemble's members draw against."""
+    s = spans(spark, sf_dir)
+    tp = storage.stored(traces.trace_points(s).select("trace_id", "start_ns", "sec", "duration_ms", "span_count", "has_error", "services"), "points")
+    rows = history.histories(marked(s, tp), deviations_of(s).drop("cpu", "load"), LOOKBACK, 7200, _flags())
+    rows = rows.withColumn("z", error_shock()).withColumn("rca", sampling.quadrant(F.col("has_error"), F.col("hit"), F.col("ratio"))).withColumn("p_member", _shocked("robust"))
+    rows = rows.select("trace_id", "place", "sec", "services", "duration_ms", "span_count", "has_error", "incident", "latency", "near", "z", "rca", "p_member", "coverage", "reliability", "evidence")
+    rows = _modulated(storage.stored(rows, "histories"))
     boosted = S.clamp(F.col("p_member") + S.clamp(0.4 * (F.col("rca") - 0.45), -0.12, 0.20), 0.02, 0.98)
     p = S.clamp(S.sigmoid(S.logit(boosted) + F.col("delta")), 0.02, 0.98)
     return rows.withColumn("p_s", sampling.incident_floor(p, F.col("incident"), F.col("has_error"), F.col("near"), F.col("latency")))

@@ -52,6 +52,8 @@ def backfilled_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = storage.stored(rows.select("trace_id", "has_error", "votes", F.least("votes", F.lit(2)).alias("pool"), F.round(0.6 * F.col("p_s") + 0.4 * F.col("rca"), 5).alias("score")), "pools")
     target = max(1, round(rows.count() * BUDGET / 100))
     order = (F.desc("pool"), F.desc("score"), F.col("trace_id"))
+    # A class gives at most the target, and the exchange no more than that; what it enters or leaves lies in the first two targets.
+    rows = storage.stored(selection.foremost(rows, 2 * target, ["has_error"], "pool", "score"), "foremost")
     first = sampling.guarded(rows, target, BUDGET, *order).select("trace_id", F.lit(True).alias("_in"))
     chosen = storage.stored(rows.join(first, "trace_id", "left").withColumn("chosen", F.coalesce("_in", F.lit(False))).drop("_in"), "chosen")
     now = selection.exchanged(chosen, round(target * 0.1), *order)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -109,18 +109,26 @@ SCORED = f"""lat AS (SELECT trace_id, sec, start_ns, has_error, span_count, dura
   prob AS (SELECT *, least(greatest(0.55 * (0.45 * incident::INT + 0.25 * latency + 0.15 * has_error::INT + 0.15 * near) + 0.45 * tanh(1.2 * 0.4 * z), 0.02), 0.98) AS p FROM scored)"""
 
 
+def marked(s: DataFrame, tp: DataFrame) -> DataFrame:
+    """Traces with latency, incident (they touch an incident's cause) and nearness to the first incident."""
+    facts = traces.incidents(s).agg(F.min("st").alias("at"), F.collect_set("service").alias("causes"))
+    rows = retention.latency(tp).crossJoin(F.broadcast(facts))  # one row
+    return rows.withColumn("incident", F.arrays_overlap("services", "causes")).withColumn("near", windows.proximity(F.col("sec"), F.col("at"), 86400)).drop("at", "causes")
+
+
 def probabilities(spark: SparkSession, sf_dir: str, tp: DataFrame | None = None) -> DataFrame:
     """Traces (those given, if they are at hand) with incident, latency, nearness to the first incident, error shock z and
     sampling probability p."""
     s = spans(spark, sf_dir)
-    tp = retention.latency(storage.stored(traces.trace_points(s), "points") if tp is None else tp)
-    found = traces.incidents(s)
-    facts = found.agg(F.min("st").alias("at"), F.collect_set("service").alias("causes"))
+    tp = storage.stored(traces.trace_points(s), "points") if tp is None else tp
     stats = windows.lookback_stats(tp, LOOKBACK, {"error": F.col("has_error").cast("int")})
-    rows = tp.join(stats, "trace_id").crossJoin(F.broadcast(facts))  # one row
     error = F.col("has_error").cast("int")
-    rows = rows.withColumn("incident", F.arrays_overlap("services", "causes")).withColumn("near", windows.proximity(F.col("sec"), F.col("at"), 86400)).withColumn("z", F.abs(error - F.col("error_mean")) / (F.col("error_std") + 1e-6))
-    return rows.withColumn("p", windows.base_probability(F.col("incident").cast("int"), F.col("latency"), error, F.col("near"), 0.4 * F.col("z"))).drop("at", "causes")
+    rows = marked(s, tp).join(stats, "trace_id").withColumn("z", error_shock())
+    return rows.withColumn("p", windows.base_probability(F.col("incident").cast("int"), F.col("latency"), error, F.col("near"), 0.4 * F.col("z")))
+
+
+def error_shock() -> Column:
+    return F.abs(F.col("has_error").cast("int") - F.col("error_mean")) / (F.col("error_std") + 1e-6)
 
 
 @query(f"WITH {TRACES}, {INCIDENTS}, {STATS}, {SCORED} SELECT trace_id, incident, round(latency, 5) AS latency, round(near, 5) AS near, round(p, 5) AS p FROM prob")
@@ -164,8 +172,8 @@ FOLDED = f"WITH RECURSIVE {TRACES}, {INCIDENTS}, {STATS}, {SCORED}, {FOLDS}"
 def clustered(rows: DataFrame) -> DataFrame:
     """rows, stored as they are gone over twice, with cluster, similarity, mass, p_d and alarm."""
     rows = storage.stored(rows, "scored")
-    found = folds.leader_clusters(rows.withColumn("tokens", sampling.tokens()), LOOKBACK)
-    rows = rows.join(found, "trace_id").withColumn("alarm", F.col("z") >= 3)
+    found = folds.placed_clusters(rows.withColumn("tokens", sampling.tokens()), LOOKBACK)
+    rows = rows.join(found.hint("merge"), "place").withColumn("alarm", F.col("z") >= 3)
     return rows.withColumn("p_d", sampling.diversity(F.col("mass"), F.col("similarity"), F.col("incident")))
 
 

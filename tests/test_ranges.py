@@ -1,5 +1,6 @@
 """Order statistics over ranges against sorting, and frames of a busy hour."""
 
+import math
 import statistics
 import time
 
@@ -67,3 +68,23 @@ def test_frames_against_loops(spark):
         near = [b.has_error for b in plain if abs(b.sec - a.sec) <= 1800]
         assert density[a.trace_id] == pytest.approx(sum(near) / len(near))
     assert windows.lookback_sigmas(rows.limit(0), 3600, {"lat": F.col("latency")}).count() == 0 and windows.local_density(rows.limit(0), 5).count() == 0
+
+
+def test_flags_are_ranges_of_zeros_and_ones():
+    x = (np.arange(60) * 7 % 5 < 2).astype(float)
+    low, high = (v.ravel() for v in np.meshgrid(np.arange(60), np.arange(1, 61)))
+    low, high = low[low < high], high[low < high]
+    flags, found = ranges.Flags(x), ranges.Ranges(x)
+    for k in ((high - low - 1) // 2, (high - low) // 2):
+        assert (flags.kth(low, high, k) == found.kth(low, high, k)).all()
+        for centre in (0.0, 0.5, 1.0):
+            for a, b in zip(flags.two_off(low, high, np.full(len(low), centre), k), found.two_off(low, high, np.full(len(low), centre), k), strict=True):
+                assert (a == b).all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([0.0, 1.0, 0.5, 0.25]) | st.floats(-5, 5), min_size=2, max_size=30), st.integers(0, 28), st.sampled_from([0.0, 0.4, 3.0]))
+def test_the_distance_after_the_kth(values, k, centre):
+    one = lambda v: np.array([v])
+    k, off = min(k, len(values) - 1), sorted(abs(v - centre) for v in values) + [math.inf]
+    assert [float(v[0]) for v in ranges.Ranges(np.array(values)).two_off(one(0), one(len(values)), one(centre), one(k))] == off[k : k + 2]
