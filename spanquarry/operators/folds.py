@@ -146,14 +146,14 @@ class KeepFold:
         self.seen = self.kept = self.failed = 0
         self.window: deque = deque()  # (second, error) of the kept
 
-    def possible(self, p: Column, d: Column, error: Column, incident: Column, near: Column, alarm: Column, u: Column, v: Column, w: Column) -> Column:
+    def possible(self, p: Column, d: Column, error: Column, incident: Column, near: Column, alarm: Column, u: Column, v: Column, w: Column, when: Callable = lambda c, x, y: F.when(c, x).otherwise(y)) -> Column:
         """What a trace's own numbers leave open, as a sum: 1 if it is kept above the budget's share, 2 if below it, 4 if it
-        has a second chance and 8 a third one. 0: it is not kept, whatever came before."""
-        floor = F.when(incident & (near >= 0.55), max(0.08, self.floor - 0.06)).otherwise(self.floor)
+        has a second chance and 8 a third one. 0: it is not kept, whatever came before. With ``when=np.where`` of arrays."""
+        floor = when(incident & (near >= 0.55), max(0.08, self.floor - 0.06), self.floor)
         clean = ~error & ~incident & (p < floor) & (d <= 0.45)
         flags = [(u < p) & (alarm | (u < d)), (u < p) & ~((d >= 0.72) & (p < floor)), clean & (v < self.beta)]
         flags += [clean & (w < self.beta)] if self.soft else []
-        return sum((F.when(f, 1 << k).otherwise(0) for k, f in enumerate(flags)), F.lit(0))
+        return sum(when(f, 1 << k, 0) for k, f in enumerate(flags))
 
     def _below_from(self) -> float:
         """The first place at which no more than the budget's share is kept."""

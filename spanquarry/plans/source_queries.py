@@ -18,6 +18,8 @@ from .window_queries import FOLDED, LOOKBACK, keep_sql, probabilities
 
 #: Rows of a file of the live sampler's stream.
 FILE_ROWS = 500_000
+#: Milliseconds of a stretch of the live sampler.
+STRETCH = 21_600_000
 
 
 @query(f"WITH {TRACES} SELECT service, count(*) AS spans, count(DISTINCT trace_id) AS traces, sum(failed::INT)::BIGINT AS errors, min(start_us) * 1000 AS first_ns, max(start_us) * 1000 AS last_ns FROM sp GROUP BY service")
@@ -68,20 +70,24 @@ def sampler_rows(rows: DataFrame, seed: int) -> DataFrame:
 @query(f"{FOLDED}, {keep_sql('', 7)} SELECT trace_id, cluster, mass, kept FROM kf JOIN lc USING (i, trace_id)")
 def live_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The traces as a stream of files in order of time, clustered and kept or not on Spark's state; a last row far behind
-    them moves the watermark past all others. Each file is a stretch of time and a batch of its own: a batch that ran ahead
-    of a file of the same time would make that one's rows late."""
+    them moves the watermark past all others. Each file is a range of time and a batch of its own: a batch that ran ahead
+    of a file of the same time would make that one's rows late. The files hold blocks of traces, packed by all tasks, so
+    writing them one after the other only copies. All traces are one group, so two partitions hold the state."""
     shared, run = storage.shared_dir(spark), uuid.uuid4().hex
     rows = storage.stored(sampler_rows(probabilities(spark, sf_dir), 7), "scored")
-    low, high, n = rows.agg(F.min("sec"), F.max("sec"), F.count("*")).first()
-    parts = max(3, -(-n // FILE_ROWS))
-    width, path = (high - low) // parts + 1, f"{shared}/arriving-{run}"
-    dealt = rows.withColumn("_part", F.floor((F.col("sec") - low) / width).cast("int"))
-    dealt.repartition(parts, "_part").write.partitionBy("_part").parquet(f"{shared}/dealt-{run}")
-    for k in sorted(r._part for r in dealt.select("_part").distinct().collect()):  # one number a file
-        spark.read.schema(rows.schema).parquet(f"{shared}/dealt-{run}/_part={k}").coalesce(1).write.parquet(f"{path}/part={k:05}")
+    high, n = rows.agg(F.max("sec"), F.count("*")).first()
+    if not n:
+        return spark.createDataFrame([], "trace_id string, cluster long, mass long, kept boolean")
+    path = f"{shared}/arriving-{run}"
+    dealt = rows.repartitionByRange(max(3, -(-n // FILE_ROWS)), "sec").sortWithinPartitions("start_ns").withColumn("_part", F.spark_partition_id())
+    blocks = sampler.packed(dealt, ["_part", "g"], STRETCH)
+    blocks.write.partitionBy("_part").parquet(f"{shared}/dealt-{run}")
+    schema = blocks.drop("_part").schema
+    for k in sorted(r._part for r in spark.read.parquet(f"{shared}/dealt-{run}").select("_part").distinct().collect()):  # one number a file
+        spark.read.schema(schema).parquet(f"{shared}/dealt-{run}/_part={k}").coalesce(1).write.parquet(f"{path}/part={k:05}")
     last = rows.limit(1).withColumn("g", F.lit("end")).withColumn("start_ns", F.lit((high + 86_400) * 1_000_000_000))
-    last.coalesce(1).write.parquet(f"{path}/part={parts:05}")
-    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
-    with sampler.rocks(spark):
-        found = live.run_once(sampler.sampled(arriving, "g", 0.025, LOOKBACK, stretch=21_600_000), f"{shared}/live-{run}", f"{shared}/state-{run}", "append")
+    sampler.packed(last, ["g"], STRETCH).coalesce(1).write.parquet(f"{path}/part=end")
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    with sampler.rocks(spark, 2):
+        found = live.run_once(sampler.sampled_blocks(arriving, "g", 0.025, LOOKBACK, stretch=STRETCH), f"{shared}/live-{run}", f"{shared}/state-{run}", "append")
     return found.select("trace_id", "cluster", "mass", "kept")

@@ -1,5 +1,7 @@
 """The sampler on a stream against the fold over the table, late rows, and a restart."""
 
+import glob
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,3 +45,45 @@ def test_many_files_of_the_stream_come_in_order_of_time(spark, monkeypatch):
     monkeypatch.setattr(source_queries, "FILE_ROWS", 60)
     got = {r.trace_id: (r.cluster is not None, r.kept) for r in source_queries.live_sampler(spark, SF).collect()}
     assert got == {t: (True, kept) for t, kept in want.items()}
+
+
+def test_the_state_takes_blocks_and_few_partitions(spark):
+    """A stream of single rows cost 0.2 ms a trace in one task, and each batch opened the state of every shuffle partition."""
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+        there = set(glob.glob(f"{shared}/state-*"))
+        n = source_queries.live_sampler(spark, SF).count()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "24"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    (state,) = set(glob.glob(f"{shared}/state-*")) - there
+    assert len(glob.glob(f"{state}/state/0/[0-9]*")) <= 2
+    assert spark.read.parquet(f"{shared}/arriving-{state.rsplit('-', 1)[1]}/*").count() <= 30 * 4 + 4 < n / 3  # stretches, and what the files cut
+
+
+def test_groups_of_a_stream_are_folded_apart_in_any_order(spark, tmp_path, monkeypatch):
+    rows = source_queries.sampler_rows(window_queries.probabilities(spark, SF), 7).cache()
+    third = F.pmod(F.crc32("trace_id"), F.lit(3))
+    mixed = rows.withColumn("g", F.when(third == 0, "a").when(third == 1, "b"))  # and null
+    high = rows.agg(F.max("sec")).first()[0]
+    last = rows.limit(1).withColumn("g", F.lit("end")).withColumn("start_ns", F.lit((high + 9 * 86_400) * 10**9))
+    mixed.orderBy(F.xxhash64("trace_id")).coalesce(1).write.parquet(f"{tmp_path}/in/part=0")
+    last.coalesce(1).write.parquet(f"{tmp_path}/in/part=1")
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    monkeypatch.setattr(sampler, "CHUNK", 50)  # a stretch is taken in several parts
+    with sampler.rocks(spark, 2):
+        got = live.run_once(sampler.sampled(arriving, "g", 0.025, HOUR, stretch=86_400_000), f"{tmp_path}/out", f"{tmp_path}/state", "append").where("not late")
+    got, want = {r.trace_id: (r.cluster, r.mass, r.kept) for r in got.collect()}, {}
+    for g in ("a", "b", None):
+        index, fold = folds.LeaderIndex(HOUR), folds.KeepFold(0.025, HOUR)
+        for r in sorted(mixed.where(F.col("g").eqNullSafe(F.lit(g))).collect(), key=lambda r: (r.start_ns, r.trace_id)):
+            cluster, how, mass = index.add(r.sec, r.tokens)
+            keep = fold.decide(r.sec, r.p_s, sampler.diversity_of(mass, how, r.incident), r.has_error, r.incident, r.near, r.alarm, r.u, r.v, r.w)
+            want[r.trace_id] = (cluster, mass, keep)
+    assert len(want) == rows.count() and got == want
+
+
+def test_no_events_give_no_rows(spark, tmp_path):
+    spark.read.parquet(f"{SF}/events.parquet").limit(0).write.parquet(f"{tmp_path}/events.parquet")
+    assert source_queries.live_sampler(spark, str(tmp_path)).count() == 0
