@@ -78,8 +78,9 @@ def live_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
     high, n = rows.agg(F.max("sec"), F.count("*")).first()
     if not n:
         return spark.createDataFrame([], "trace_id string, cluster long, mass long, kept boolean")
-    path = f"{shared}/arriving-{run}"
-    dealt = rows.repartitionByRange(max(3, -(-n // FILE_ROWS)), "sec").sortWithinPartitions("start_ns").withColumn("_part", F.spark_partition_id())
+    parts, path = max(3, -(-n // FILE_ROWS)), f"{shared}/arriving-{run}"
+    borders = F.array(*[F.lit(b) for b in sorted(set(rows.approxQuantile("sec", [k / parts for k in range(1, parts)], 0.1 / parts)))])
+    dealt = rows.withColumn("_part", F.size(F.filter(borders, lambda b: b < F.col("sec")))).repartition(parts, "_part").sortWithinPartitions("_part", "start_ns")
     blocks = sampler.packed(dealt, ["_part", "g"], STRETCH)
     blocks.write.partitionBy("_part").parquet(f"{shared}/dealt-{run}")
     schema = blocks.drop("_part").schema
